@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from termforge.llm import quality_rules
+from termforge.llm import decontaminate, pii, quality_rules, sharding, toxicity
 from termforge.llm._store import documents
 
 
@@ -14,8 +15,49 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir)).drop("rejected_by")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(documents(spark, sf_dir)).select("doc_id", "shard")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
+    found = toxicity.score(docs, labels.filter(toxicity.remainder(F.col("doc_id"), 4) != 2))
+    return found.select(
+        "doc_id", (toxicity.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    at = F.arrays_zip("kinds", "starts", "ends")
+    said = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kinds"], x["starts"], x["ends"])), ",")
+    count = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in pii.KINDS],
+        F.sha2(said(F.filter(at, lambda x: x["kinds"] != "term")).cast("binary"), 256).alias("base_sha256"),
+        said(at).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_decontaminate": op4_decontaminate,
+    "op7_sharding": op7_sharding,
+    "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import decontaminate, pii, quality_rules, sharding, toxicity
+from termforge.llm import decontaminate, near_dup, pii, quality_rules, sharding, toxicity
 from termforge.llm._store import documents
 
 
@@ -27,6 +27,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(documents(spark, sf_dir))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir)).select("doc_id", "shard")
 
@@ -55,6 +59,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_decontaminate": op4_decontaminate,
+    "op5_near_dup": op5_near_dup,
     "op7_sharding": op7_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import decontaminate, near_dup, pii, quality_rules, sharding, toxicity
+from termforge.llm import decontaminate, mixing, near_dup, pii, quality_rules, sharding, toxicity
 from termforge.llm._store import documents
 
 
@@ -35,6 +35,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir)).select("doc_id", "shard")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.domains(documents(spark, sf_dir, "labels"))
+    found = mixing.rates(documents(spark, sf_dir), labels, mixing.TARGETS, "doc_id")
+    return found.select(
+        "doc_id",
+        F.col("tokens").alias("n_tokens"),
+        *[F.get("p", F.lit(k)).alias(f"p{k}") for k in range(len(mixing.TARGETS))],
+        "rate",
+        mixing.times(F.col("rate"), F.col("doc_id")).alias("copies"),
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
     found = toxicity.score(docs, labels.filter(toxicity.remainder(F.col("doc_id"), 4) != 2))
@@ -61,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_near_dup": op5_near_dup,
     "op7_sharding": op7_sharding,
+    "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }

@@ -12,6 +12,10 @@ from termforge.llm import decontaminate, mixing, near_dup, quality_rules, shardi
 from termforge.llm._store import documents, keep
 
 
+#: Target token shares after the filters: low, good, low and toxic, good and toxic.
+TARGETS = [0.01, 0.87, 0.005, 0.115]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
     return quality_rules.keep_good(docs)
@@ -29,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out by rates that bring domain token shares to their targets."""
-    return mixing.mix(docs, mixing.domains(documents(spark, sf_dir, "labels")))
+    return mixing.mix(docs, mixing.domains(documents(spark, sf_dir, "labels")), TARGETS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

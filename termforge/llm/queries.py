@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import decontaminate, mixing, near_dup, pii, quality_rules, sharding, toxicity
+from termforge.llm import decontaminate, lm_score, mixing, near_dup, pii, quality_rules, sharding, toxicity
 from termforge.llm._store import documents
 
 
@@ -15,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir)).drop("rejected_by")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir), toxicity.remainder(F.col("doc_id"), 7) != 2)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
     return found.select(
@@ -70,6 +74,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_lm_score": op2_lm_score,
     "op4_decontaminate": op4_decontaminate,
     "op5_near_dup": op5_near_dup,
     "op7_sharding": op7_sharding,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import decontaminate, lm_score, mixing, near_dup, pii, quality_rules, sharding, toxicity
+from termforge.llm import decontaminate, lm_score, mixing, near_dup, pii, quality_rules, sharding, suffix_dedup, toxicity
 from termforge.llm._store import documents
 
 
@@ -19,6 +19,11 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(documents(spark, sf_dir), toxicity.remainder(F.col("doc_id"), 7) != 2)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
     return found.select(
@@ -75,6 +80,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_lm_score": op2_lm_score,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_near_dup": op5_near_dup,
     "op7_sharding": op7_sharding,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +34,23 @@ def shared_folder(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="termforge-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package where they can't import it already, once an application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="termforge-"), "termforge_package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "termforge")):
+            for name in names:
+                if name.endswith(".py"):
+                    own = os.path.join(folder, name)
+                    out.write(own, os.path.relpath(own, root))
+    context.addPyFile(path)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termforge.session import shared_folder
+from termforge.session import shared_folder, ship
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -29,4 +29,5 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import decontaminate, lm_score, mixing, near_dup, pii, quality_rules, sharding, suffix_dedup, toxicity
+from termforge.llm import decontaminate, lm_score, mixing, near_dup, passage_chain, pii, quality_rules, sharding, suffix_dedup, toxicity
 from termforge.llm._store import documents
 
 
@@ -40,6 +40,10 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(documents(spark, sf_dir))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_chain.passages(documents(spark, sf_dir))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir)).select("doc_id", "shard")
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_near_dup": op5_near_dup,
+    "op6_passages": op6_passages,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,

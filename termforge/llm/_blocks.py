@@ -17,7 +17,7 @@ from pyspark import TaskContext
 
 from termforge.llm import _bytes as B
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -165,8 +165,8 @@ def _rest(parts: int, length: int, gram: int):
         for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if b > a:
                 data = b"".join(body[x : x + m - 1 + length].tobytes() for x, m in zip(begin[a:b], n[a:b], strict=True))
-                rows.append((p, texts.column("block")[0].as_py(), K.pack(np.frombuffer(data, np.uint8)), K.pack(ids[doc[a:b]]), K.pack(start[a:b]), K.pack(n[a:b])))
-        return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("part", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())))})
+                rows.append((p, texts.column("block")[0].as_py(), K.pack(np.frombuffer(data, np.uint8)), K.pack(ids[doc[a:b]]), K.pack(start[a:b]), K.pack(n[a:b]), K.pack_sorted(found[0][head][a:b])))
+        return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("part", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary())))})
 
     return rest
 
@@ -224,30 +224,72 @@ def suffix_order(text: np.ndarray, depth: int, span: int = 1) -> tuple[np.ndarra
     return order, classes
 
 
+def repeats(body: np.ndarray, begin: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """True where a window of a run starts whose string also starts at an earlier place; runs lie one after another in body."""
+    order, _ = suffix_order(body.astype(np.int64) + 1, length)
+    inside = np.ones(len(body), bool)  # a window starts here and ends in its run
+    inside[np.repeat(begin + n, length - 1) + np.tile(np.arange(length - 1), len(n))] = False
+    order = order[inside[order]]
+    sums = B.prefix(body)
+    window = B.hash_range(sums, order, order + length)
+    new = np.ones(len(order), bool)
+    new[1:] = window[1:] != window[:-1]
+    group = np.cumsum(new) - 1
+    run = np.searchsorted(begin, order, "right") - 1
+    d, s = doc[run], start[run] + order - begin[run]
+    place = np.lexsort((s, d, group))
+    head = place[np.flatnonzero(new)][group]
+    later = np.zeros(len(body), bool)
+    later[order] = (d != d[head]) | (s != s[head])
+    return later
+
+
+#: Bytes sorted at once; anchors are sorted apart, so the memory of a sort is bounded.
+SORT_BYTES = 512 << 10
+
+
+def _taken(body: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, bytes there, new begins) of some ranges laid one after another."""
+    fresh = np.cumsum(size) - size
+    at = np.repeat(begin - fresh, size) + np.arange(int(size.sum()))
+    return at, body[at], fresh
+
+
 def _sort(length: int):
     def sort(table: pa.Table) -> pa.Table:
         """Of one range: which windows of each run sent have an equal window at an earlier place."""
         read = lambda column, kind: [K.unpack(table.column(column)[i].as_py(), kind) for i in range(table.num_rows)]
-        data, docs, starts, sizes = read("a", np.uint8), read("b", np.int64), read("c", np.int64), read("d", np.int64)
+        data = read("a", np.uint8)
         body = np.concatenate(data)
-        doc, start, n = (np.concatenate(x) for x in (docs, starts, sizes))
+        doc, start, n = (np.concatenate(read(c, np.int64)) for c in ("b", "c", "d"))
+        anchor = np.concatenate([K.unpack_sorted(table.column("e")[i].as_py()) for i in range(table.num_rows)])
         size = n - 1 + length
         begin = np.cumsum(size) - size
-        order, _ = suffix_order(body.astype(np.int64) + 1, length)
-        inside = np.ones(len(body), bool)  # a window starts here and ends in its run
-        inside[np.repeat(begin + n, length - 1) + np.tile(np.arange(length - 1), len(n))] = False
-        order = order[inside[order]]
-        sums = B.prefix(body)
-        window = B.hash_range(sums, order, order + length)
-        new = np.ones(len(order), bool)
-        new[1:] = window[1:] != window[:-1]
-        group = np.cumsum(new) - 1
-        run = np.searchsorted(begin, order, "right") - 1
-        d, s = doc[run], start[run] + order - begin[run]
-        place = np.lexsort((s, d, group))
-        head = place[np.flatnonzero(new)][group]
         later = np.zeros(len(body), bool)
-        later[order] = (d != d[head]) | (s != s[head])
+        by_anchor = np.argsort(anchor, kind="stable")
+        edge = np.flatnonzero(np.diff(anchor[by_anchor], prepend=~anchor[by_anchor[:1]]))  # where an anchor's runs begin
+        weight = np.add.reduceat(size[by_anchor], edge)
+        k = 0
+        while k < len(edge):
+            stop, total = k + 1, int(weight[k])
+            while stop < len(edge) and total + weight[stop] <= SORT_BYTES:
+                total += int(weight[stop])
+                stop += 1
+            own = by_anchor[edge[k] : edge[stop] if stop < len(edge) else len(by_anchor)]
+            if total <= SORT_BYTES:
+                at, part, fresh = _taken(body, begin[own], size[own])
+                later[at] |= repeats(part, fresh, doc[own], start[own], n[own], length)
+            else:  # one anchor with very many contents: its windows apart, equal ones together
+                run = np.repeat(own, n[own])
+                shift = np.arange(len(run)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+                place = begin[run] + shift
+                cell = B.hash_range(B.prefix(body), place, place + length) % B.U(-(-len(run) * length // SORT_BYTES))
+                for c in np.unique(cell):
+                    mine = np.flatnonzero(cell == c)
+                    one = np.ones(len(mine), np.int64)
+                    _, part, fresh = _taken(body, place[mine], one * length)
+                    later[place[mine]] |= repeats(part, fresh, doc[run[mine]], start[run[mine]] + shift[mine], one, length)[fresh]
+            k = stop
         ends = np.cumsum([len(x) for x in data])
         flags = [K.pack(np.packbits(later[a:b])) for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True)]
         return pa.table({"block": table.column("block"), "part": table.column("part"), "codes": pa.array(flags, pa.binary()), "step": pa.array([2] * len(flags), pa.int32())})
@@ -322,7 +364,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     asked = keep(rows.mapInArrow(_ask(parts, length, gram), packed))
     texts = asked.filter("part < 0").select("block", "a")
     codes = keep(asked.filter("part >= 0").groupBy("part").applyInArrow(_judge, "block bigint, part int, codes binary"))
-    segments = texts.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_rest(parts, length, gram), packed)
+    segments = texts.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_rest(parts, length, gram), packed + ", e binary")
     later = segments.groupBy("part").applyInArrow(_sort(length), "block bigint, part int, codes binary, step int")
     answers = keep(codes.withColumn("step", F.lit(1)).unionByName(later))
     out = f"doc_id {field.simpleString()}, n_bytes bigint, n_removed bigint, spans array<string>, kept_sha256 string"

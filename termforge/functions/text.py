@@ -162,7 +162,10 @@ def porter(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word[:-1]) > 1 else word
 
 
-@F.pandas_udf("string")
-def stem_udf(words: pd.Series) -> pd.Series:
+def stem(word: Column) -> Column:
     """For a column of distinct words: join the result back to the tokens."""
+    return F.pandas_udf(_stem_all, "string")(word)
+
+
+def _stem_all(words: pd.Series) -> pd.Series:
     return words.map(porter, na_action="ignore")

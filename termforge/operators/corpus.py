@@ -44,7 +44,7 @@ def postings(toks: DataFrame) -> DataFrame:
 
 def stemmed(posted: DataFrame) -> DataFrame:
     """Postings over stems; only distinct words go through the stemmer."""
-    stems = posted.select("term").distinct().withColumn("stem", T.stem_udf("term"))
+    stems = posted.select("term").distinct().withColumn("stem", T.stem(F.col("term")))
     return posted.join(stems, "term").groupBy("doc_id", "label", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 

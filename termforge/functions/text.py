@@ -55,13 +55,14 @@ def remove_stop_words(tokens: Column, words: list[str] = STOP_WORDS) -> Column:
 
 def ngrams(tokens: Column, low: int = 1, high: int = 1) -> Column:
     """Contiguous n-grams of low..high tokens, joined by a space."""
-    def of(n: int) -> Column:
+    def of(t: Column, n: int) -> Column:
         if n == 1:
-            return tokens
-        last = F.size(tokens) - n
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+            return t
+        last = F.size(t) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(t, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    # the outer lambda binds the tokens once; else they'd be computed again for each n-gram
+    return F.get(F.transform(F.array(tokens), lambda t: F.concat(*[of(t, n) for n in range(low, high + 1)])), F.lit(0))
 
 
 def word_count(text: Column) -> Column:

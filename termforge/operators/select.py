@@ -110,5 +110,5 @@ def combined_unique(first: DataFrame, second: DataFrame, k: int, equal_rank_to:
 
 def best_rows(rows: DataFrame, by: list[str]) -> DataFrame:
     """Highest mean_accuracy a condition, then the smaller feature_count; rows that don't parse are skipped."""
-    parsed = rows.withColumns({"acc": F.expr("try_cast(mean_accuracy AS DOUBLE)"), "k": F.expr("try_cast(feature_count AS BIGINT)")}).filter("acc IS NOT NULL AND k IS NOT NULL")
-    return parsed.withColumn("nth", F.row_number().over(W.partitionBy(*by).orderBy(F.col("acc").desc(), "k"))).filter("nth = 1").drop("nth", "acc", "k")
+    parsed = rows.withColumns({"_acc": F.expr("try_cast(mean_accuracy AS DOUBLE)"), "_k": F.expr("try_cast(feature_count AS BIGINT)")}).filter("_acc IS NOT NULL AND _k IS NOT NULL")
+    return parsed.withColumn("_nth", F.row_number().over(W.partitionBy(*by).orderBy(F.col("_acc").desc(), "_k"))).filter("_nth = 1").drop("_nth", "_acc", "_k")

@@ -284,10 +284,10 @@ query("o131_semi_join", sql("SELECT doc_id, term, tf FROM post WHERE term IN (SE
 query("o132_anti_join", sql("SELECT term, df FROM dfs WHERE term NOT IN (SELECT term FROM top30)"))(lambda b: M.document_frequency(b.post).join(b.top(30).select("term"), "term", "left_anti").select("term", "df"))
 
 
-@query("o133_left_join_metadata", sql("SELECT d.term, d.df, r.selection_rank, coalesce(r.dominant_label, '') AS role FROM dfs d LEFT JOIN (SELECT * FROM ranked WHERE selection_rank <= 30) r ON d.term = r.term"))
+@query("o133_left_join_metadata", sql("SELECT d.term, d.df, coalesce(r.selection_rank, -1) AS selection_rank, coalesce(r.dominant_label, '') AS role FROM dfs d LEFT JOIN (SELECT * FROM ranked WHERE selection_rank <= 30) r ON d.term = r.term"))
 def _(b):
     meta = b.top(30).select("term", "selection_rank", "dominant_label")
-    return M.document_frequency(b.post).join(F.broadcast(meta), "term", "left").select("term", "df", "selection_rank", F.coalesce("dominant_label", F.lit("")).alias("role"))
+    return M.document_frequency(b.post).join(F.broadcast(meta), "term", "left").select("term", "df", F.coalesce("selection_rank", F.lit(-1)).alias("selection_rank"), F.coalesce("dominant_label", F.lit("")).alias("role"))
 
 
 @query("o134_names_join", sql("SELECT doc_id, doc_name, label FROM corpus"))

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 
 from termforge.llm import _bytes as B
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -69,3 +69,15 @@ def freeze(table: pa.Table) -> bytes:
 
 def thaw(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.decompress(data)).read_all()
+
+
+def frozen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (block, body), the rows of each block with the text in column 1."""
+    for number, table in blocks(batches, 1):
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([freeze(table)], pa.binary())], ["block", "body"])
+
+
+def thawed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.column(0)[k].as_py(), thaw(batch.column(1)[k].as_py())

@@ -62,10 +62,10 @@ def grams(sequence: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.
 def _ask(order: int, parts: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("gram", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-        for number, table in K.blocks(batches, 1):
+        for number, table in K.thawed(batches):
             sequence, at = sequences(table.column(1))
             training = np.repeat(table.column(2).to_numpy().astype(bool), np.diff(at))
-            rows: list[tuple] = [(-1, number, 0, K.freeze(table), b"")]
+            rows: list[tuple] = []
             for n in range(1, order + 1):
                 hashes, ends = grams(sequence, at, n)
                 own, index = np.unique(hashes, return_inverse=True)
@@ -129,7 +129,7 @@ def traverse(sequence: np.ndarray, at: np.ndarray, counts: list[np.ndarray], tok
 
 def _scorer(order: int, tokens: int, known: int, prior: float, kind: pa.DataType):
     def score(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        table = K.thaw(texts.column("hashes")[0].as_py())
+        table = K.thaw(texts.column("body")[0].as_py())
         sequence, at = sequences(table.column(1))
         found = sorted(zip(answers.column("gram").to_pylist(), answers.column("part").to_pylist(), answers.column("counts").to_pylist(), strict=True), key=lambda r: r[:2])
         counts = [np.concatenate([K.unpack(c) for g, _, c in found if g == n] or [np.zeros(0, np.uint64)]) for n in range(1, order + 1)]
@@ -147,11 +147,10 @@ def score(docs: DataFrame, training: Column, order: int = ORDER, prior: float =
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    asked = keep(rows.mapInArrow(_ask(order, parts), "part int, block bigint, gram int, hashes binary, counts binary"))
-    questions = asked.filter("part >= 0")
+    texts = keep(rows.mapInArrow(K.frozen, "block bigint, body binary"))
+    questions = texts.mapInArrow(_ask(order, parts), "part int, block bigint, gram int, hashes binary, counts binary")
     answers = keep(questions.groupBy("part").applyInArrow(_answer, "block bigint, part int, gram int, counts binary, tokens bigint, known bigint"))
     n = answers.agg(F.sum("tokens").alias("tokens"), F.sum("known").alias("known")).first()
-    texts = asked.filter("part < 0").select("block", "hashes")
     from pyspark.sql.pandas.types import to_arrow_type
 
     scorer = _scorer(order, n["tokens"] or 0, n["known"] or 0, prior, to_arrow_type(docs.schema["doc_id"].dataType))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text handled at once, in bytes; one document is never cut.
-AT_ONCE = 1 << 20
+AT_ONCE = 256 << 10
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 SPACES = np.zeros(256, bool)

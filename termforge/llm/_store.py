@@ -30,4 +30,6 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # whole texts: ten times less at once than the default for narrow rows
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -100,13 +100,13 @@ def _ids(table: pa.Table) -> np.ndarray:
 
 def _ask(parts: int, length: int, gram: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, table in K.blocks(batches, 1):
+        for number, table in K.thawed(batches):
             ids, found = _ids(table), block_runs(table, length, gram)
             order, first, _ = entries(ids, found)
             head = order[first]
             anchor, content, doc, start = found[0][head], found[1][head], ids[found[2][head]], found[3][head]
             cut = K.cuts(anchor, parts)
-            rows: list[tuple] = [(-1, number, K.freeze(table), b"", b"", b"")]
+            rows: list[tuple] = []
             for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if b > a:
                     rows.append((p, number, K.pack_sorted(anchor[a:b]), K.pack(content[a:b]), K.pack(doc[a:b]), K.pack(start[a:b])))
@@ -153,7 +153,7 @@ def _rest(parts: int, length: int, gram: int):
     """The bytes of runs with code 2, to their anchor's range."""
 
     def rest(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        table = K.thaw(texts.column("a")[0].as_py())
+        table = K.thaw(texts.column("body")[0].as_py())
         ids, found, code = _ids(table), block_runs(table, length, gram), _codes(answers)
         order, first, _ = entries(ids, found)
         head = order[first][code == 2]
@@ -245,7 +245,7 @@ def repeats(body: np.ndarray, begin: np.ndarray, doc: np.ndarray, start: np.ndar
 
 
 #: Bytes sorted at once; anchors are sorted apart, so the memory of a sort is bounded.
-SORT_BYTES = 512 << 10
+SORT_BYTES = 256 << 10
 
 
 def _taken(body: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,13 +299,13 @@ def _sort(length: int):
 
 def covered(size: int, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Bytes inside any of the ranges."""
-    steps = np.bincount(begin, minlength=size + 1).astype(np.int64) - np.bincount(stop, minlength=size + 1)
-    return np.cumsum(steps)[:size] > 0
+    steps = np.bincount(begin, minlength=size + 1).astype(np.int32) - np.bincount(stop, minlength=size + 1).astype(np.int32)
+    return np.cumsum(steps, dtype=np.int32)[:size] > 0
 
 
 def _finish(parts: int, length: int, gram: int, kind: pa.DataType):
     def finish(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        table = K.thaw(texts.column("a")[0].as_py())
+        table = K.thaw(texts.column("body")[0].as_py())
         ids, found = _ids(table), block_runs(table, length, gram)
         steps = np.array(answers.column("step").to_pylist(), np.int32)
         code = _codes(answers.filter(pa.array(steps == 1)))
@@ -361,9 +361,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     field = docs.schema["doc_id"].dataType
     rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     packed = "part int, block bigint, a binary, b binary, c binary, d binary"
-    asked = keep(rows.mapInArrow(_ask(parts, length, gram), packed))
-    texts = asked.filter("part < 0").select("block", "a")
-    codes = keep(asked.filter("part >= 0").groupBy("part").applyInArrow(_judge, "block bigint, part int, codes binary"))
+    texts = keep(rows.mapInArrow(K.frozen, "block bigint, body binary"))
+    codes = keep(texts.mapInArrow(_ask(parts, length, gram), packed).groupBy("part").applyInArrow(_judge, "block bigint, part int, codes binary"))
     segments = texts.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_rest(parts, length, gram), packed + ", e binary")
     later = segments.groupBy("part").applyInArrow(_sort(length), "block bigint, part int, codes binary, step int")
     answers = keep(codes.withColumn("step", F.lit(1)).unionByName(later))

@@ -305,3 +305,38 @@ def _(b):
 
 
 query("o08_json_leaf_text")(lambda b: stats.json_leaves(b.table("events").select("event_id", "props"), "props"))
+
+
+query("o136_vertical_concat", sql("SELECT 'post' AS part, term, tf AS n FROM post WHERE tf > 5 UNION ALL SELECT 'df' AS part, term, df AS n FROM dfs WHERE df > 20"))(
+    lambda b: b.post.filter("tf > 5").select(F.lit("post").alias("part"), "term", F.col("tf").alias("n")).unionByName(M.document_frequency(b.post).filter("df > 20").select(F.lit("df").alias("part"), "term", F.col("df").alias("n"))))
+
+
+_ORDER = ["signup", "login", "view", "click", "purchase"]
+
+
+@query("o199_best_in_fixed_order", sql("SELECT coalesce(o.place, 99) AS place, r.condition, r.feature_count, r.acc FROM (SELECT * FROM res WHERE feature_count <> '70' QUALIFY row_number() OVER (PARTITION BY condition ORDER BY acc DESC, CAST(feature_count AS BIGINT)) = 1) r LEFT JOIN (VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(_ORDER)) + ") o(condition, place) ON o.condition = r.condition", **_RESULTS))
+def _(b):
+    places = b.spark.createDataFrame([(c, i) for i, c in enumerate(_ORDER)], "condition string, place int")
+    return S.best_rows(_results(b), ["condition"]).join(F.broadcast(places), "condition", "left").select(F.coalesce("place", F.lit(99)).alias("place"), "condition", "feature_count", "acc")
+
+
+_FOLD_TERMS = {
+    "fc": "SELECT f.fold, term, count(*) FILTER (WHERE p.label = 1) AS c1, count(*) FILTER (WHERE p.label = 0) AS c0 FROM post p JOIN folds f USING (doc_id) GROUP BY f.fold, term",
+    "fn": "SELECT fold, count(*) FILTER (WHERE label = 1) AS k1, count(*) FILTER (WHERE label = 0) AS k0 FROM folds GROUP BY fold",
+    "train": "SELECT fn.fold, d.term, round(abs((df1 - coalesce(c1, 0)) / (n1 - k1) - (df0 - coalesce(c0, 0)) / (n0 - k0)), 9) + 0.0 AS s FROM fn CROSS JOIN dfs d CROSS JOIN sizes LEFT JOIN fc ON fc.fold = fn.fold AND fc.term = d.term",
+}
+
+
+@query("o202_selected_terms_by_fold", sql("SELECT fold, term, s, CAST(row_number() OVER (PARTITION BY fold ORDER BY s DESC, term) AS INTEGER) AS selection_rank FROM train QUALIFY selection_rank <= 25", **_FOLD_TERMS))
+def _(b):
+    # training counts of a fold are the totals less the fold's own: one pass for all folds
+    folds = splits.stratified(b.corpus.select("doc_id", "label"), 5)
+    sizes = folds.groupBy("fold").agg(F.count_if(F.col("label") == 1).alias("k1"), F.count_if(F.col("label") == 0).alias("k0"))
+    own = b.post.join(folds.select("doc_id", "fold"), "doc_id").groupBy("fold", "term").agg(F.count_if(F.col("label") == 1).alias("c1"), F.count_if(F.col("label") == 0).alias("c0"))
+    totals = own.groupBy("term").agg(F.sum("c1").alias("df1"), F.sum("c0").alias("df0")).crossJoin(F.broadcast(b.sizes)).crossJoin(F.broadcast(sizes))
+    rows = totals.join(own, ["fold", "term"], "left")
+    share = lambda k: (F.col(f"df{k}") - F.coalesce(f"c{k}", F.lit(0))) / (F.col(f"n{k}") - F.col(f"k{k}"))
+    return S.top(rows.select("fold", "term", r9(F.abs(share(1) - share(0))).alias("s")), ["s DESC", "term"], 25, "selection_rank", ["fold"])
+
+
+query("o212_train_accuracy_gate")(lambda b: _candidates(b, "rbf", 0.0).groupBy("split_id", "candidate_index").agg(F.first("status").alias("status")))

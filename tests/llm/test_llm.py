@@ -178,7 +178,7 @@ def test_passages(spark):
     got = passage_chain.passages(frame(spark, corpus())).collect()
     pairs = {(r.doc_id, r.source_id) for r in got}
     assert {(17, 11), (23, 11), (23, 17), (5, 2), (9, 3)} == pairs
-    assert all(r.stop - r.start >= 60 for r in got)
+    assert all(r.stop - r.start >= passage_chain.LEAST for r in got)
 
 
 def test_chain_is_collinear():
@@ -213,7 +213,7 @@ def test_mixing_reaches_targets(spark):
 
 def test_toxicity_learns_words_and_stems():
     rng, words = random.Random(7), [w for w in vocabulary(300) if len(w) > 2]
-    rows = [(prose(rng, words, 60) + (f" you {rng.choice(['blorg', 'zzunta', 'zzunte', 'zzunto', 'zzuntu'])}. bye" if k % 5 == 0 else ". bye"), int(k % 5 == 0)) for k in range(300)]
+    rows = [(prose(rng, words, 60) + (f" you {rng.choice(['blorg', 'zzunta', 'zzunte', 'zzunto', 'zzuntu'])}. bye" if k % 5 == 0 else " you friend. bye"), int(k % 5 == 0)) for k in range(300)]
     g = toxicity.learn(rows)
     assert g.score("such a blorg") > 0.5 > 0.3 > g.score("such a nice day") and g.score("a zzuntx here") > 0.3
     assert g.evidence("he said not a blorg") < g.evidence("you blorg")
@@ -223,7 +223,7 @@ def test_toxicity_learns_words_and_stems():
 def test_pii(spark):
     texts = ["mail a.b@c.org now", "x@y no dot, 1.2.3.256 and 10.0.0.1", "card 4111 1111 1111 1111 or 4111111111111112", "+44 (20) 7946-0958!", "ünï a@b.cd"]
     got = [pii.base_spans(t) for t in texts]
-    assert got == [[("email", 5, 14)], [("ip", 29, 37)], [("card", 5, 24)], [("phone", 0, 18)], [("email", 4, 10)]]
+    assert got == [[("email", 5, 14)], [("ip", 26, 34)], [("card", 5, 24)], [("phone", 0, 18)], [("email", 4, 10)]]
     assert pii.replaced(texts[0], got[0]) == "mail [EMAIL] now"
     rows = [(i, f"note {i} {w}: the nickname quizzle wrote to q@z.org from {w}", "s", 1, 1, "x") for i, w in enumerate(vocabulary(30))] + [(1000 + i, f"plain text about things {w}", "s", 1, 1, "x") for i, w in enumerate(vocabulary(3000, 9))]
     clean = {r.doc_id: r.clean for r in pii.find(frame(spark, rows), True).collect()}

@@ -255,6 +255,18 @@ def _taken(body: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return at, body[at], fresh
 
 
+def _window_hashes(body: np.ndarray, begin: np.ndarray, size: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each window of the runs in turn, from about SORT_BYTES of them at a time."""
+    group = np.cumsum(size) // SORT_BYTES
+    out = []
+    for g in np.unique(group):
+        mine = np.flatnonzero(group == g)
+        _, part, fresh = _taken(body, begin[mine], size[mine])
+        at = np.repeat(fresh - (np.cumsum(n[mine]) - n[mine]), n[mine]) + np.arange(int(n[mine].sum()))
+        out.append(B.hash_range(B.prefix(part), at, at + length))
+    return np.concatenate(out)
+
+
 def _sort(length: int):
     def sort(table: pa.Table) -> pa.Table:
         """Of one range: which windows of each run sent have an equal window at an earlier place."""
@@ -283,7 +295,7 @@ def _sort(length: int):
                 run = np.repeat(own, n[own])
                 shift = np.arange(len(run)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
                 place = begin[run] + shift
-                cell = B.hash_range(B.prefix(body), place, place + length) % B.U(-(-len(run) * length // SORT_BYTES))
+                cell = _window_hashes(body, begin[own], size[own], n[own], length) % B.U(-(-len(run) * length // SORT_BYTES))
                 for c in np.unique(cell):
                     mine = np.flatnonzero(cell == c)
                     one = np.ones(len(mine), np.int64)

@@ -150,4 +150,6 @@ def keep_good(docs: DataFrame, sample_rows: int = 1000) -> DataFrame:
     rules = default_rules()
     order = [x[0] for x in order_rules(measures(docs), rules, sample_rows)]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return measures(rows, "row").filter(verdict(rules, order).isNull()).select("row.*")
+    judged = measures(rows, "row").select("row", verdict(rules, order).alias("by"))
+    # a filter would be pushed below the measures and compute them again for each mention; explode of null drops the row
+    return judged.select(F.explode(F.when(F.col("by").isNull(), F.array("row"))).alias("row")).select("row.*")

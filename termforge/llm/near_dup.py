@@ -8,14 +8,14 @@ Arrivals are drawn in rising order and a process stops when it has passed the do
 register.
 
 Candidates. Registers are banded. Copies with one multiset are one node. A band's bucket is a star
-around its leader, the member with most bucket-mates over all bands; members that no leader takes
-form the bucket's rest and meet 16 leaders of it, then 256, and so on until every two of the rest
-have met or been linked: nothing is capped, and the pairs of a group that is alike are not listed.
+around its leader, the member with most bucket-mates over all bands. Verified links are joined to
+components after each round; leaders, which have met their whole bucket, leave it, and members of
+different components meet the next 16 leaders, then 256, and so on, until the rest of each bucket is
+one component: every two members of a bucket are verified or connected, nothing is capped.
 Candidates are verified on the exact multisets.
 
-Classes. Verified links are joined to components by least labels with pointer jumps; a class is
-named by its least doc_id. The loss by design: a member that found a leader is not compared with
-the other members, so classes that only such a pair would join stay apart.
+Classes. Components come from least labels with pointer jumps; a class is named by its least doc_id.
+The loss by design: pairs that share no band are no candidates.
 
 Texts of fewer than five words are one shingle, all their words; null and empty texts are each
 their own class. Words are case-folded for A-Z. Extra columns are ignored; repeated rows fall in
@@ -158,42 +158,45 @@ def classes(docs: DataFrame) -> DataFrame:
     entries = nodes.filter(F.col("node").isNotNull()).select("node", F.explode("keys").alias("key"))
     buckets = keep(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     shared = keep(entries.join(buckets, "key"))
-    # a bucket's leader is its node with most bucket-mates over all bands: the original among its edited copies
+    # a bucket's first leader is its node with most bucket-mates over all bands: the original among its edited copies
     degree = keep(shared.groupBy("node").agg((-F.sum("n")).alias("rank")))
-    placed = keep(shared.select("key", "node").join(degree, "node"))
-    leaders = keep(placed.groupBy("key").agg(F.min(F.struct("rank", "node")).alias("l")).select("key", F.col("l.node").alias("leader")))
-    rest = keep(placed.join(leaders, "key").filter(F.col("node") != F.col("leader")).select("key", "rank", F.col("node").alias("member"), "leader", F.lit(False).alias("leads")))
-    for used in (buckets, shared, degree, placed, leaders):
+    active = keep(shared.join(degree, "node").select("key", "rank", F.col("node").alias("member"), F.col("node").alias("label")))
+    for used in (buckets, shared, degree):
         drop(spark, used)
-    wanted = rest.select(F.col("member").alias("node")).union(rest.select(F.col("leader").alias("node"))).distinct()
+    wanted = active.select(F.col("member").alias("node")).distinct()
     # the text of one row a node: repeated rows of a doc_id may differ, the least of them stands for it
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
     bags = keep(texts.mapInArrow(_bags, f"node {kind}, units binary").groupBy("node").agg(F.min("units").alias("units")))
-    links, leaders_a_bucket = None, 1
-    while True:
-        pairs = rest.select("leader", "member").distinct()
+    links, found, leaders_a_bucket = None, None, 1
+    while not active.isEmpty():
+        # few leaders of any component join most members soon; then only members outside a bucket's largest component lead
+        own = active if leaders_a_bucket <= 16 else active.filter("NOT largest")
+        cell = F.pmod(F.xxhash64("member", F.lit(leaders_a_bucket)), F.lit(leaders_a_bucket))
+        heads = keep(own.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("rank", "member", "label")).alias("l")).select("key", F.col("l.member").alias("leader"), F.col("l.label").alias("leads")))
+        met = active.join(heads, "key").filter(F.col("label") != F.col("leads"))
+        pairs = met.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member")).distinct()
         with_member = pairs.join(bags.select(F.col("node").alias("member"), F.col("units").alias("mine")), "member")
         with_both = with_member.join(bags.select(F.col("node").alias("leader"), "units"), "leader").select("leader", "member", "mine", "units")
-        judged = keep(with_both.mapInArrow(_verify, f"leader {kind}, member {kind}, close boolean"))
-        own = judged.filter("close").select(F.col("leader").alias("a"), F.col("member").alias("b"))
-        links = own if links is None else links.union(own)
-        # members stay that no leader took; leaders have met all of the bucket's rest and leave
-        taken = keep(judged.filter("close").select("member").distinct())
-        met = rest.groupBy("key", "rank", "member").agg(F.max("leads").alias("leads")).filter("NOT leads")
-        left = keep(met.join(taken, "member", "left_anti").select("key", "rank", "member"))
-        drop(spark, rest)
-        leaders_a_bucket *= 16
-        cell = F.pmod(F.xxhash64("member", F.lit(leaders_a_bucket)), F.lit(leaders_a_bucket))
-        heads = left.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("rank", "member")).alias("l")).select("key", F.col("l.member").alias("leader"))
-        rest = keep(left.join(heads, "key").filter(F.col("member") != F.col("leader")))
-        rest = keep(rest.join(rest.select("key", F.col("leader").alias("member")).distinct().withColumn("leads", F.lit(True)), ["key", "member"], "left")
-                    .filter(F.col("leads").isNull() | (F.col("member") > F.col("leader"))).select("key", "rank", "member", "leader", F.col("leads").isNotNull().alias("leads")))
-        if rest.isEmpty():
-            break
-    if links.isEmpty():
+        close = keep(with_both.mapInArrow(_verify, f"leader {kind}, member {kind}, close boolean").filter("close").select(F.col("leader").alias("a"), F.col("member").alias("b")))
+        if not close.isEmpty():
+            links = close if links is None else links.union(close)
+            found = components(links)
+        # leaders have met all of their bucket and leave; it stays while its other members are of several components
+        left = active.join(heads.select("key", F.col("leader").alias("member")), ["key", "member"], "left_anti").select("key", "rank", "member")
+        if found is not None:
+            left = left.join(found.withColumnRenamed("node", "member"), "member", "left").withColumn("label", F.coalesce("label", "member"))
+        else:
+            left = left.withColumn("label", F.col("member"))
+        left = keep(left.select("key", "rank", "member", "label"))
+        sizes = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+        several = sizes.agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("key", F.col("top.label").alias("top"))
+        after = keep(left.join(several, "key").withColumn("largest", F.col("label") == F.col("top")).drop("top"))
+        for used in (active, heads, left):
+            drop(spark, used)
+        active, leaders_a_bucket = after, leaders_a_bucket * 16
+    if found is None:
         named = nodes.select("bag", F.col("node").alias("class_id"))
     else:
-        found = components(links)
         named = nodes.join(found, "node", "left").select("bag", F.coalesce("label", "node").alias("class_id"))
     named = keep(named)
     out = signed.select("doc_id", "bag").join(named, "bag", "left")

@@ -174,6 +174,31 @@ def test_near_dup(spark):
     assert {r.doc_id for r in near_dup.keep_one(frame(spark, rows)).collect()} == set(name.values())
 
 
+def test_near_dup_bridges(spark):
+    """L leads and takes A; B is close to A but to no other: the link A~B of two members counts."""
+    rng, words = random.Random(31), vocabulary(3000, 9)
+    rows = []
+    for group in range(8):
+        base = [rng.choice(words) for _ in range(400)]
+        for who, places in enumerate([[], [3, 10], [3, 10, *range(43, 203, 20)], *[[k, k + 90] for k in range(210, 234, 6)]]):
+            own = list(base)
+            for k in places:
+                own[k] = f"edit{group}x{k}"
+            rows.append((group * 20 + who, " ".join(own), "s", 0, 1, "x"))
+    docs, hashes, counts = near_dup.shingles(pa.array([r[1] for r in rows]))
+    keys = near_dup.band_keys(near_dup.signatures(len(rows), docs, hashes, counts))
+    bags = [dict(zip(hashes[docs == k].tolist(), counts[docs == k].tolist())) for k in range(len(rows))]
+    close = lambda a, b: sum(min(n, b.get(h, 0)) for h, n in a.items()) >= 0.8 * sum(max(a.get(h, 0), b.get(h, 0)) for h in a.keys() | b.keys())
+    name = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (keys[i] == keys[j]).any() and close(bags[i], bags[j]):
+                a, b = sorted((name[i], name[j]))
+                name = [a if n == b else n for n in name]
+    got = {r.doc_id: r.class_id for r in near_dup.classes(frame(spark, rows)).collect()}
+    assert got == {rows[k][0]: rows[name[k]][0] for k in range(len(rows))}
+
+
 def test_passages(spark):
     got = passage_chain.passages(frame(spark, corpus())).collect()
     pairs = {(r.doc_id, r.source_id) for r in got}

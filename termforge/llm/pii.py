@@ -2,10 +2,10 @@
 
 Patterns find emails, IPv4 addresses, card numbers (Luhn) and phone numbers. Around each of these
 entities the words of a window are gathered over the whole corpus. A term reveals an entity if it
-was seen in `support` different contexts with it and P(entity | term), joint contexts over the
-documents that hold the term, exceeds `posterior`, at an information gain of `bits` over the
-entity's own share of documents. Contexts are told apart by their words, so copies of a document
-count once. Such terms are spans of kind `term` in documents that hold the entity, and are
+was seen in `support` different contexts with it and P(entity | term), joint texts over the texts
+that hold the term, exceeds `posterior`, at an information gain of `bits` over the entity's own
+share of texts. Texts are distinct ones for all four counts, so copies of a document count once;
+contexts are told apart by their words. Such terms are spans of kind `term` in documents that hold the entity, and are
 generalised like the entities.
 
 Null and empty texts have no spans. Repeated rows give repeated results. Extra columns are ignored.
@@ -89,23 +89,36 @@ def _inside(a: int, b: int, spans: list[tuple[str, int, int]]) -> bool:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = set()
+        rows: list[tuple[str, str, str, int]] = []
         for text in batch.column(0):
+            own: dict[tuple[str, str], set[str]] = {}
             text = text.as_py()
             spans = base_spans(text)
             for kind, a, b in spans:
                 key, left = entity(kind, text[a:b]), max(0, a - CONTEXT)
                 terms = {m.group().lower() for m in TERM.finditer(text, left, min(len(text), b + CONTEXT)) if not _inside(*m.span(), spans)}
                 mark = hashlib.blake2b(" ".join(sorted(terms)).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-                rows |= {(t, key, mark) for t in terms}
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["term", "entity", "context"])
+                for t in ("", *terms):  # "" counts the texts of the entity itself
+                    own.setdefault((t, key), set()).add(mark if t else "")
+            rows += [(t, key, mark, int(k == 0)) for (t, key), marks in own.items() for k, mark in enumerate(marks)]
+        yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], pa.string()) for k in range(3)], pa.array([r[3] for r in rows], pa.int64())], ["term", "entity", "context", "texts"])
+
+
+def _distinct_texts(docs: DataFrame) -> DataFrame:
+    """text and its hash fp, each text once; only texts that have copies are shuffled."""
+    marked = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
+    copied = keep(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp"))
+    return marked.join(copied, "fp", "left_anti").unionByName(marked.join(copied, "fp", "left_semi").dropDuplicates(["fp"]))
 
 
 def revealing_terms(docs: DataFrame, support: int = 3, posterior: float = 0.2, bits: float = 6.0) -> DataFrame:
     """(term, entity): what the whole corpus says gives an entity away."""
-    seen = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_contexts, "term string, entity string, context string")
-    joint = seen.distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("joint")).filter(F.col("joint") >= support)
-    joint = keep(joint)
+    texts = _distinct_texts(docs)
+    seen = texts.select("text").mapInArrow(_contexts, "term string, entity string, context string, texts long")
+    contexts = seen.groupBy("term", "entity", "context").agg(F.sum("texts").alias("texts"))
+    counted = contexts.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("contexts"), F.sum("texts").alias("joint"))
+    counted = keep(counted.filter((F.col("term") == "") | (F.col("contexts") >= support)))
+    joint = counted.filter("term <> ''").select("term", "entity", "joint")
     if joint.isEmpty():
         return joint.select("term", "entity")
     n_terms = joint.select("term").distinct().count()
@@ -113,11 +126,11 @@ def revealing_terms(docs: DataFrame, support: int = 3, posterior: float = 0.2, b
     counts = None
     for k in range(parts):
         own = [r[0] for r in joint.select("term").distinct().filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).collect()]
-        found = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counter(docs.sparkSession.sparkContext.broadcast(frozenset(own))), "term string, n long")
+        found = texts.select("text").mapInArrow(_counter(docs.sparkSession.sparkContext.broadcast(frozenset(own))), "term string, n long")
         counts = found if counts is None else counts.unionAll(found)
     holding = counts.groupBy("term").agg(F.sum("n").alias("n"))
-    total = docs.count()
-    holders = joint.groupBy("entity").agg(F.max("joint").alias("own"))
+    total = docs.select(F.xxhash64(F.coalesce("text", F.lit("")))).distinct().count()
+    holders = counted.filter("term = ''").select("entity", F.col("joint").alias("own"))
     gain = F.log2((F.col("joint") / F.col("n")) / (F.col("own") / F.lit(float(max(1, total)))))
     return joint.join(holding, "term").join(holders, "entity").filter((F.col("joint") / F.col("n") >= posterior) & (gain >= bits)).select("term", "entity")
 

@@ -255,6 +255,16 @@ def test_pii(spark):
     assert "quizzle" not in clean[0] and "[TERM]" in clean[0] and clean[1001] == rows[31][1]
 
 
+def test_pii_terms_inside_copies(spark):
+    """One of a term's contexts stands in a large group of copies: it reveals the entity as before."""
+    texts = [f"note {w}: the nickname quizzle wrote to q@z.org from {w}" for w in vocabulary(4)] + [f"plain text about things {k} {w}" for k, w in enumerate(vocabulary(600, 9))]
+    rows = [(i, t, "s", 1, 1, "x") for i, t in enumerate(texts)]
+    copies = [(10_000 + k, texts[0], "s", 1, 1, "x") for k in range(300)]
+    found = lambda rows: {tuple(r) for r in pii.revealing_terms(frame(spark, rows)).collect()}
+    assert ("quizzle", pii.entity("email", "q@z.org")) in found(rows + copies)
+    assert found(rows + copies) == found(rows)
+
+
 def test_hash_ranges_are_words():
     from termforge.llm import _bytes as B
 

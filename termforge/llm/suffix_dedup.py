@@ -5,16 +5,23 @@
    run content) pairs with their first places to the anchor's range of the hash space. A run whose
    content starts earlier elsewhere is removed whole; a run whose anchor no other content shares
    stays. Copies, however many, end here: one entry a block, one content in all.
-2. Of each content that shares its anchor with others, the first occurrence sends its bytes to the
-   anchor's range. There the suffixes are sorted by the difference-cover method (cover {1, 2} mod
-   3): sampled triples are sorted and named, names are sorted by recursion until a name spans
-   `length` bytes, remaining suffixes are merged in; neighbours in suffix order with a common
-   prefix of `length` bytes are one string, and all its places but the first are removed.
-
-Equal windows always meet in one range, so ranges are sorted independently of each other. Anchors
-and contents are compared by 64-bit hashes. doc_id must be integral; null is before all. Null and
-empty texts have no bytes; texts shorter than `length` stay. Of repeated rows of one doc_id,
-equal places are one place: neither removes the other. Extra columns are ignored.
+2. Of each content that shares its anchor with others, the first occurrence sends its bytes on, in
+   two pieces: windows with the anchor in their first half agree on the bytes right of it, others on
+   those left of it, and each piece goes to the range of these core bytes' hash. So contents that
+   share a frequent anchor and little more are spread over all ranges, and a piece whose core no
+   other has is done. In a range the suffixes of the pieces that share cores are sorted by the
+   difference-cover method (cover {1, 2} mod 3): sampled triples are sorted and named, names are
+   sorted by recursion until a name spans `length` bytes, remaining suffixes are merged in;
+   neighbours in suffix order are compared on their first `length` bytes, equal ones are one string,
+   and all its places but the first are removed. A core with more than SORT_BYTES of pieces is split
+   by longer cores first, so a sort's memory is bounded.
+
+Equal windows always meet in one range, so ranges are sorted independently of each other. Anchors,
+contents and cores are known by 64-bit hashes, the strings of a sort are compared byte by byte.
+doc_id must be integral; null is before all. Null and empty texts have no bytes; texts shorter than
+`length` stay. Of repeated rows of one doc_id, equal places are one place: neither removes the
+other, whatever their texts. A very long text is never cut; its arrays take about 80 bytes a byte of
+it in a worker. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,10 +57,10 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(body: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, document, start in document, windows) of each run of a document's windows with one anchor."""
+    """(anchor hash, content hash, document, start in document, windows, anchor's offset in the first one) of each run of a document's windows with one anchor."""
     none = np.zeros(0, np.uint64)
     if len(body) < length:
-        return none, none, none.astype(np.int64), none.astype(np.int64), none.astype(np.int64)
+        return none, none, *[none.astype(np.int64)] * 4
     sums = B.prefix(body)
     starts = np.arange(len(body) - gram + 1)
     hashes = B.hash_range(sums, starts, starts + gram)
@@ -71,22 +78,23 @@ def runs(body: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRA
     n = np.diff(np.append(head, len(first)))
     begin, place = first[head], own[head]
     content = B.mix(B.hash_range(sums, begin, begin + n - 1 + length) + (place - begin).astype(np.uint64))
-    return hashes[place], content, docs[head], begin - at[docs[head]], n
+    # an anchor's hash is the least of many; mixed again, anchors spread evenly over the ranges
+    return B.mix(hashes[place]), content, docs[head], begin - at[docs[head]], n, place - begin
 
 
 def block_runs(table: pa.Table, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """runs() of a block's documents, with the document's row in the block."""
     found, base = [], 0
     for chunk in table.column(1).chunks:
-        h, c, d, s, n = runs(*B.raw(chunk), length, gram)
-        found.append((h, c, d + base, s, n))
+        h, c, d, s, n, p = runs(*B.raw(chunk), length, gram)
+        found.append((h, c, d + base, s, n, p))
         base += len(chunk)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def entries(ids: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, first, index): runs sorted by anchor, content, place; where an entry begins in that order; each sorted run's entry."""
-    anchor, content, doc, start, _ = found
+    anchor, content, doc, start = found[:4]
     order = np.lexsort((start, ids[doc], content, anchor))
     new = np.ones(len(order), bool)
     a, c = anchor[order], content[order]
@@ -149,24 +157,58 @@ def _codes(answers: pa.Table) -> np.ndarray:
     return np.concatenate([K.unpack(x, np.uint8) for x in _by_part(answers, "codes")] or [np.zeros(0, np.uint8)])
 
 
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """64-bit hash of each row of a matrix of bytes."""
+    out = np.full(len(rows), rows.shape[1], np.uint64)
+    for column in rows.T:
+        out = B.mix(out * B.U(0x9FB21C651E98DF25) + column.astype(np.uint64) + B.U(1))
+    return out
+
+
+def cores(body: np.ndarray, place: np.ndarray, low: int, high: int, length: int, gram: int) -> np.ndarray:
+    """Hash of the bytes that all windows share which have the anchor (at place) at offsets from low to high."""
+    width, out = low + length - high, []
+    step = max(1, SORT_BYTES // width)
+    for k in range(0, len(place), step):
+        out.append(row_hashes(body[place[k : k + step, None] + np.arange(-low, length - high)]))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def pieces(body: np.ndarray, at: np.ndarray, found: tuple[np.ndarray, ...], head: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(core, run, begin in body, windows, anchor's offset in the first one) of the two pieces of the runs `head`, sorted by core."""
+    _, _, doc, start, n, top = (x[head] for x in found)
+    begin = at[doc] + start
+    place, half, last = begin + top, (length - gram) // 2, length - gram
+    out = []
+    for low, high in ((0, half), (half + 1, last)):
+        most, least = np.minimum(top, high), np.maximum(top - n + 1, low)
+        mine = np.flatnonzero(most >= least)
+        out.append((cores(body, place[mine], low, high, length, gram), head[mine], (place - most)[mine], (most - least + 1)[mine], most[mine]))
+    core, run, first, windows, offset = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((first, core))
+    return tuple(x[order] for x in (core, run, first, windows, offset))
+
+
 def _rest(parts: int, length: int, gram: int):
-    """The bytes of runs with code 2, to their anchor's range."""
+    """The bytes of runs with code 2, in two pieces, to their cores' ranges."""
 
     def rest(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
         table = K.thaw(texts.column("body")[0].as_py())
         ids, found, code = _ids(table), block_runs(table, length, gram), _codes(answers)
         order, first, _ = entries(ids, found)
-        head = order[first][code == 2]
-        cut = K.cuts(found[0][head], parts)
         body, at = B.raw(pa.concat_arrays(table.column(1).chunks))
-        doc, start, n = (found[i][head] for i in (2, 3, 4))
-        begin = at[doc] + start
+        core, run, begin, n, offset = pieces(body, at, found, order[first][code == 2], length, gram)
+        doc = found[2][run]
+        start, ids = begin - at[doc], ids[doc]
+        cut = K.cuts(core, parts)
         rows = []
         for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if b > a:
                 data = b"".join(body[x : x + m - 1 + length].tobytes() for x, m in zip(begin[a:b], n[a:b], strict=True))
-                rows.append((p, texts.column("block")[0].as_py(), K.pack(np.frombuffer(data, np.uint8)), K.pack(ids[doc[a:b]]), K.pack(start[a:b]), K.pack(n[a:b]), K.pack_sorted(found[0][head][a:b])))
-        return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("part", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary())))})
+                packed = (np.frombuffer(data, np.uint8), ids[a:b], start[a:b], n[a:b].astype(np.int16), offset[a:b].astype(np.int16))
+                rows.append((p, texts.column("block")[0].as_py(), *map(K.pack, packed), K.pack_sorted(core[a:b])))
+        types = (("part", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in "abcdfe"])
+        return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(types)}).select(["part", "block", "a", "b", "c", "d", "e", "f"])
 
     return rest
 
@@ -224,16 +266,29 @@ def suffix_order(text: np.ndarray, depth: int, span: int = 1) -> tuple[np.ndarra
     return order, classes
 
 
+def equal_neighbours(body: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Of each two neighbours in suffix order, whether they agree in their first `length` bytes."""
+    eight = np.zeros(len(body), np.uint64)  # the eight bytes from each place
+    for k in range(8):
+        eight[: len(body) - k] |= body[k:].astype(np.uint64) << B.U(8 * k)
+    a, b = order[:-1], order[1:]
+    left = np.arange(len(a))
+    for k in [*range(0, length - 7, 8), length - 8] if length >= 8 else range(length):
+        same = eight[a[left] + k] == eight[b[left] + k] if length >= 8 else body[a[left] + k] == body[b[left] + k]
+        left = left[same]
+    out = np.zeros(len(a), bool)
+    out[left] = True
+    return out
+
+
 def repeats(body: np.ndarray, begin: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
     """True where a window of a run starts whose string also starts at an earlier place; runs lie one after another in body."""
     order, _ = suffix_order(body.astype(np.int64) + 1, length)
     inside = np.ones(len(body), bool)  # a window starts here and ends in its run
     inside[np.repeat(begin + n, length - 1) + np.tile(np.arange(length - 1), len(n))] = False
     order = order[inside[order]]
-    sums = B.prefix(body)
-    window = B.hash_range(sums, order, order + length)
     new = np.ones(len(order), bool)
-    new[1:] = window[1:] != window[:-1]
+    new[1:] = ~equal_neighbours(body, order, length)
     group = np.cumsum(new) - 1
     run = np.searchsorted(begin, order, "right") - 1
     d, s = doc[run], start[run] + order - begin[run]
@@ -244,7 +299,7 @@ def repeats(body: np.ndarray, begin: np.ndarray, doc: np.ndarray, start: np.ndar
     return later
 
 
-#: Bytes sorted at once; anchors are sorted apart, so the memory of a sort is bounded.
+#: Bytes sorted at once (twice as many at most).
 SORT_BYTES = 256 << 10
 
 
@@ -255,53 +310,69 @@ def _taken(body: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return at, body[at], fresh
 
 
-def _window_hashes(body: np.ndarray, begin: np.ndarray, size: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each window of the runs in turn, from about SORT_BYTES of them at a time."""
-    group = np.cumsum(size) // SORT_BYTES
-    out = []
-    for g in np.unique(group):
-        mine = np.flatnonzero(group == g)
-        _, part, fresh = _taken(body, begin[mine], size[mine])
-        at = np.repeat(fresh - (np.cumsum(n[mine]) - n[mine]), n[mine]) + np.arange(int(n[mine].sum()))
-        out.append(B.hash_range(B.prefix(part), at, at + length))
-    return np.concatenate(out)
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by key, where groups of two or more begin in it, their sizes)."""
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    edge = np.flatnonzero(new)
+    size = np.diff(np.append(edge, len(key)))
+    return order, edge[size > 1], size[size > 1]
+
+
+def _later(body: np.ndarray, begin: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, offset: np.ndarray, core: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """True where a window of a piece starts that has an equal one at an earlier place."""
+    later = np.zeros(len(body), bool)
+    place, half = begin + offset, (length - gram) // 2
+    ready: list[tuple[np.ndarray, int, int]] = []  # pieces that share a core, and the offsets looked at
+    order, edge, size = _groups(core)
+    left = [(order[a : a + k], *((0, half) if offset[order[a]] <= half else (half + 1, length - gram))) for a, k in zip(edge.tolist(), size.tolist(), strict=True)]
+
+    def windows(own: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, number) of the pieces' windows with the anchor at those offsets."""
+        most, least = np.minimum(offset[own], high), np.maximum(offset[own] - n[own] + 1, low)
+        return place[own] - most, most - least + 1
+
+    while left:
+        own, low, high = left.pop()
+        first, number = windows(own, low, high)
+        if int((number - 1 + length).sum()) <= SORT_BYTES:
+            ready.append((own, low, high))
+        elif low == high:  # the core is the whole window: all are equal
+            d, s = doc[own], start[own] + first - begin[own]
+            least = np.lexsort((s, d))[0]
+            later[first] |= (d != d[least]) | (s != s[least])
+        else:
+            mid = (low + high) // 2
+            for a, b in ((low, mid), (mid + 1, high)):
+                inner = own[windows(own, a, b)[1] > 0]
+                order, edge, size = _groups(cores(body, place[inner], a, b, length, gram))
+                left += [(inner[order[x : x + k]], a, b) for x, k in zip(edge.tolist(), size.tolist(), strict=True)]
+    k = 0
+    while k < len(ready):
+        held, total = [], 0
+        while k < len(ready) and total < SORT_BYTES:
+            own, low, high = ready[k]
+            first, number = windows(own, low, high)
+            held.append((own, first, number))
+            total += int((number - 1 + length).sum())
+            k += 1
+        own, first, number = (np.concatenate(x) for x in zip(*held, strict=True))
+        at, part, fresh = _taken(body, first, number - 1 + length)
+        np.logical_or.at(later, at, repeats(part, fresh, doc[own], start[own] + first - begin[own], number, length))
+    return later
 
 
-def _sort(length: int):
+def _sort(length: int, gram: int):
     def sort(table: pa.Table) -> pa.Table:
-        """Of one range: which windows of each run sent have an equal window at an earlier place."""
+        """Of one range: which windows of each piece sent have an equal window at an earlier place."""
         read = lambda column, kind: [K.unpack(table.column(column)[i].as_py(), kind) for i in range(table.num_rows)]
         data = read("a", np.uint8)
-        body = np.concatenate(data)
-        doc, start, n = (np.concatenate(read(c, np.int64)) for c in ("b", "c", "d"))
-        anchor = np.concatenate([K.unpack_sorted(table.column("e")[i].as_py()) for i in range(table.num_rows)])
+        doc, start = (np.concatenate(read(c, np.int64)) for c in "bc")
+        n, offset = (np.concatenate(read(c, np.int16)).astype(np.int64) for c in "df")
+        core = np.concatenate([K.unpack_sorted(table.column("e")[i].as_py()) for i in range(table.num_rows)])
         size = n - 1 + length
-        begin = np.cumsum(size) - size
-        later = np.zeros(len(body), bool)
-        by_anchor = np.argsort(anchor, kind="stable")
-        edge = np.flatnonzero(np.diff(anchor[by_anchor], prepend=~anchor[by_anchor[:1]]))  # where an anchor's runs begin
-        weight = np.add.reduceat(size[by_anchor], edge)
-        k = 0
-        while k < len(edge):
-            stop, total = k + 1, int(weight[k])
-            while stop < len(edge) and total + weight[stop] <= SORT_BYTES:
-                total += int(weight[stop])
-                stop += 1
-            own = by_anchor[edge[k] : edge[stop] if stop < len(edge) else len(by_anchor)]
-            if total <= SORT_BYTES:
-                at, part, fresh = _taken(body, begin[own], size[own])
-                later[at] |= repeats(part, fresh, doc[own], start[own], n[own], length)
-            else:  # one anchor with very many contents: its windows apart, equal ones together
-                run = np.repeat(own, n[own])
-                shift = np.arange(len(run)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
-                place = begin[run] + shift
-                cell = _window_hashes(body, begin[own], size[own], n[own], length) % B.U(-(-len(run) * length // SORT_BYTES))
-                for c in np.unique(cell):
-                    mine = np.flatnonzero(cell == c)
-                    one = np.ones(len(mine), np.int64)
-                    _, part, fresh = _taken(body, place[mine], one * length)
-                    later[place[mine]] |= repeats(part, fresh, doc[run[mine]], start[run[mine]] + shift[mine], one, length)[fresh]
-            k = stop
+        later = _later(np.concatenate(data), np.cumsum(size) - size, doc, start, n, offset, core, length, gram)
         ends = np.cumsum([len(x) for x in data])
         flags = [K.pack(np.packbits(later[a:b])) for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True)]
         return pa.table({"block": table.column("block"), "part": table.column("part"), "codes": pa.array(flags, pa.binary()), "step": pa.array([2] * len(flags), pa.int32())})
@@ -322,29 +393,29 @@ def _finish(parts: int, length: int, gram: int, kind: pa.DataType):
         steps = np.array(answers.column("step").to_pylist(), np.int32)
         code = _codes(answers.filter(pa.array(steps == 1)))
         order, first, index = entries(ids, found)
-        _, _, doc, start, n = found
+        doc, start, n = found[2:5]
         body, at = B.raw(pa.concat_arrays(table.column(1).chunks))
         begin = at[doc] + start
         head = order[first[index]]
         gone = np.empty(len(order), bool)
         gone[order] = (ids[doc[order]] != ids[doc[head]]) | (start[order] != start[head]) | (code[index] == 1)
         lows, highs = [begin[gone]], [begin[gone] + n[gone] - 1 + length]
-        sent = order[first][code == 2]
-        cut = K.cuts(found[0][sent], parts)
+        core, run, piece, windows, _ = pieces(body, at, found, order[first][code == 2], length, gram)
+        cut = K.cuts(core, parts)
         second = answers.filter(pa.array(steps == 2))
         flags = dict(zip(second.column("part").to_pylist(), second.column("codes").to_pylist(), strict=True))
         # all runs at the entry's place (repeated rows too) take the flags of the one that was sent
         same = {}
         for p, packed in flags.items():
-            own = sent[cut[p] : cut[p + 1]]
-            size = n[own] - 1 + length
+            own = slice(cut[p], cut[p + 1])
+            size = windows[own] - 1 + length
             later = np.flatnonzero(np.unpackbits(K.unpack(packed, np.uint8), count=int(size.sum())))
             offset = np.cumsum(size) - size
-            run = np.searchsorted(offset, later, "right") - 1
-            low = begin[own][run] + later - offset[run]
+            which = np.searchsorted(offset, later, "right") - 1
+            low = piece[own][which] + later - offset[which]
             lows.append(low)
             highs.append(low + length)
-            for r, x in zip(own[run].tolist(), (later - offset[run]).tolist(), strict=True):
+            for r, x in zip(run[own][which].tolist(), (low - begin[run[own][which]]).tolist(), strict=True):
                 same.setdefault(r, []).append(x)
         twins = np.flatnonzero(~gone[order] & (code[index] == 2) & (order != head))
         for k in twins.tolist():
@@ -375,8 +446,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     packed = "part int, block bigint, a binary, b binary, c binary, d binary"
     texts = keep(rows.mapInArrow(K.frozen, "block bigint, body binary"))
     codes = keep(texts.mapInArrow(_ask(parts, length, gram), packed).groupBy("part").applyInArrow(_judge, "block bigint, part int, codes binary"))
-    segments = texts.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_rest(parts, length, gram), packed + ", e binary")
-    later = segments.groupBy("part").applyInArrow(_sort(length), "block bigint, part int, codes binary, step int")
+    segments = texts.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_rest(parts, length, gram), packed + ", e binary, f binary")
+    later = segments.groupBy("part").applyInArrow(_sort(length, gram), "block bigint, part int, codes binary, step int")
     answers = keep(codes.withColumn("step", F.lit(1)).unionByName(later))
     out = f"doc_id {field.simpleString()}, n_bytes bigint, n_removed bigint, spans array<string>, kept_sha256 string"
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(parts, length, gram, to_arrow_type(field)), out)

@@ -89,11 +89,18 @@ def display_name(name: Column) -> Column:
     return F.when(F.lower(name).endswith(".txt"), F.concat(bare, F.lit(".pdf"))).otherwise(name)
 
 
-def japanese_tokens(text: Column, stop_words: list[str] = ()) -> Column:
-    """Runs of one script; no stop words, pure hiragana, digits or single characters."""
-    low = F.regexp_replace(F.lower(text), "[0-9０-９]+(?:年|月|日)?", " ")
-    found = F.regexp_extract_all(low, F.lit(r"([一-龥々]+|[ァ-ヴー]+|[ぁ-ん]+|[a-zａ-ｚ]+)"), F.lit(1))
-    return F.filter(found, lambda x: ~x.isin(list(stop_words) or [""]) & ~F.regexp_like(x, F.lit("^[ぁ-ん]+$")) & (F.length(x) >= 2))
+# Stop words and word classes of Japanese text, one run of a class a word.
+JAPANESE_STOP_WORDS = "これ それ ため もの こと よう 及び また なお 当社 当該 これら について により による として おり ます です".split()
+JAPANESE_NUMBER = "[0-9０-９]+(?:年|月|日)?"
+JAPANESE_WORD = r"[一-龯々〆ヵヶ]+|[ァ-ヴー]+|[ぁ-ん]+|[A-Za-z][A-Za-z0-9_]+|[0-9]+(?:\.[0-9]+)?"
+
+
+def japanese_tokens(text: Column, stop_words: list[str] | None = None) -> Column:
+    """Runs of one class, without numbers; no stop words, pure hiragana, digits or single characters."""
+    stop = JAPANESE_STOP_WORDS if stop_words is None else stop_words
+    low = F.regexp_replace(F.lower(text), JAPANESE_NUMBER, " ")
+    found = F.regexp_extract_all(low, F.lit(f"({JAPANESE_WORD})"), F.lit(1))
+    return F.filter(found, lambda x: ~x.isin(list(stop) or [""]) & ~F.regexp_like(x, F.lit("^([ぁ-ん]+|[0-9]+)$")) & (F.length(x) >= 2))
 
 
 # Porter's stemmer (1980), written from the paper's rule tables.

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from termforge.operators import ranges
+
 
 def document_frequency(posted: DataFrame) -> DataFrame:
     """term, df (and df1, df0 by label)."""
@@ -28,8 +30,8 @@ def idf(posted: DataFrame, n_docs: DataFrame) -> DataFrame:
 
 def l2_rows(values: DataFrame) -> DataFrame:
     """value divided by the row's Euclidean norm; zero rows have no postings and stay so."""
-    norm = values.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    return values.join(norm, "doc_id").withColumn("value", F.when(F.col("norm") > 0, F.col("value") / F.col("norm")).otherwise(F.lit(0.0))).drop("norm")
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(W.partitionBy("doc_id")))
+    return values.withColumn("norm", norm).withColumn("value", F.when(F.col("norm") > 0, F.col("value") / F.col("norm")).otherwise(F.lit(0.0))).drop("norm")
 
 
 def tfidf(posted: DataFrame, idfs: DataFrame) -> DataFrame:
@@ -94,11 +96,5 @@ def pivot_terms(values: DataFrame, docs: DataFrame, terms: list[str], binary: bo
 
 def vocabulary(posted: DataFrame) -> DataFrame:
     """feature_index, term: 0-based places in sorted order, numbered by ranges (no single-task window)."""
-    terms = posted.select("term").distinct()
-    spark = posted.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = terms.repartitionByRange(parts, "term").sortWithinPartitions("term").withColumn("part", F.spark_partition_id())
-    ranked = placed.withColumn("own", F.row_number().over(W.partitionBy("part").orderBy("term")))
-    sizes = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("k"), F.min("term").alias("first"))
-    before = sizes.select("part", (F.sum("k").over(W.orderBy("first")) - F.col("k")).alias("before"))
-    return ranked.join(F.broadcast(before), "part").select((F.col("before") + F.col("own") - 1).cast("long").alias("feature_index"), "term")
+    terms = ranges.numbered(posted.select("term").distinct(), [F.col("term")], "feature_index", 0)
+    return terms.select("feature_index", "term")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from termforge.operators import ranges
+
 SCORE_ORDER = ["abs_score DESC", "selected_score DESC", "label1_doc_count DESC", "label0_doc_count DESC", "term"]
 
 
@@ -32,6 +34,18 @@ def by_threshold(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.filter(F.col("abs_score") >= threshold)
 
 
+def ranked(rows: DataFrame, keys: list[str], rank: str = "selection_rank") -> DataFrame:
+    """All rows with their ranks by keys, numbered by ranges."""
+    return ranges.numbered(rows, ordering(keys), rank)
+
+
+def threshold_join(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """score_threshold, dominant_label, terms: a range join of thresholds (few, broadcast) with the counts of
+    each distinct score, so the join sees distinct scores, not terms. Thresholds without terms have no row."""
+    counts = scores.groupBy("abs_score", "dominant_label").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(thresholds), F.col("abs_score") >= F.col("score_threshold")).groupBy("score_threshold", "dominant_label").agg(F.sum("n").alias("terms"))
+
+
 def threshold_summary(scores: DataFrame, thresholds: list[float]) -> DataFrame:
     """Per threshold the terms at or above it; thresholds without terms stay. One pass of conditional aggregates, no range join."""
     aggs = []
@@ -52,9 +66,8 @@ def score_curve(scores: DataFrame) -> DataFrame:
     """Terms at each distinct score and at or above it, by dominant label."""
     at = scores.groupBy(F.round("abs_score", 12).alias("abs_score")).agg(
         *[F.count_if(F.col("dominant_label") == d).alias(f"{d}_term_count_at_score") for d in ("label1", "label0", "neutral")], F.count(F.lit(1)).alias("term_count_at_score"))
-    # distinct scores are at most n1 * n0 + 1 differences of shares, far fewer than terms
-    down = W.orderBy(F.col("abs_score").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return at.withColumns({"selected_term_count_at_or_above_score": F.sum("term_count_at_score").over(down)} | {f"{d}_selected_term_count_at_or_above_score": F.sum(f"{d}_term_count_at_score").over(down) for d in ("label1", "label0", "neutral")})
+    sums = {"selected_term_count_at_or_above_score": "term_count_at_score"} | {f"{d}_selected_term_count_at_or_above_score": f"{d}_term_count_at_score" for d in ("label1", "label0", "neutral")}
+    return ranges.running(at, [F.col("abs_score").desc()], sums)
 
 
 def balanced_top(scores: DataFrame, n: int) -> DataFrame:
@@ -69,10 +82,8 @@ def balanced_top(scores: DataFrame, n: int) -> DataFrame:
 
 def overlap(metrics: DataFrame, specs: dict[str, str], k: int) -> DataFrame:
     """Terms over the top-k lists of several columns: how often, best and mean rank, which lists."""
-    lists = None
-    for name, column in specs.items():
-        own = top(metrics.select("term", F.col(column).alias("v")), ["v DESC", "term"], k, "rank").select("term", "rank", F.lit(name).alias("ranking_name"))
-        lists = own if lists is None else lists.unionByName(own)
+    names = F.explode(F.array(*[F.struct(F.lit(name).alias("ranking_name"), F.col(column).cast("double").alias("v")) for name, column in specs.items()]))
+    lists = top(metrics.select("term", names.alias("l")).select("term", "l.*"), ["v DESC", "term"], k, "rank", ["ranking_name"])
     return lists.groupBy("term").agg(
         F.count(F.lit(1)).alias("appearance_count"), F.array_join(F.sort_array(F.collect_list("ranking_name")), ", ").alias("ranking_names"),
         F.min("rank").alias("best_rank"), F.round(F.avg("rank"), 9).alias("average_rank"))
@@ -108,6 +119,45 @@ def combined_unique(first: DataFrame, second: DataFrame, k: int, equal_rank_to:
     return out("ra", "rb", depth_b, "first").unionByName(out("rb", "ra", depth_a, "second"))
 
 
+#: Of each mode its sources, in order, and whether a shared term counts once.
+MODES = {
+    "term_frequency": (["term_frequency"], False),
+    "document_frequency": (["document_frequency"], False),
+    "tfidf": (["tfidf"], False),
+    "combined_unique": (["term_frequency", "document_frequency"], True),
+    "combined_duplicate": (["term_frequency", "document_frequency"], False),
+    "document_tfidf_unique": (["document_frequency", "tfidf"], True),
+    "document_tfidf_duplicate": (["document_frequency", "tfidf"], False),
+}
+
+
+def by_mode(tables: dict[str, DataFrame], mode: str, k: int) -> DataFrame:
+    """selection_mode, selection_rank, term, selection_source, source_rank: k terms of difference tables
+    (term, absolute_difference) by source name. Two sources give k/2 each (k must be even); a term of
+    both counts for its better rank, on equal ranks for document_frequency. Fewer terms than asked are an error."""
+    if mode not in MODES:
+        raise ValueError(f"unknown selection mode: {mode}")
+    if k <= 0:
+        raise ValueError("k must be positive")
+    sources, unique = MODES[mode]
+    if len(sources) > 1 and k % 2:
+        raise ValueError(f"{mode} needs an even k")
+    keys = ["absolute_difference DESC", "term"]
+    if unique:
+        lists = [ranked(tables[n].select("term", "absolute_difference"), keys, "rank") for n in sources]
+        found = combined_unique(*lists, k, "second" if sources[1] == "document_frequency" else "first")
+        own = found.withColumn("place", F.when(F.col("selection_source") == "first", 0).otherwise(1))
+        named = own.withColumn("selection_source", F.when(F.col("place") == 0, sources[0]).otherwise(sources[1]))
+    else:
+        named, share = None, k // len(sources)
+        for i, n in enumerate(sources):
+            part = top_excluding(tables[n].select("term", "absolute_difference"), tables[n].select("term").limit(0), keys, share)
+            part = part.select("term", F.col("selection_rank").cast("long").alias("source_rank"), F.lit(n).alias("selection_source"), F.lit(i).alias("place"))
+            named = part if named is None else named.unionByName(part)
+    rank = F.row_number().over(W.orderBy("place", "source_rank"))  # k rows
+    return named.select(F.lit(mode).alias("selection_mode"), rank.alias("selection_rank"), "term", "selection_source", "source_rank")
+
+
 def best_rows(rows: DataFrame, by: list[str]) -> DataFrame:
     """Highest mean_accuracy a condition, then the smaller feature_count; rows that don't parse are skipped."""
     parsed = rows.withColumns({"_acc": F.expr("try_cast(mean_accuracy AS DOUBLE)"), "_k": F.expr("try_cast(feature_count AS BIGINT)")}).filter("_acc IS NOT NULL AND _k IS NOT NULL")

@@ -6,21 +6,42 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from termforge.operators import ranges
 from termforge.operators.corpus import r9
 
 
+def quartiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(grp, v, c and grp, n, q1, q3) of rows grp, v: counted values, and interpolated quartiles.
+
+    Equal values are counted before the shuffle; counted values are summed up by ranges of (grp, v),
+    so a large group is spread over tasks, and a quartile is read off at the two ranks around it.
+    """
+    own = rows.filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
+    counted = own.groupBy("grp", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = ranges.running(counted, [F.col("grp"), F.col("v")], {"upto": "c"})
+    sizes = upto.groupBy("grp").agg(F.sum("c").alias("n"), F.min(F.col("upto") - F.col("c")).alias("start"))
+    at = upto.join(sizes, "grp").withColumn("past", F.col("upto") - F.col("start")).withColumn("before", F.col("past") - F.col("c"))
+
+    def value(rank: Column) -> Column:
+        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("past")), F.col("v")))
+
+    places = {q: (F.col("n") - 1) * share for q, share in (("q1", 0.25), ("q3", 0.75))}
+    found = at.groupBy("grp", "n").agg(*[value(f(p)).alias(f"{q}{side}") for q, p in places.items() for side, f in (("a", F.floor), ("b", F.ceil))])
+    between = lambda q: F.col(f"{q}a") + (F.col(f"{q}b") - F.col(f"{q}a")) * (places[q] - F.floor(places[q]))
+    return counted, found.select("grp", "n", between("q1").alias("q1"), between("q3").alias("q3"))
+
+
 def iqr(rows: DataFrame, multiplier: float = 1.5) -> DataFrame:
     """rows: grp, v. Tukey statistics of each group's finite values."""
-    own = rows.filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
-    q = own.groupBy("grp").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    lo, hi = F.col("q")[0], F.col("q")[1]
-    out = (F.col("v") < lo - multiplier * (hi - lo)) | (F.col("v") > hi + multiplier * (hi - lo))
-    return own.join(F.broadcast(q), "grp").groupBy("grp").agg(
-        F.count(F.lit(1)).alias("n"), r9(F.first(lo)).alias("q1"), r9(F.first(hi)).alias("q3"), r9(F.first(hi) - F.first(lo)).alias("iqr"), F.count_if(out).alias("outliers"), r9(F.count_if(out) / F.count(F.lit(1))).alias("outlier_rate"), r9(F.max("v")).alias("max_value"))
+    counted, q = quartiles(rows)
+    width = F.col("q3") - F.col("q1")
+    out = F.when((F.col("v") < F.col("q1") - multiplier * width) | (F.col("v") > F.col("q3") + multiplier * width), F.col("c")).otherwise(0)
+    found = counted.join(q, "grp").groupBy("grp", "n", "q1", "q3").agg(F.sum(out).alias("outliers"), F.max("v").alias("top"))
+    return found.select("grp", "n", r9(F.col("q1")).alias("q1"), r9(F.col("q3")).alias("q3"), r9(width).alias("iqr"), "outliers", r9(F.col("outliers") / F.col("n")).alias("outlier_rate"), r9(F.col("top")).alias("max_value"))
 
 
 def welch(rows: DataFrame) -> DataFrame:
@@ -31,9 +52,9 @@ def welch(rows: DataFrame) -> DataFrame:
 
 
 def _tied_ranks(rows: DataFrame, value: str) -> DataFrame:
-    """(value, p, n, before): counts by distinct value and rows below it; only distinct values are ordered."""
-    at = rows.groupBy(value).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    return at.withColumn("before", F.sum(F.col("p") + F.col("n")).over(W.orderBy(value)) - F.col("p") - F.col("n"))
+    """(value, p, n, before): counts by distinct value and rows below it; distinct values are summed up by ranges."""
+    at = rows.groupBy(value).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).withColumn("here", F.col("p") + F.col("n"))
+    return ranges.running(at, [F.col(value)], {"upto": "here"}).select(value, "p", "n", (F.col("upto") - F.col("here")).alias("before"))
 
 
 def mann_whitney(rows: DataFrame) -> DataFrame:
@@ -48,31 +69,45 @@ def auc(rows: DataFrame) -> DataFrame:
 
 
 def roc(rows: DataFrame) -> DataFrame:
-    down = W.orderBy(F.col("decision").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    """decision, tp, fp: rows at or above each distinct decision, by label."""
     at = rows.groupBy("decision").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    return at.select("decision", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"))
+    return ranges.running(at, [F.col("decision").desc()], {"tp": "p", "fp": "n"}).select("decision", "tp", "fp")
+
 
+def precision_recall(rows: DataFrame) -> DataFrame:
+    """decision, precision, recall of predicting 1 at or above each distinct decision."""
+    positives = rows.agg(F.sum("label").alias("positives"))
+    points = roc(rows).crossJoin(F.broadcast(positives))
+    return points.select("decision", r9(F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), r9(F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")).otherwise(F.lit(0.0))).alias("recall"))
 
-def permutation(rows: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
-    """(extreme + 1) / (resamples + 1) for the difference of means; resamples are spread over tasks.
 
-    The values of the smaller class's size are drawn from a histogram of all values (counts by value),
-    whose size doesn't grow with repeated values.
+def permutation(rows: DataFrame, resamples: int, seed: int = 0, block: int = 500) -> DataFrame:
+    """(extreme + 1) / (resamples + 1) for the difference of means; blocks of resamples are spread over tasks.
+
+    Each block draws from its own generator, seeded by its number, so the result depends on the
+    resamples, the seed and the block size alone. Label-1 sets are drawn from a histogram of all
+    values (counts by value), whose size doesn't grow with repeated values.
     """
     counts = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("label") == 1).alias("c1")).orderBy("v").toPandas()
     n, n1 = int(counts.c.sum()), int(counts.c1.sum())
     v, c = counts.v.to_numpy(float), counts.c.to_numpy()
     total = float((v * c).sum())
-    seen = float((v * counts.c1).sum()) / n1 - (total - float((v * counts.c1).sum())) / (n - n1)
+    mine = float((v * counts.c1).sum())
+    seen = mine / n1 - (total - mine) / (n - n1)
+
+    way = "count" if n < 20 * len(v) and n <= 1_000_000 else "marginals"  # drawing rows, or one number a distinct value
+
+    def extremes(number: int) -> int:
+        own = np.random.default_rng([seed, number])
+        s = own.multivariate_hypergeometric(c, n1, size=min(block, resamples - number * block), method=way) @ v
+        return int((np.abs(s / n1 - (total - s) / (n - n1)) >= abs(seen) - 1e-12).sum())
 
-    def run(batches):
-        for pdf in batches:
-            rng = np.random.default_rng([seed, int(pdf.id.iloc[0])])
-            s = rng.multivariate_hypergeometric(c, n1, size=len(pdf)) @ v
-            diff = s / n1 - (total - s) / (n - n1)
-            yield pd.DataFrame({"extreme": [int((np.abs(diff) >= abs(seen) - 1e-12).sum())]})
+    def run(numbers: pd.Series) -> pd.Series:
+        return numbers.map(extremes)
 
-    hits = rows.sparkSession.range(0, resamples, 1, 8).mapInPandas(run, "extreme long")
+    blocks = -(-resamples // block)
+    spark = rows.sparkSession
+    hits = spark.range(0, blocks, 1, min(blocks, 64)).select(F.pandas_udf(run, "long")("id").alias("extreme"))
     return hits.agg(((F.sum("extreme") + 1) / F.lit(resamples + 1)).alias("p")).withColumn("difference", F.lit(seen))
 
 
@@ -82,53 +117,97 @@ def histogram(rows: DataFrame, bins: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(edges)).groupBy("label", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def nearest(vectors: DataFrame, queries: str, k: int, gamma: float) -> DataFrame:
-    """The k nearest rows of each stated query row by Euclidean distance, and the RBF feature-space distance."""
+def nearest(vectors: DataFrame, queries: str, k: int, gamma: float, block: int = 4096) -> DataFrame:
+    """The k nearest rows of each stated query row by Euclidean distance, and the RBF feature-space distance.
+
+    Query rows meet all rows in blocks: each partition of vectors meets one block of at most about
+    `block` query rows at a time, keeps its k best of each, and only those are shuffled.
+    """
     q = vectors.filter(queries).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("e"))
+    blocks = max(1, -(-q.count() // block))
     square = F.aggregate(F.zip_with("e", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, b: a + b)
-    d = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(q)).filter("vec_id <> qid").select("qid", "vec_id", F.round(F.sqrt(square), 6).alias("dist"))
-    best = d.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("dist", "vec_id"))).filter(F.col("rank") <= k)
+    best = None
+    for n in range(blocks):
+        own = q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n) if blocks > 1 else q
+        d = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(own)).filter("vec_id <> qid").select("qid", "vec_id", F.round(F.sqrt(square), 6).alias("dist"))
+        d = d.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("dist", "vec_id"))).filter(F.col("rank") <= k)
+        best = d if best is None else best.unionByName(d)
     return best.select("qid", "vec_id", "dist", (F.round(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.exp(-gamma * F.col("dist") * F.col("dist")))), 6) + 0.0).alias("rbf_dist"), "rank")
 
 
+def nearest_centroid(vectors: DataFrame) -> DataFrame:
+    """vec_id, actual, predicted (the label of the nearest class mean), dist; a class mean is one aggregate over its dimensions."""
+    e = F.col("embedding").cast("array<double>")
+    means = vectors.select("label", F.posexplode(e).alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v"))
+    packed = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("c")).select(F.struct("label", F.transform("c", lambda x: x["v"]).alias("c")).alias("m"))
+    classes = packed.agg(F.collect_list("m").alias("means"))  # a vector a class
+    far = lambda m: F.round(F.sqrt(F.aggregate(F.zip_with(e, m["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)), 6)
+    best = F.array_min(F.transform("means", lambda m: F.struct(far(m).alias("dist"), m["label"].alias("label"))))
+    return vectors.crossJoin(F.broadcast(classes)).select("vec_id", F.col("label").alias("actual"), best.alias("b")).select("vec_id", "actual", F.col("b.label").alias("predicted"), F.col("b.dist").alias("dist"))
+
+
 def pca(vectors: DataFrame, k: int) -> DataFrame:
-    """component, explained, label_correlation; axes are those of Spark ML's PCA on centred vectors."""
+    """One row a component: explained and cumulative share, signed correlation of its scores with the label,
+    what that says (label1_axis, label0_axis or irrelevant below 0.2), mean scores by label, and the five
+    highest and lowest loadings as 'dimension:loading'. An axis's sign is fixed by its largest loading being positive."""
+    scores, axes, shares = pca_fit(vectors, k)
+    parts = [F.corr(F.col("s")[i], F.col("label").cast("double")).alias(f"r{i}") for i in range(k)]
+    parts += [F.avg(F.when(F.col("label") == y, F.col("s")[i])).alias(f"m{y}_{i}") for i in range(k) for y in (1, 0)]
+    wide = scores.agg(*parts)
+
+    def loadings(i: int, highest: bool) -> str:
+        order = sorted(range(len(axes)), key=lambda j: (-axes[j][i] if highest else axes[j][i], j))[:5]
+        return ", ".join(f"{j}:{axes[j][i]:.6f}" for j in order)
+
+    r = lambda i: F.coalesce(F.col(f"r{i}"), F.lit(0.0))
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("component"), F.lit(shares[i]).alias("explained"), F.lit(float(sum(shares[: i + 1]))).alias("cumulative"), r(i).alias("label_correlation"),
+                 F.when(F.abs(r(i)) < 0.2, "irrelevant").when(r(i) > 0, "label1_axis").otherwise("label0_axis").alias("reads_as"),
+                 F.col(f"m1_{i}").alias("label1_mean"), F.col(f"m0_{i}").alias("label0_mean"), F.lit(loadings(i, True)).alias("top_loadings"), F.lit(loadings(i, False)).alias("bottom_loadings"))
+        for i in range(k)]))
+    return wide.select(rows.alias("r")).select("r.*")
+
+
+def pca_fit(vectors: DataFrame, k: int) -> tuple[DataFrame, list[list[float]], list[float]]:
+    """(scores: vec_id, label, s; loadings by dimension and component; explained shares) of centred vectors by Spark ML."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = vectors.select("label", array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
+    rows = vectors.select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
     centred = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="x").fit(rows).transform(rows)
     model = PCA(k=k, inputCol="x", outputCol="s").fit(centred)
-    scores = model.transform(centred).select("label", vector_to_array("s").alias("s"))
-    wide = scores.agg(*[F.abs(F.corr(F.col("s")[i], F.col("label").cast("double"))).alias(str(i)) for i in range(k)])
-    shares = model.explainedVariance.toArray().tolist()
-    parts = F.explode(F.array(*[F.struct(F.lit(i).alias("component"), F.lit(shares[i]).alias("explained"), F.col(str(i)).alias("label_correlation")) for i in range(k)]))
-    return wide.select(parts.alias("r")).select("r.*")
-
-
-def json_leaves(rows: DataFrame, column: str) -> DataFrame:
-    """The non-blank leaf strings of a JSON value, joined; what isn't JSON stays as it is."""
-
-    def walk(value):
+    axes = model.pc.toArray()
+    signs = [1.0 if axes[abs(axes[:, i]).argmax(), i] > 0 else -1.0 for i in range(k)]
+    s = F.transform(vector_to_array("s"), lambda v, i: v * F.get(F.array(*map(F.lit, signs)), i))
+    return model.transform(centred).select("vec_id", "label", s.alias("s")), (axes * signs).tolist(), model.explainedVariance.toArray().tolist()
+
+
+def leaf_text(text: str | None) -> str:
+    """The non-blank leaf strings of a JSON value, joined by spaces; the text itself where there are none
+    or where it isn't JSON (or nested deeper than the parser goes). Null is empty."""
+    if text is None:
+        return ""
+    try:
+        left = [json.loads(text)]
+    except (ValueError, RecursionError):
+        return text
+    out = []
+    while left:
+        value = left.pop()
         if isinstance(value, dict):
-            for v in value.values():
-                yield from walk(v)
+            left += reversed(value.values())
         elif isinstance(value, list):
-            for v in value:
-                yield from walk(v)
+            left += reversed(value)
         elif isinstance(value, str) and value.strip():
-            yield value
+            out.append(value)
+    return " ".join(out) or text
+
+
+def json_leaves(rows: DataFrame, column: str) -> DataFrame:
+    """rows with column replaced by leaf_text."""
 
     def leaves(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return ""
-            try:
-                return " ".join(walk(json.loads(text)))
-            except ValueError:
-                return text
-
-        return texts.map(one)
+        return texts.map(leaf_text)
 
     others = [c for c in rows.columns if c != column]
     return rows.select(*others, F.pandas_udf(leaves, "string")(F.col(column)).alias("leaf_text"))

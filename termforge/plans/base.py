@@ -31,7 +31,11 @@ class Base:
 
     @cached_property
     def post(self) -> DataFrame:
-        return corpus.postings(self.toks())
+        """Persisted: nearly every query reads the postings more than once, and all of one folder share them."""
+        return corpus.postings(self.toks()).persist()
+
+    def release(self) -> None:
+        self.post.unpersist()
 
     @cached_property
     def lens(self) -> DataFrame:

@@ -52,7 +52,7 @@ query("o81_score_table", sql("SELECT * FROM scores"))(lambda b: b.scores)
 query("o95_metric_table", sql(difference("dfv", "doc_rate", True), **_EXTRA))(lambda b: X.difference_table(b.post.withColumn("value", F.lit(1.0)), b.sizes, "doc_rate"))
 
 
-def _scout_sql() -> str:
+def _scout_sql(post: str = "post", weights: str = "weights", extra: str = "") -> str:
     one = lambda k: f"{q9(f's{k} / greatest(n{k}, 1)')} AS t{k}, c{k}, d{k}, {q9(f'c{k} / greatest(n{k}, 1)')} AS m{k}, {q9(f'd{k} / greatest(n{k}, 1)')} AS r{k}"
     pairs = []
     for m, a in (("mean_tfidf", "t"), ("total_count", "c"), ("doc_count", "d"), ("mean_count", "m"), ("doc_rate", "r")):
@@ -60,7 +60,8 @@ def _scout_sql() -> str:
         pairs.append(f"{a}1 AS label1_{m}, {a}0 AS label0_{m}, {d(f'{a}1 - {a}0')} AS label1_{m}_minus_label0_{m}, {d(f'{a}0 - {a}1')} AS label0_{m}_minus_label1_{m}")
     sums = ", ".join(f"sum(CASE WHEN label = {k} THEN value ELSE 0.0 END) AS s{k}" for k in (1, 0))
     counts = ", ".join(f"CAST(coalesce(sum(tf) FILTER (WHERE label = {k}), 0) AS BIGINT) AS c{k}, count(*) FILTER (WHERE label = {k}) AS d{k}" for k in (1, 0))
-    return f"SELECT term, {', '.join(pairs)} FROM (SELECT term, {one(1)}, {one(0)} FROM (SELECT term, {counts} FROM post GROUP BY term) JOIN (SELECT term, {sums} FROM weights GROUP BY term) USING (term), sizes)"
+    e = f"{extra}, " if extra else ""
+    return f"SELECT {e}term, {', '.join(pairs)} FROM (SELECT {e}term, {one(1)}, {one(0)} FROM (SELECT {e}term, {counts} FROM {post} GROUP BY {e}term) JOIN (SELECT {e}term, {sums} FROM {weights} GROUP BY {e}term) USING ({e}term), sizes)"
 
 
 def _scout(b):
@@ -69,6 +70,24 @@ def _scout(b):
 
 query("o82_scout_table", sql(_scout_sql()))(_scout)
 
+_NGRAMS = {
+    "npost": "SELECT n, doc_id, label, term, count(*) AS tf FROM (SELECT n, doc_id, label, unnest(list_transform(range(1, greatest(len(toks) - n + 2, 1)), lambda i: array_to_string(toks[i : i + n - 1], ' '))) AS term FROM toks, (SELECT unnest(range(1, 6)) AS n)) GROUP BY n, doc_id, label, term",
+    "nidf": "SELECT p.n, term, ln((1 + any_value(sizes.n)) / (1 + count(*))) + 1 AS idf FROM npost p, sizes GROUP BY p.n, term",
+    "nraw": "SELECT n, doc_id, label, term, tf * idf AS value FROM npost JOIN nidf USING (n, term)",
+    "nweights": "SELECT n, doc_id, label, term, value / sqrt(sum(value * value) OVER (PARTITION BY n, doc_id)) AS value FROM nraw",
+}
+
+
+@query("o82_scout_ngrams", sql(_scout_sql("npost", "nweights", "n").replace(", sizes)", ", (SELECT n1, n0 FROM sizes))"), **_NGRAMS))
+def _(b):
+    """The scout table of each n-gram size from 1 to 5."""
+    out = None
+    for n in range(1, 6):
+        post = b.post if n == 1 else C.postings(b.toks(n, n)).persist()
+        own = X.scout_table(post, M.tfidf(post, M.idf(post, b.sizes)), b.sizes).withColumn("n", F.lit(n).cast("long"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
 _GAP = f"SELECT term, {q9('s1 / n1 - s0 / n0')} AS gap FROM (SELECT term, sum(CASE WHEN label = 1 THEN value ELSE 0.0 END) AS s1, sum(CASE WHEN label = 0 THEN value ELSE 0.0 END) AS s0 FROM weights GROUP BY term), sizes"
 
 
@@ -139,11 +158,32 @@ def _(b):
     return thr.join(score, "term", "left").join(known, "term", "left").select("term", "thr", F.when(F.col("known").isNull(), "not in vocabulary").alias("problem"), "score")
 
 
-@query("o90_exceedance_report", sql("SELECT thr, label, count(*) AS docs, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM (SELECT doc_id, label, sum(tf) AS total FROM tgrid GROUP BY doc_id, label), (VALUES (5), (10), (20)) x(thr) WHERE total > thr GROUP BY thr, label", **_TGRID))
+@query("o90_exceedance_report", sql("SELECT thr, d.label, d.doc_id, d.total, words FROM (SELECT doc_id, label, sum(tf) AS total, string_agg(term || ':' || tf, ', ' ORDER BY term) FILTER (WHERE tf > 0) AS words FROM tgrid GROUP BY doc_id, label) d, (SELECT CAST(x.thr AS BIGINT) AS thr FROM (VALUES (5), (10), (20)) x(thr) UNION SELECT max(total) FROM (SELECT label, sum(tf) AS total FROM tgrid GROUP BY doc_id, label) WHERE label = 0) WHERE d.total > thr", **_TGRID))
 def _(b):
-    docs = _target_grid(b).groupBy("doc_id", "label").agg(F.sum("value").alias("total"))
-    each = docs.withColumn("thr", F.explode(F.array(*map(F.lit, (5, 10, 20))))).filter("total > thr")
-    return each.groupBy("thr", "label").agg(F.count(F.lit(1)).alias("docs"), F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("ids"))
+    """Documents whose target words exceed a threshold, or the maximum of label 0, with their words; one row each."""
+    grid = _target_grid(b)
+    said = F.transform(F.sort_array(F.collect_list(F.when(F.col("value") > 0, F.struct("term", "value")))), lambda x: F.concat_ws(":", x["term"], x["value"].cast("string")))
+    docs = grid.groupBy("doc_id", "label").agg(F.sum("value").alias("total"), F.array_join(said, ", ").alias("words")).persist()
+    most = docs.filter("label = 0").agg(F.max("total").alias("most"))
+    cuts = F.array_distinct(F.array_compact(F.array(*[F.lit(c).cast("long") for c in (5, 10, 20)], F.col("most"))))
+    each = docs.crossJoin(F.broadcast(most)).withColumn("thr", F.explode(cuts)).filter("total > thr")
+    return each.select("thr", "label", "doc_id", "total", "words")
+
+
+_SCALED = {"tboth": "SELECT 'raw' AS matrix, doc_id, label, term, CAST(tf AS DOUBLE) AS v FROM tgrid UNION ALL SELECT 'min_max', doc_id, label, term, CASE WHEN hi > lo THEN (tf - lo) / (hi - lo) ELSE 0.0 END FROM (SELECT *, min(tf) OVER (PARTITION BY term) AS lo, max(tf) OVER (PARTITION BY term) AS hi FROM tgrid)"}
+_TWICE = f"SELECT matrix, 'word' AS report, term AS name, label, {q9('avg(v)')} AS mean, count(*) FILTER (WHERE v > 0) AS docs, {q9('max(v)')} AS most FROM tboth GROUP BY matrix, term, label UNION ALL SELECT matrix, 'group', 'all', label, {q9('avg(total)')}, count(*) FILTER (WHERE total > 0), {q9('max(total)')} FROM (SELECT matrix, doc_id, label, sum(v) AS total FROM tboth GROUP BY matrix, doc_id, label) GROUP BY matrix, label"
+
+
+@query("o215_reports_of_both_matrices", sql(_TWICE, **_TGRID, **_SCALED))
+def _(b):
+    """The word and the group report of the raw counts and of the whole set's min-max scale."""
+    raw = _target_grid(b).withColumn("value", F.col("value").cast("double")).persist()
+    scaled = M.min_max(raw, M.column_range(raw, b.sizes), clip=False)
+    both = raw.withColumn("matrix", F.lit("raw")).unionByName(scaled.withColumn("matrix", F.lit("min_max")))
+    summary = lambda rows, v: rows.agg(r9(F.avg(v)).alias("mean"), F.count_if(F.col(v) > 0).alias("docs"), r9(F.max(v)).alias("most"))
+    words = summary(both.groupBy("matrix", F.lit("word").alias("report"), F.col("term").alias("name"), "label"), "value")
+    totals = both.groupBy("matrix", "doc_id", "label").agg(F.sum("value").alias("total"))
+    return words.unionByName(summary(totals.groupBy("matrix", F.lit("group").alias("report"), F.lit("all").alias("name"), "label"), "total"))
 
 
 _MI = "(CASE WHEN a > 0 THEN a / n * ln(a * n / (df * nl)) ELSE 0.0 END)"
@@ -179,7 +219,7 @@ def _(b):
 
 
 query("o100_top_terms", sql("SELECT * FROM ranked WHERE selection_rank <= 100"))(lambda b: b.top(100))
-query("o101_rank", sql("SELECT term, selection_rank FROM ranked WHERE selection_rank <= 500"))(lambda b: b.top(500).select("term", "selection_rank"))
+query("o101_rank", sql("SELECT term, CAST(selection_rank AS BIGINT) AS selection_rank FROM ranked"))(lambda b: S.ranked(b.scores, S.SCORE_ORDER).select("term", "selection_rank"))
 
 
 @query("o102_exclude_then_top", sql("SELECT term, CAST(row_number() OVER (ORDER BY abs_score DESC, selected_score DESC, label1_doc_count DESC, label0_doc_count DESC, term) AS INTEGER) AS selection_rank FROM scores WHERE term NOT IN (SELECT term FROM top30) QUALIFY selection_rank <= 40"))
@@ -202,7 +242,23 @@ def _order(name: str, where: str, order: str, keys: list[str]):
         return S.top(rows, keys, 30, "rank")
 
 
-_order("o105_all_label1_least_label0", "df1 >= 0.9 * n1", "df0, term", ["df0", "term"])
+_PARTS = {
+    "parts": "SELECT doc_id, concat_ws('-', lang, source) AS part, CAST(1 - label AS INTEGER) AS label FROM corpus JOIN documents USING (doc_id)",
+    "psizes": "SELECT part, count(*) FILTER (WHERE label = 1) AS n1 FROM parts GROUP BY part",
+    "pdfs": "SELECT part, term, count(*) FILTER (WHERE parts.label = 1) AS df1, count(*) FILTER (WHERE parts.label = 0) AS df0 FROM post JOIN parts USING (doc_id) GROUP BY part, term",
+}
+
+
+@query("o105_all_label1_least_label0", sql("SELECT part, term, df1, df0, CAST(row_number() OVER (PARTITION BY part ORDER BY df0, term) AS INTEGER) AS rank FROM pdfs JOIN psizes USING (part) WHERE n1 > 0 AND df1 = n1 QUALIFY rank <= 30", **_PARTS))
+def _(b):
+    """Terms that every label-1 document has, of each source and language as a corpus of its own; label 1 is low quality here."""
+    parts = b.table("documents").select("doc_id", F.concat_ws("-", "lang", "source").alias("part")).join(b.corpus.select("doc_id", (1 - F.col("label")).alias("label")), "doc_id")
+    sizes = parts.groupBy("part").agg(F.count_if(F.col("label") == 1).alias("n1"))
+    counts = b.post.select("doc_id", "term").join(parts, "doc_id").groupBy("part", "term").agg(F.count_if(F.col("label") == 1).alias("df1"), F.count_if(F.col("label") == 0).alias("df0"))
+    rows = counts.join(sizes, "part").filter("n1 > 0 AND df1 = n1").drop("n1")
+    return S.top(rows, ["df0", "term"], 30, "rank", ["part"])
+
+
 _order("o106_absent_label1_most_label0", "df1 = 0", "df0 DESC, term", ["df0 DESC", "term"])
 _order("o107_most_label0", "true", "df0 DESC, term", ["df0 DESC", "term"])
 _order("o108_most_label1_least_label0", "true", "df1 DESC, df0, term", ["df1 DESC", "df0", "term"])
@@ -220,12 +276,14 @@ def _specs(k: int, o: int) -> dict[str, str]:
     return {"tfidf_diff": both("mean_tfidf"), f"label{k}_mean_tfidf": f"label{k}_mean_tfidf", "count_diff": both("total_count"), "doc_diff": both("doc_count"), f"label{k}_total_count": f"label{k}_total_count", f"label{k}_doc_count": f"label{k}_doc_count", "mean_count_diff": both("mean_count"), "doc_rate_diff": both("doc_rate")}
 
 
-_LISTS = " UNION ALL ".join(f"SELECT * FROM (SELECT term, '{n}' AS ranking_name, CAST(row_number() OVER (ORDER BY {c} DESC, term) AS INTEGER) AS rank FROM scout) WHERE rank <= 25" for n, c in _specs(1, 0).items())
+_LISTS = " UNION ALL ".join(f"SELECT * FROM (SELECT 'label{k}' AS focus, term, '{n}' AS ranking_name, CAST(row_number() OVER (ORDER BY {c} DESC, term) AS INTEGER) AS rank FROM scout) WHERE rank <= 25" for k, o in ((1, 0), (0, 1)) for n, c in _specs(k, o).items())
 
 
-@query("o111_ranking_overlap", sql(f"SELECT term, count(*) AS appearance_count, string_agg(ranking_name, ', ' ORDER BY ranking_name) AS ranking_names, min(rank) AS best_rank, round(avg(rank), 9) AS average_rank FROM ({_LISTS}) GROUP BY term", scout=_scout_sql()))
+@query("o111_ranking_overlap", sql(f"SELECT focus, term, count(*) AS appearance_count, string_agg(ranking_name, ', ' ORDER BY ranking_name) AS ranking_names, min(rank) AS best_rank, round(avg(rank), 9) AS average_rank FROM ({_LISTS}) GROUP BY focus, term", scout=_scout_sql()))
 def _(b):
-    return S.overlap(_scout(b), _specs(1, 0), 25)
+    scout = _scout(b).persist()
+    of = lambda k, o: S.overlap(scout, _specs(k, o), 25).withColumn("focus", F.lit(f"label{k}"))
+    return of(1, 0).unionByName(of(0, 1))
 
 
 _BI = "SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(toks), 1)), lambda i: toks[i] || ' ' || toks[i + 1])) AS term FROM toks) GROUP BY term"
@@ -246,7 +304,12 @@ def _(b):
     return S.threshold_summary(b.scores, _CUTS)
 
 
-query("o139_threshold_range_join", ORACLE_SQL["o113_threshold_summary"])(lambda b: S.threshold_summary(b.scores, _CUTS))
+_CUT_ROWS = ", ".join(f"(CAST({c} AS DOUBLE))" for c in _CUTS)
+
+
+@query("o139_threshold_range_join", sql(f"SELECT score_threshold, dominant_label, count(*) AS terms FROM scores JOIN (VALUES {_CUT_ROWS}) x(score_threshold) ON abs_score >= score_threshold GROUP BY 1, 2"))
+def _(b):
+    return S.threshold_join(b.scores, b.spark.createDataFrame([(c,) for c in _CUTS], "score_threshold double"))
 
 
 @query("o114_score_curve", sql("SELECT abs_score, label1_term_count_at_score, label0_term_count_at_score, neutral_term_count_at_score, term_count_at_score, CAST(sum(term_count_at_score) OVER w AS BIGINT) AS selected_term_count_at_or_above_score, CAST(sum(label1_term_count_at_score) OVER w AS BIGINT) AS label1_selected_term_count_at_or_above_score, CAST(sum(label0_term_count_at_score) OVER w AS BIGINT) AS label0_selected_term_count_at_or_above_score, CAST(sum(neutral_term_count_at_score) OVER w AS BIGINT) AS neutral_selected_term_count_at_or_above_score FROM (SELECT round(abs_score, 12) AS abs_score, count(*) FILTER (WHERE dominant_label = 'label1') AS label1_term_count_at_score, count(*) FILTER (WHERE dominant_label = 'label0') AS label0_term_count_at_score, count(*) FILTER (WHERE dominant_label = 'neutral') AS neutral_term_count_at_score, count(*) AS term_count_at_score FROM scores GROUP BY 1) WINDOW w AS (ORDER BY abs_score DESC ROWS UNBOUNDED PRECEDING)"))
@@ -269,7 +332,36 @@ def _(b):
     return first.filter("rank <= 20").withColumn("selection_source", F.lit("first")).unionByName(second.filter("rank <= 20").withColumn("selection_source", F.lit("second")))
 
 
-query("o124_sorted_scores", sql("SELECT term, abs_score, selection_rank FROM ranked WHERE selection_rank <= 1000"))(lambda b: b.top(1000).select("term", "abs_score", "selection_rank"))
+_MODE_TABLES = {"term_frequency": difference("tfv", "tf", False), "document_frequency": difference("dfv", "df", False), "tfidf": difference("weights", "tfidf", False)}
+_MODE_SQL = {f"from_{n}": f"SELECT term, CAST(row_number() OVER (ORDER BY absolute_difference DESC, term) AS BIGINT) AS source_rank, '{n}' AS selection_source FROM ({t})" for n, t in _MODE_TABLES.items()}
+
+
+def _mode_part(mode: str, k: int) -> str:
+    sources = S.MODES[mode][0]
+    parts = " UNION ALL ".join(f"SELECT {i} AS place, * FROM from_{n} WHERE source_rank <= {k // len(sources)}" for i, n in enumerate(sources))
+    return f"SELECT '{mode}' AS selection_mode, CAST(row_number() OVER (ORDER BY place, source_rank) AS INTEGER) AS selection_rank, term, selection_source, source_rank FROM ({parts})"
+
+
+_PLAIN_MODES = [m for m, (_, unique) in S.MODES.items() if not unique]
+
+
+def _modes(b, modes: list[str], k: int = 40):
+    tables = {
+        "term_frequency": X.difference_table(M.raw(b.post), None, "tf"),
+        "document_frequency": X.difference_table(b.post.withColumn("value", F.lit(1.0)), None, "df"),
+        "tfidf": X.difference_table(b.weights, None, "tfidf"),
+    }
+    tables = {n: t.select("term", "absolute_difference").persist() for n, t in tables.items()}
+    out = None
+    for m in modes:
+        own = S.by_mode(tables, m, k)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+query("o120_select_by_mode", sql(" UNION ALL ".join(f"SELECT * FROM ({_mode_part(m, 40)})" for m in _PLAIN_MODES), **_EXTRA, **_MODE_SQL))(lambda b: _modes(b, _PLAIN_MODES))
+query("o120_unique_modes")(lambda b: _modes(b, [m for m in S.MODES if m not in _PLAIN_MODES]))
+query("o124_sorted_scores", sql("SELECT term, abs_score, CAST(selection_rank AS BIGINT) AS selection_rank FROM ranked"))(lambda b: S.ranked(b.scores, S.SCORE_ORDER).select("term", "abs_score", "selection_rank"))
 
 
 @query("o130_term_index_join", sql("SELECT doc_id, feature_index, tf FROM post JOIN (SELECT row_number() OVER (ORDER BY term) - 1 AS feature_index, term FROM top30) USING (term)"))
@@ -314,7 +406,7 @@ def _(b):
 def _(b):
     from termforge.operators.models import grid
 
-    return grid(b.spark, {"c": [0.01, 1.0, 100.0], "g": [0.1, 1.0]}).select("c", "g")
+    return grid(b.spark, {"c": [0.01, 1.0, 100.0], "gamma": [0.1, 1.0]}, "rbf").select("c", F.col("gamma").alias("g"))
 
 
 query("o141_label_split", sql("SELECT doc_id, term, tf FROM post WHERE label = 0"))(lambda b: b.post.filter("label = 0").select("doc_id", "term", "tf"))

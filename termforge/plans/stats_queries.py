@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termforge.functions import text as T
+from termforge.operators import contexts
 from termforge.operators import evaluate as E
+from termforge.operators import experiments
 from termforge.operators import matrix as M
 from termforge.operators import models
 from termforge.operators import select as S
@@ -46,6 +48,7 @@ _TERMS = _GRID | {"tg": "SELECT term || '/all' AS grp, round(v, 9) AS v FROM gri
 
 
 def _term_grid(b):
+    """Documents by 30 selected terms."""
     return M.dense(M.relative(b.post, b.lens), b.corpus, b.top(30)).withColumn("v", F.round("value", 9))
 
 
@@ -58,10 +61,11 @@ def _(b):
 
 @query("o152_outlier_rows", sql("SELECT doc_id, label, term, CASE WHEN v > q3 THEN 'high' ELSE 'low' END AS direction FROM (SELECT doc_id, label, term, round(v, 9) AS v FROM grid) JOIN (SELECT label, term, quantile_cont(round(v, 9), 0.25) AS q1, quantile_cont(round(v, 9), 0.75) AS q3 FROM grid GROUP BY label, term) USING (label, term) WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)", **_GRID))
 def _(b):
-    g = _term_grid(b)
-    q = g.groupBy("label", "term").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    lo, hi = F.col("q")[0], F.col("q")[1]
-    return g.join(F.broadcast(q), ["label", "term"]).filter((F.col("v") < lo - 1.5 * (hi - lo)) | (F.col("v") > hi + 1.5 * (hi - lo))).select("doc_id", "label", "term", F.when(F.col("v") > hi, "high").otherwise("low").alias("direction"))
+    g = _term_grid(b).withColumn("grp", F.concat_ws("/", "label", "term")).persist()
+    _, q = stats.quartiles(g.select("grp", "v"))
+    width = F.col("q3") - F.col("q1")
+    far = (F.col("v") < F.col("q1") - 1.5 * width) | (F.col("v") > F.col("q3") + 1.5 * width)
+    return g.join(F.broadcast(q), "grp").filter(far).select("doc_id", "label", "term", F.when(F.col("v") > F.col("q3"), "high").otherwise("low").alias("direction"))
 
 
 @query("o153_iqr_audit", sql(f"SELECT k, CAST(sum(outliers) AS BIGINT) AS outliers, count(*) FILTER (WHERE outliers > 0) AS terms_with_outliers, {q9('sum(outliers) / sum(n)')} AS rate, count(*) FILTER (WHERE abs(q3 - q1) <= 1e-8) AS flat FROM (SELECT selection_rank, x.* FROM ({_IQR.format(t='tg')}) x JOIN top30 ON grp = term || '/all'), (VALUES (10), (20), (30)) y(k) WHERE selection_rank <= k GROUP BY k", **_TERMS))
@@ -86,7 +90,7 @@ def _(b):
     return stats.mann_whitney(b.corpus.select("label", T.word_count(F.col("text")).alias("v")))
 
 
-query("o156_permutation_test")(lambda b: stats.permutation(b.corpus.select("label", T.word_count(F.col("text")).cast("double").alias("v")), 10_000))
+query("o156_permutation_test")(lambda b: stats.permutation(b.corpus.select("label", T.word_count(F.col("text")).cast("double").alias("v")), 100_000))
 
 
 @query("o157_histogram", sql("SELECT label, least(29, CAST(floor((words - lo) * 30.0 / (hi - lo)) AS INTEGER)) AS bin, count(*) AS n FROM wc, (SELECT min(words) AS lo, max(words) AS hi FROM wc) GROUP BY 1, 2"))
@@ -101,6 +105,7 @@ def _(b):
 
 
 query("o158_pca")(lambda b: stats.pca(b.table("embeddings").select("vec_id", "embedding", "label"), 5))
+query("o158_pca_scores")(lambda b: stats.pca_fit(b.table("embeddings").select("vec_id", "embedding", "label"), 5)[0])
 
 query("o170_stratified_folds", sql("SELECT doc_id, label, fold FROM folds"))(lambda b: splits.stratified(b.corpus.select("doc_id", "label"), 5))
 
@@ -113,10 +118,14 @@ def _(b):
 query("o172_holdout_split", sql("SELECT doc_id, CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'validation' ELSE 'test' END AS role FROM (SELECT doc_id, CAST('0x' || substr(md5('split-' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS h FROM corpus)"))(lambda b: splits.holdout(b.corpus.select("doc_id"), 70))
 
 
-@query("o171_leave_one_out", sql("SELECT count(*) AS pairs, CAST(sum(a.label) AS BIGINT) AS train_label1 FROM (SELECT doc_id, label FROM corpus WHERE doc_id < 60) a JOIN (SELECT doc_id FROM corpus WHERE doc_id < 60) t ON a.doc_id <> t.doc_id"))
+query("o172_stratified_holdout", sql("SELECT doc_id, label, CASE WHEN (row_number() OVER (PARTITION BY label ORDER BY doc_id) - 1) % 10 = 0 THEN 'test' ELSE 'train' END AS role FROM corpus"))(lambda b: splits.stratified_holdout(b.corpus.select("doc_id", "label")))
+
+
+@query("o171_leave_one_out", sql("SELECT c.doc_id AS test_id, c.label AS test_label, n - 1 AS train_rows, n1 - c.label AS train_label1, n - 1 AS inner_splits, (n - 1) * (n - 2) AS inner_train_rows FROM corpus c, sizes"))
 def _(b):
-    few = b.corpus.filter("doc_id < 60").select("doc_id", "label")  # leave-one-out is for small corpora: its splits are quadratic by definition
-    return few.join(F.broadcast(few.select(F.col("doc_id").alias("test_id"))), F.col("doc_id") != F.col("test_id")).agg(F.count(F.lit(1)).alias("pairs"), F.sum("label").alias("train_label1"))
+    """The outer splits of the double leave-one-out, one row a test document; the pairs themselves are quadratic and stay implicit."""
+    n = F.col("n")
+    return splits.leave_one_out(b.corpus.select("doc_id", "label")).select("test_id", "test_label", (n - 1).alias("train_rows"), (F.col("n1") - F.col("test_label")).alias("train_label1"), (n - 1).alias("inner_splits"), ((n - 1) * (n - 2)).alias("inner_train_rows"))
 
 
 def _decisions(b):
@@ -157,6 +166,11 @@ def _(b):
     return stats.roc(_decisions(b))
 
 
+@query("o188_pr_points", sql(f"SELECT decision, {q9('tp / (tp + fp)')} AS precision, {q9('tp / positives')} AS recall FROM (SELECT decision, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS positives FROM (SELECT decision, sum(label) AS p, sum(1 - label) AS n FROM margin GROUP BY decision) WINDOW w AS (ORDER BY decision DESC ROWS UNBOUNDED PRECEDING))"))
+def _(b):
+    return stats.precision_recall(_decisions(b))
+
+
 @query("o188_auc", sql(f"SELECT {q9('(sum(r) FILTER (WHERE label = 1) - k1 * (k1 + 1) / 2.0) / (k1 * k0)')} AS auc FROM (SELECT label, rank() OVER (ORDER BY decision) + (count(*) OVER (PARTITION BY decision) - 1) / 2.0 AS r FROM margin), (SELECT count(*) FILTER (WHERE label = 1) AS k1, count(*) FILTER (WHERE label = 0) AS k0 FROM margin) GROUP BY k1, k0"))
 def _(b):
     return stats.auc(_decisions(b))
@@ -205,9 +219,9 @@ query("o192_top_feature_summary", sql(f"SELECT doc_id, string_agg(term || '(' ||
     lambda b: _contributions(b).filter("rank <= 5").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat("term", F.lit("("), "role", F.lit(")")).alias("s")))), lambda x: x["s"]), " | ").alias("summary")))
 
 
-@query("o116_nearest_vectors", "WITH q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT qid, vec_id, round(sqrt(list_sum(list_transform(list_zip(e, embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))), 6) AS dist FROM q, embeddings WHERE vec_id <> qid) SELECT qid, vec_id, dist + 0.0 AS dist, round(sqrt(greatest(0.0, 2 - 2 * exp(-0.1 * dist * dist))), 6) + 0.0 AS rbf_dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 5")
+@query("o116_nearest_vectors", "WITH q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT qid, vec_id, round(sqrt(list_sum(list_transform(list_zip(e, embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))), 6) AS dist FROM q, embeddings WHERE vec_id <> qid) SELECT qid, vec_id, dist + 0.0 AS dist, round(sqrt(greatest(0.0, 2 - 2 * exp(-0.1 * dist * dist))), 6) + 0.0 AS rbf_dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 5")
 def _(b):
-    return stats.nearest(b.table("embeddings"), "vec_id % 100 = 0", 5, 0.1)
+    return stats.nearest(b.table("embeddings"), "vec_id % 20 = 0", 5, 0.1)
 
 
 @query("o117_feature_match_rate", sql(f"SELECT label, {q9('avg(m)')} AS match_rate FROM (SELECT doc_id, label, 1 - (count(*) FILTER (WHERE a <> t)) / 30.0 AS m FROM (SELECT c.doc_id, c.label, coalesce(p.tf, 0) AS a, coalesce(q.tf, 0) AS t FROM corpus c CROSS JOIN (SELECT term FROM top30) x LEFT JOIN post p ON p.doc_id = c.doc_id AND p.term = x.term LEFT JOIN (SELECT term, tf FROM post WHERE doc_id = (SELECT min(doc_id) FROM corpus)) q ON q.term = x.term) GROUP BY doc_id, label) GROUP BY label"))
@@ -219,22 +233,43 @@ def _(b):
     return docs.groupBy("label").agg(r9(F.avg("m")).alias("match_rate"))
 
 
-# Result rows as a deterministic function of the event table: what a finished run would have written.
-_RES = "SELECT event_type AS condition, CAST(10 * (event_id % 7 + 1) AS VARCHAR) AS feature_count, CAST(round(avg(value), 4) AS DOUBLE) AS acc, count(*) AS n FROM events GROUP BY 1, 2"
-_RESULTS = {"res": "SELECT condition, feature_count, CASE WHEN feature_count = '70' THEN 'n/a' ELSE CAST(acc AS VARCHAR) END AS mean_accuracy, acc, n FROM (" + _RES + ")"}
+# A table of results: documents scored by the summed scores of the first k terms, three ways of
+# weighing a term and seven k, evaluated by fold; a candidate with a fold below 0.6 has no accuracy.
+_WAYS, _KS, _LEAST = {"presence": "1", "frequency": "tf", "log_frequency": "(1 + ln(tf))"}, range(10, 80, 10), 0.6
+_GAINS = "SELECT p.doc_id, tf, label1_score AS s, selection_rank AS r FROM post p JOIN ranked USING (term) WHERE selection_rank <= 70"
+_TRIED = " UNION ALL ".join(f"SELECT '{w}' AS condition, {k} AS k, c.doc_id, c.label, round(coalesce(sum({e} * s), 0.0), 9) + 0.0 AS decision FROM corpus c LEFT JOIN gains g ON g.doc_id = c.doc_id AND r <= {k} GROUP BY c.doc_id, c.label" for w, e in _WAYS.items() for k in _KS)
+_TRIED_FOLDS = "SELECT condition, k, f.fold, count(*) AS docs, count(*) FILTER (WHERE (decision > 0) <> (t.label = 1)) AS wrong FROM tried t JOIN folds f USING (doc_id) GROUP BY condition, k, f.fold"
+_RES = f"SELECT condition, CAST(k AS VARCHAR) AS feature_count, {q9('avg(1 - wrong / docs)')} AS acc, CAST(sum(wrong) AS BIGINT) AS n, min(1 - wrong / docs) AS least FROM tried_folds GROUP BY condition, k"
+_RESULTS = {"gains": _GAINS, "tried": _TRIED, "tried_folds": _TRIED_FOLDS, "res": f"SELECT condition, feature_count, CASE WHEN round(least, 9) < {_LEAST} THEN 'n/a' ELSE CAST(acc AS VARCHAR) END AS mean_accuracy, acc, n FROM ({_RES})"}
+
+
+def _tried(b):
+    """condition, k, doc_id, label, fold, decision of every candidate: one aggregate a document, all candidates in it."""
+    best = b.top(70).select("term", "selection_rank", "label1_score")
+    weight = {"presence": F.lit(1.0), "frequency": F.col("tf").cast("double"), "log_frequency": 1 + F.log("tf")}
+    hits = b.post.select("doc_id", "term", "tf").join(F.broadcast(best), "term")
+    names = [(w, k) for w in _WAYS for k in _KS]
+    sums = hits.groupBy("doc_id").agg(*[F.sum(F.when(F.col("selection_rank") <= k, weight[w] * F.col("label1_score"))).alias(f"{w}{k}") for w, k in names])
+    rows = b.corpus.select("doc_id", "label").join(sums, "doc_id", "left")
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("condition"), F.lit(k).alias("k"), r9(F.coalesce(f"{w}{k}", F.lit(0.0))).alias("decision")) for w, k in names]))
+    folds = splits.stratified(b.corpus.select("doc_id", "label"), 5).select("doc_id", "fold")
+    return rows.select("doc_id", "label", each.alias("c")).select("doc_id", "label", "c.*").join(folds, "doc_id")
 
 
 def _results(b):
-    rows = b.table("events").groupBy(F.col("event_type").alias("condition"), (10 * (F.col("event_id") % 7 + 1)).cast("string").alias("feature_count")).agg(F.round(F.avg("value"), 4).alias("acc"), F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("mean_accuracy", F.when(F.col("feature_count") == "70", "n/a").otherwise(F.col("acc").cast("string")))
+    wrong = F.count_if((F.col("decision") > 0) != (F.col("label") == 1))
+    folds = _tried(b).groupBy("condition", "k", "fold").agg(F.count(F.lit(1)).alias("docs"), wrong.alias("wrong"))
+    share = 1 - F.col("wrong") / F.col("docs")
+    rows = folds.groupBy("condition", "k").agg(r9(F.avg(share)).alias("acc"), F.sum("wrong").alias("n"), F.round(F.min(share), 9).alias("least"))
+    return rows.select("condition", F.col("k").cast("string").alias("feature_count"), F.when(F.col("least") < _LEAST, "n/a").otherwise(F.col("acc").cast("string")).alias("mean_accuracy"), "acc", "n")
 
 
-query("o121_best_row", sql("SELECT condition, feature_count, acc FROM res WHERE feature_count <> '70' QUALIFY row_number() OVER (PARTITION BY condition ORDER BY acc DESC, CAST(feature_count AS BIGINT)) = 1", **_RESULTS))(lambda b: S.best_rows(_results(b), ["condition"]).select("condition", "feature_count", "acc"))
-query("o122_filter_sort_top", sql("SELECT condition, feature_count, acc, CAST(row_number() OVER (ORDER BY acc DESC, condition, feature_count) AS INTEGER) AS rank FROM res WHERE n > 100 QUALIFY rank <= 10", **_RESULTS))(lambda b: S.top(_results(b).filter("n > 100").select("condition", "feature_count", "acc"), ["acc DESC", "condition", "feature_count"], 10, "rank"))
+query("o121_best_row", sql("SELECT condition, feature_count, acc FROM res WHERE mean_accuracy <> 'n/a' QUALIFY row_number() OVER (PARTITION BY condition ORDER BY acc DESC, CAST(feature_count AS BIGINT)) = 1", **_RESULTS))(lambda b: S.best_rows(_results(b), ["condition"]).select("condition", "feature_count", "acc"))
+query("o122_filter_sort_top", sql("SELECT condition, feature_count, acc, CAST(row_number() OVER (ORDER BY acc DESC, condition, feature_count) AS INTEGER) AS rank FROM res WHERE n > 2 QUALIFY rank <= 10", **_RESULTS))(lambda b: S.top(_results(b).filter("n > 2").select("condition", "feature_count", "acc"), ["acc DESC", "condition", "feature_count"], 10, "rank"))
 query("o189_status_counts", sql("SELECT CASE WHEN mean_accuracy = 'n/a' THEN 'dropped' ELSE 'valid' END AS status, count(*) AS n FROM res GROUP BY 1", **_RESULTS))(lambda b: _results(b).groupBy(F.when(F.col("mean_accuracy") == "n/a", "dropped").otherwise("valid").alias("status")).agg(F.count(F.lit(1)).alias("n")))
 query("o181_best_candidate", sql("SELECT condition, feature_count AS param_label, acc FROM res QUALIFY row_number() OVER (PARTITION BY condition ORDER BY acc DESC, feature_count) = 1", **_RESULTS))(lambda b: S.top(_results(b), ["acc DESC", "feature_count"], 1, "nth", ["condition"]).select("condition", F.col("feature_count").alias("param_label"), "acc"))
 query("o205_earliest_best", sql("SELECT condition, feature_count, acc FROM res QUALIFY row_number() OVER (PARTITION BY condition ORDER BY acc DESC, CAST(feature_count AS INTEGER)) = 1", **_RESULTS))(lambda b: S.top(_results(b).withColumn("i", F.col("feature_count").cast("int")), ["acc DESC", "i"], 1, "nth", ["condition"]).select("condition", "feature_count", "acc"))
-query("o194_repeated_errors", sql("SELECT user_id, count(*) AS n FROM events WHERE value < 0.0 OR event_id % 3 = 0 GROUP BY user_id HAVING count(*) >= 6"))(lambda b: b.table("events").filter("value < 0.0 OR event_id % 3 = 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 6"))
+query("o194_repeated_errors", sql("SELECT doc_id, label, count(*) AS n FROM tried WHERE (decision > 0) <> (label = 1) GROUP BY doc_id, label HAVING count(*) >= 6", **_RESULTS))(lambda b: _tried(b).filter((F.col("decision") > 0) != (F.col("label") == 1)).groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n")).filter("n >= 6"))
 query("o195_group_candidates", sql(f"SELECT condition, {q9('m')} AS mean_accuracy FROM (SELECT condition, avg(acc) AS m FROM res GROUP BY condition HAVING count(*) > 5) QUALIFY rank() OVER (ORDER BY {q9('m')} DESC) = 1", **_RESULTS))(
     lambda b: _results(b).groupBy("condition").agg(F.count(F.lit(1)).alias("k"), r9(F.avg("acc")).alias("mean_accuracy")).filter("k > 5").withColumn("r", F.rank().over(W.orderBy(F.col("mean_accuracy").desc()))).filter("r = 1").select("condition", "mean_accuracy"))
 query("o196_accuracy_lift", sql(f"SELECT r.condition, feature_count, {q9('acc - base')} AS lift FROM res r LEFT JOIN (SELECT condition, acc AS base FROM res WHERE feature_count = '10') z ON z.condition = r.condition", **_RESULTS))(
@@ -262,59 +297,136 @@ query("o214_display_format", "SELECT event_id, CASE WHEN value IS NULL THEN '' E
     lambda b: b.table("events").select("event_id", F.coalesce(F.regexp_replace(F.regexp_replace(F.format_string("%.3f", F.round("value", 3)), "0+$", ""), r"\.$", ""), F.lit("")).alias("shown")))
 
 
-def _vectors(b, inner: int = 0):
-    """split_id, doc_id, role, label, features of the outer folds; terms are chosen on all labelled rows' first 20 ranks."""
-    best = b.top(20).select("term", "selection_rank")
-    grid = M.dense(b.post.withColumn("value", F.lit(1.0)).select("doc_id", "term", "value"), b.corpus, best).join(F.broadcast(best), "term")
-    x = grid.groupBy("doc_id", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("selection_rank", "value"))), lambda v: v["value"]).alias("features"))
-    roles = splits.nested(b.corpus.select("doc_id", "label"), 3, 2).select("doc_id", F.col("outer_fold").cast("string").alias("split_id"), "role")
-    return x.join(roles, "doc_id").select("split_id", "doc_id", "role", "label", "features")
+OUTER, INNER, TERMS = 5, 3, 20
+
+
+def _contexts(b, outer: int = OUTER, inner: int = INNER, k: int = TERMS):
+    """Rows of all contexts; a context's terms are chosen on its own training rows."""
+    roles = contexts.roles(b.corpus.select("doc_id", "label"), outer, inner).persist()
+    post = b.post.select("doc_id", "term", "tf").persist()
+    return contexts.features(post, roles, contexts.selected(post, roles, k), k)
+
 
+#: Enough terms for candidates that separate every training row.
+MANY = 400
 
-def _candidates(b, kernel: str, margin):
-    values = {"c": [0.01, 1.0]} if kernel == "linear" else {"c": [1.0], "gamma": [0.1, 1.0]}
-    return models.evaluate(_vectors(b), models.grid(b.spark, values), kernel, margin)
 
+def _outer(b, k: int = TERMS):
+    return _contexts(b, k=k).filter("inner_fold = -1")
 
-query("o173_svc_linear")(lambda b: _candidates(b, "linear", None))
-query("o174_svc_rbf")(lambda b: _candidates(b, "rbf", None))
-query("o174_svc_sigmoid")(lambda b: _candidates(b, "sigmoid", None))
-query("o175_margin_gate")(lambda b: _candidates(b, "rbf", models.MARGIN).groupBy("split_id", "candidate_index").agg(F.first("status").alias("status")))
-query("o180_candidate_evaluation")(lambda b: E.with_metrics(E.confusion(_candidates(b, "linear", None), ["split_id", "param_label"])))
-query("o182_nested_cv")(lambda b: S.top(E.with_metrics(E.confusion(_candidates(b, "linear", None), ["split_id", "param_label"])), ["accuracy DESC", "param_label"], 1, "nth", ["split_id"]))
-query("o183_pooled_grid_search")(lambda b: E.with_metrics(E.confusion(_candidates(b, "linear", None), ["param_label"])))
+
+def _fits(b, kernel: str, values: dict, margin=None, accuracy: bool = False, k: int = TERMS):
+    return models.evaluate(_outer(b, k), models.grid(b.spark, values, kernel), margin, accuracy, 1e-6)
+
+
+_LINEAR, _RBF = {"c": [0.01, 1.0]}, {"c": [1.0, 100.0], "gamma": [0.1, 1.0]}
+_VALID = "outer_fold", "candidate_index", "param_label", "doc_id", "label", "status", "decision", "predicted"
+query("o173_svc_linear")(lambda b: _fits(b, "linear", _LINEAR).select(*_VALID))
+query("o174_svc_rbf")(lambda b: _fits(b, "rbf", _RBF).select(*_VALID))
+query("o174_svc_sigmoid")(lambda b: _fits(b, "sigmoid", {"c": [1.0], "gamma": [0.01, 0.1]}).select(*_VALID))
+query("o175_margin_gate")(lambda b: _fits(b, "rbf", _RBF, models.MARGIN, k=MANY).groupBy("outer_fold", "candidate_index").agg(F.first("status").alias("status")))
+query("o212_train_accuracy_gate")(lambda b: _fits(b, "rbf", _RBF, None, True, MANY).groupBy("outer_fold", "candidate_index").agg(F.first("status").alias("status")))
+
+
+query("o180_candidate_evaluation")(lambda b: models.candidate_records(_contexts(b, k=MANY), models.grid(b.spark, _RBF, "rbf"), models.MARGIN, tol=1e-6)[0])
+query("o182_nested_cv")(lambda b: models.nested_cv(_contexts(b, k=MANY), models.grid(b.spark, {"c": [0.01, 1.0, 100.0]}), models.MARGIN, tol=1e-6))
+query("o189_candidate_status")(lambda b: models.candidate_records(_contexts(b, k=MANY), models.grid(b.spark, _RBF, "rbf"), models.MARGIN, tol=1e-6)[1])
+query("o183_pooled_grid_search")(lambda b: E.with_metrics(E.confusion(models.pooled_grid_search(_contexts(b), models.grid(b.spark, {"kernel": ["linear", "rbf"], "c": [0.1, 1, 5], "gamma": [0.01, 0.001]})), [])))
+query("o200_fit_one_split")(lambda b: E.with_metrics(E.confusion(_fits(b, "linear", {"c": [1.0]}).filter("outer_fold = 0"), ["status"])))
+query("o204_unnested_search")(lambda b: _unnested(b))
+
+
+def _unnested(b):
+    """Combinations that reproduce every training label, with the mean accuracy of fixed folds; the first strictly better one wins."""
+    found = _fits(b, "rbf", _RBF, None, True, MANY)
+    kept = found.groupBy("candidate_index", "param_label").agg(F.bool_and(F.col("status") != "invalid_accuracy").alias("kept")).filter("kept").drop("kept")
+    scores = E.with_metrics(E.confusion(found, ["outer_fold", "candidate_index"])).groupBy("candidate_index").agg(r9(F.avg("accuracy")).alias("accuracy"))
+    return S.top(scores.join(kept, "candidate_index"), ["accuracy DESC", "candidate_index"], 1, "nth").drop("nth")
+
+
+def _thresholds(b, seconds=None):
+    cuts = [0.2, 0.3]
+    roles = contexts.roles(b.corpus.select("doc_id", "label"), 3, 2).persist()
+    records, statuses = experiments.threshold_records(b.post, roles, cuts, models.grid(b.spark, _LINEAR), 60, None, 1e-6, seconds)
+    return records, statuses, b.spark.createDataFrame([(c,) for c in cuts], "score_threshold double")
+
+
+@query("o209_fixed_and_tuned")
+def _(b):
+    records, _, cuts = _thresholds(b)
+    return experiments.fixed_and_tuned(records, cuts)
+
+
+query("o210_fit_statuses")(lambda b: _thresholds(b, 7200.0)[1])
+query("o190_attributions")(lambda b: models.attributions(_outer(b), "linear", 1.0))
+
+
+@query("o211_error_statuses")
+def _(b):
+    rows = _outer(b)
+    return models.error_statuses(models.evaluate(rows, models.grid(b.spark, {"c": [1.0]}), None, tol=1e-6), models.attributions(rows, "linear", 1.0).select("outer_fold", "doc_id").distinct())
+
+
+@query("o213_leaf_neighbourhood")
+def _(b):
+    from termforge.operators import native_models
+
+    return native_models.leaf_neighbourhood(_outer(b).filter("outer_fold = 0"))
 
 
 def _native(b, kind: str):
+    """Predictions for every labelled document, each by the model of its outer fold's training rows."""
     from termforge.operators import native_models
 
-    return native_models.predict(_vectors(b).filter("split_id = '0'"), kind)
+    rows = _outer(b).persist()
+    out = None
+    for k in range(OUTER):
+        own = native_models.predict(rows.filter(F.col("outer_fold") == k), kind).withColumn("outer_fold", F.lit(k))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-for _k, _n in (("gbt", "o177_gradient_boosting"), ("forest", "o179_random_forest"), ("logistic", "o179_logistic_regression")):
+for _k, _n in (("gbt", "o177_gradient_boosting"), ("xgb", "o178_weighted_boosting"), ("forest", "o179_random_forest"), ("logistic", "o179_logistic_regression")):
     query(_n)(lambda b, k=_k: _native(b, k))
 
 
-@query("o179_knn", "WITH q AS (SELECT vec_id AS qid, label AS actual, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT qid, actual, label, vec_id, round(sqrt(list_sum(list_transform(list_zip(e, embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))), 6) AS dist FROM q, embeddings WHERE vec_id <> qid), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS r FROM d), v AS (SELECT qid, actual, label, count(*) AS votes FROM n WHERE r <= 5 GROUP BY ALL) SELECT qid, actual, label AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label) = 1")
+@query("o179_knn", "WITH q AS (SELECT vec_id AS qid, label AS actual, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT qid, actual, label, vec_id, round(sqrt(list_sum(list_transform(list_zip(e, embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))), 6) AS dist FROM q, embeddings WHERE vec_id <> qid), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS r FROM d), v AS (SELECT qid, actual, label, count(*) AS votes FROM n WHERE r <= 5 GROUP BY ALL) SELECT qid, actual, label AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label) = 1")
 def _(b):
-    near = stats.nearest(b.table("embeddings"), "vec_id % 50 = 0", 5, 0.1)
+    near = stats.nearest(b.table("embeddings"), "vec_id % 20 = 0", 5, 0.1)
     e = b.table("embeddings")
     votes = near.join(e.select("vec_id", "label"), "vec_id").groupBy("qid", "label").agg(F.count(F.lit(1)).alias("votes"))
     best = S.top(votes, ["votes DESC", "label"], 1, "nth", ["qid"])
     return best.join(e.select(F.col("vec_id").alias("qid"), F.col("label").alias("actual")), "qid").select("qid", "actual", F.col("label").alias("predicted"))
 
 
-query("o08_json_leaf_text")(lambda b: stats.json_leaves(b.table("events").select("event_id", "props"), "props"))
+_NESTED = """concat('{"kind": "', event_type, '", "blank": [" ", ""], "n": 3, "inner": {"again": ["', event_type, '", {"user": "u', user_id, '"}]}}')"""
+
+
+_SQ = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+@query("o179_nearest_centroid", f"WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, label, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM x), m AS (SELECT label, i, avg(v) AS v FROM u GROUP BY label, i), c AS (SELECT label, list(v ORDER BY i) AS c FROM m GROUP BY label), d AS (SELECT vec_id, x.label AS actual, c.label, round(sqrt({_SQ.format(a='e', b='c')}), 6) AS dist FROM x, c) SELECT vec_id, actual, label AS predicted, dist FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, label) = 1")
+def _(b):
+    return stats.nearest_centroid(b.table("embeddings"))
+
+
+@query("o08_json_leaf_text", "SELECT event_id, 'props' AS source, props AS leaf_text FROM events UNION ALL SELECT event_id, 'nested', concat(event_type, ' ', event_type, ' u', user_id) FROM events UNION ALL SELECT event_id, 'no json', concat('{', event_type) FROM events")
+def _(b):
+    """props holds no text leaf, so the raw value stands; of nested values the leaves, not the keys; what isn't JSON stays."""
+    e = b.table("events")
+    of = lambda name, x: e.select("event_id", F.lit(name).alias("source"), F.expr(x).alias("props"))
+    rows = of("props", "props").unionByName(of("nested", _NESTED)).unionByName(of("no json", "concat('{', event_type)"))
+    return stats.json_leaves(rows, "props")
 
 
 query("o136_vertical_concat", sql("SELECT 'post' AS part, term, tf AS n FROM post WHERE tf > 5 UNION ALL SELECT 'df' AS part, term, df AS n FROM dfs WHERE df > 20"))(
     lambda b: b.post.filter("tf > 5").select(F.lit("post").alias("part"), "term", F.col("tf").alias("n")).unionByName(M.document_frequency(b.post).filter("df > 20").select(F.lit("df").alias("part"), "term", F.col("df").alias("n"))))
 
 
-_ORDER = ["signup", "login", "view", "click", "purchase"]
+_ORDER = ["frequency", "presence"]
 
 
-@query("o199_best_in_fixed_order", sql("SELECT coalesce(o.place, 99) AS place, r.condition, r.feature_count, r.acc FROM (SELECT * FROM res WHERE feature_count <> '70' QUALIFY row_number() OVER (PARTITION BY condition ORDER BY acc DESC, CAST(feature_count AS BIGINT)) = 1) r LEFT JOIN (VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(_ORDER)) + ") o(condition, place) ON o.condition = r.condition", **_RESULTS))
+@query("o199_best_in_fixed_order", sql("SELECT coalesce(o.place, 99) AS place, r.condition, r.feature_count, r.acc FROM (SELECT * FROM res WHERE mean_accuracy <> 'n/a' QUALIFY row_number() OVER (PARTITION BY condition ORDER BY acc DESC, CAST(feature_count AS BIGINT)) = 1) r LEFT JOIN (VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(_ORDER)) + ") o(condition, place) ON o.condition = r.condition", **_RESULTS))
 def _(b):
     places = b.spark.createDataFrame([(c, i) for i, c in enumerate(_ORDER)], "condition string, place int")
     return S.best_rows(_results(b), ["condition"]).join(F.broadcast(places), "condition", "left").select(F.coalesce("place", F.lit(99)).alias("place"), "condition", "feature_count", "acc")
@@ -339,4 +451,3 @@ def _(b):
     return S.top(rows.select("fold", "term", r9(F.abs(share(1) - share(0))).alias("s")), ["s DESC", "term"], 25, "selection_rank", ["fold"])
 
 
-query("o212_train_accuracy_gate")(lambda b: _candidates(b, "rbf", 0.0).groupBy("split_id", "candidate_index").agg(F.first("status").alias("status")))

@@ -95,9 +95,13 @@ def _(b):
     return C.stemmed(b.post).groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
-@query("o26_japanese_tokens")
+# The tables hold no Japanese: some letters become kanji, katakana, hiragana and wide digits, the same on both sides.
+_FROM, _TO = "aeioutnshrlcdmy", "アのカ本日東ーぁン語3年々ヵ２"
+
+
+@query("o26_japanese_tokens", f"SELECT item_id, array_to_string(list_filter(regexp_extract_all(regexp_replace(lower(translate(text, '{_FROM}', '{_TO}')), '{T.JAPANESE_NUMBER}', ' ', 'g'), '{T.JAPANESE_WORD}'), lambda x: length(x) >= 2 AND NOT regexp_full_match(x, '[ぁ-ん]+|[0-9]+') AND x NOT IN ({', '.join(repr(w) for w in T.JAPANESE_STOP_WORDS)})), ' ') AS toks FROM benchmark")
 def _(b):
-    return b.table("benchmark").select("item_id", F.array_join(T.japanese_tokens(F.col("text")), " ").alias("toks"))
+    return b.table("benchmark").select("item_id", F.array_join(T.japanese_tokens(F.translate("text", _FROM, _TO)), " ").alias("toks"))
 
 
 _BI = "SELECT doc_id, label, unnest(list_transform(range(1, greatest(len(toks), 1)), lambda i: toks[i] || ' ' || toks[i + 1])) AS term FROM toks"
@@ -118,11 +122,14 @@ def _(b):
     return b.corpus.select("doc_id", T.contains_term(F.split(F.lower("text"), " "), "on the").alias("has"))
 
 
-@query("o30_normalize_terms", "SELECT * FROM (VALUES (0, 'state the art'), (1, 'reentrancy')) t(first_place, term)")
+_RAW = "concat_ws('-', source, lang)"
+
+
+@query("o30_normalize_terms", f"SELECT term, min(doc_id) AS first_place FROM (SELECT doc_id, lower({normalised(_RAW)}) AS term FROM documents) WHERE term <> '' GROUP BY term")
 def _(b):
-    given = b.spark.createDataFrame(list(enumerate(["State-the Art", "re%entrancy", "  ", "state the art", "12"])), "place int, raw string")
-    own = given.select("place", F.lower(T.normalize_text(F.col("raw"))).alias("term")).filter("term <> ''")
-    return own.groupBy("term").agg(F.min("place").alias("first_place"))
+    """Terms as users give them, here each document's source and language, through the document pipeline; empty ones drop out, the first of equal ones stays."""
+    given = b.table("documents").select("doc_id", F.lower(T.normalize_text(F.concat_ws("-", "source", "lang"))).alias("term"))
+    return given.filter("term <> ''").groupBy("term").agg(F.min("doc_id").alias("first_place"))
 
 
 @query("o31_word_count", sql("SELECT doc_id, label, words FROM wc"))

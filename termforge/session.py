@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -27,10 +28,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
 
-    Only where the cluster names none (a local test), a temporary folder is set.
+    Only a local session may name none; it gets a temporary folder. On a cluster that is an error,
+    as executors don't see each other's folders.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="termforge-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

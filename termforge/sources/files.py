@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.functions import text as T
@@ -49,10 +49,43 @@ def result_tree(spark: SparkSession, path: str) -> DataFrame:
     return first.select(*[e.alias(n) for n, e in parts.items()], *[F.col(f"r.{c}").alias(c) for c in others])
 
 
+def path_dimensions(path: Column) -> dict[str, Column]:
+    """What a result's path says: min_n and max_n of ngram_<min>_<max>, feature_count of n<k>; null where it doesn't."""
+    part = lambda pattern, i: F.regexp_extract(path, pattern, i).try_cast("int")
+    return {"min_n": part(r"(?:^|/)ngram_(\d+)_(\d+)(?:/|$)", 1), "max_n": part(r"(?:^|/)ngram_(\d+)_(\d+)(?:/|$)", 2), "feature_count": part(r"(?:^|/)n(\d+)(?:/|$)", 1)}
+
+
+def _first_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).csv(root)
+
+
+def metric_files(spark: SparkSession, root: str) -> DataFrame:
+    """path and the first row (strings) of every svm_metrics.csv below root, at any depth."""
+    rows = _first_rows(spark, root, "svm_metrics.csv")
+    found = rows.withColumns({"_path": F.col("_metadata.file_path"), "_id": F.monotonically_increasing_id()})
+    first = found.groupBy("_path").agg(F.min_by(F.struct(*rows.columns), "_id").alias("r"))
+    return first.select(F.col("_path").alias("path"), "r.*")
+
+
+def fold_feature_counts(spark: SparkSession, root: str) -> DataFrame:
+    """folder and the mean model_feature_count of its svm_folds.csv; blank counts don't count."""
+    rows = _first_rows(spark, root, "svm_folds.csv").select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder"), F.col("model_feature_count").try_cast("double").alias("n"))
+    return rows.filter("n IS NOT NULL").groupBy("folder").agg(F.avg("n").alias("model_feature_count"))
+
+
 def fingerprint(paths_sizes_times: DataFrame, version: int) -> str:
-    """Of a listing (name, size, mtime) and the version of the preprocessing."""
-    listing = paths_sizes_times.select(F.concat_ws("|", "name", "size", "mtime").alias("x")).agg(F.array_join(F.sort_array(F.collect_list("x")), "\n").alias("x"))
-    return listing.select(F.sha2(F.concat(F.lit(f"{version}\n"), "x"), 256)).first()[0]
+    """Of a listing (name, size, mtime) and the version of the preprocessing: its rows' hashes added up,
+    so no task holds the listing."""
+    row = F.conv(F.substring(F.sha2(F.concat_ws("|", "name", "size", "mtime"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    total = paths_sizes_times.agg(F.sum(row).alias("x"), F.count(F.lit(1)).alias("n"))
+    return total.select(F.sha2(F.concat_ws("|", F.lit(str(version)), "n", F.coalesce(F.col("x").cast("string"), F.lit(""))).cast("binary"), 256)).first()[0]
+
+
+def cached_texts(spark: SparkSession, folder: str, cache: str, version: int) -> DataFrame:
+    """text_folder(folder) from a cache that is fresh while no file's name, size or time changes, nor the version."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][xX][tT]").load(folder)
+    listing = files.select(F.col("path").alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return cached(spark, cache, fingerprint(listing, version), lambda: text_folder(spark, folder))
 
 
 def cached(spark: SparkSession, folder: str, key: str, build) -> DataFrame:

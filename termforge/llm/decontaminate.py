@@ -6,22 +6,27 @@ item; a document's words are streamed through it and the length of the longest m
 each word is tracked. A match of `window` words or more is a hit (an item of fewer words counts as
 one window of its own length), and every word of the window is hit.
 
-The benchmark is read in blocks of bounded size, one automaton a block, so any number of items
-works; documents are never collected. Null and empty texts have no words and are clean; items
-without words are no windows; repeated items and rows give repeated results; extra columns stay
-where documents are returned and are ignored otherwise.
+The benchmark is read in blocks of bounded size, one automaton a block. If there is more than one,
+each block has its own pass over the texts: only one automaton is on the driver and in a worker at a
+time, what each pass finds is written, and a last pass joins it to the documents. Documents are
+never collected. Null and empty texts have no words and are clean; items without words are no
+windows; repeated items and rows give repeated results; very long texts are streamed word by word;
+extra columns stay where documents are returned and are ignored otherwise; empty tables give empty
+results, an empty benchmark clean documents.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termforge.llm._store import keep
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
 #: Characters of items in one automaton; more items make more blocks.
@@ -131,17 +136,18 @@ def words(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> list[Broadcast]:
-    """Broadcast automata of the benchmark (item_id, text), each of a block of bounded size."""
+def automata(benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> tuple[int, Callable[[int], Broadcast]]:
+    """(number of blocks, broadcast automaton of a block) of the benchmark (item_id, text)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("body"))
     chars = items.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    out = []
-    for k in range(blocks):
+
+    def block(k: int) -> Broadcast:
         part = items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k).collect()
         rows = sorted((r["item"] if r["item"] is not None else "", r["body"]) for r in part)
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Automaton([(i, words(t)) for i, t in rows], window)))
-    return out
+        return benchmark.sparkSession.sparkContext.broadcast(Automaton([(i, words(t)) for i, t in rows], window))
+
+    return blocks, block
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -154,13 +160,47 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan_text(text: str | None, models: list[Automaton]) -> tuple[int, list[tuple[int, int]], set[str]]:
+def _hits(model: Broadcast):
+    """For mapInArrow over fp, text: (fp, runs, items) of texts with a hit."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for fp, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                runs, items = [], set()
+                model.value.scan(words(text.as_py()), runs, items)
+                if runs:
+                    rows.append((fp, [x for r in merged(runs) for x in r], sorted(items)))
+            types = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["fp", "runs", "items"])
+
+    return scan
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, Broadcast | None]:
+    """docs with the columns _tf_runs (from, to, from, to, ...) and _tf_items, or, if one automaton holds
+    the whole benchmark, with both null and that automaton."""
+    blocks, block = automata(benchmark, window)
+    nothing = {"_tf_runs": F.lit(None).cast("array<int>"), "_tf_items": F.lit(None).cast("array<string>")}
+    if blocks == 1:
+        return docs.withColumns(nothing), block(0)
+    texts, parts = docs.select(F.xxhash64("text").alias("fp"), "text"), None
+    for k in range(blocks):
+        model = block(k)
+        own = keep(texts.mapInArrow(_hits(model), "fp bigint, runs array<int>, items array<string>").dropDuplicates(["fp"]))
+        model.destroy()
+        parts = own if parts is None else parts.unionByName(own)
+    joined = parts.groupBy("fp").agg(F.flatten(F.collect_list("runs")).alias("_tf_runs"), F.flatten(F.collect_list("items")).alias("_tf_items"))
+    return docs.withColumn("_tf_fp", F.xxhash64("text")).join(joined.withColumnRenamed("fp", "_tf_fp"), "_tf_fp", "left").drop("_tf_fp"), None
+
+
+def _scan_text(text: str | None, model: Automaton | None, known_runs: list[int] | None, known_items: list[str] | None) -> tuple[int, list[tuple[int, int]], list[str]]:
+    """(words, hit ranges, items) of a text, by the automaton or from what the blocks found."""
     tokens = words(text)
-    runs: list[tuple[int, int]] = []
-    items: set[str] = set()
-    for m in models:
-        m.scan(tokens, runs, items)
-    return len(tokens), merged(runs), items
+    runs, items = list(zip(known_runs[::2], known_runs[1::2], strict=True)) if known_runs else [], set(known_items or ())
+    if model is not None:
+        model.scan(tokens, runs, items)
+    return len(tokens), merged(runs), sorted(items)
 
 
 def without_runs(text: str, runs: list[tuple[int, int]]) -> str:
@@ -177,17 +217,17 @@ def without_runs(text: str, runs: list[tuple[int, int]]) -> str:
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, items (sorted ids), runs (hit word ranges as 'from:to')."""
-    models = automata(benchmark, window)
+    rows, model = _found(docs.select("doc_id", "text"), benchmark, window)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [m.value for m in models]
+        own = model.value if model is not None else None
         for batch in batches:
             n_words, n_hit, items, spans = [], [], [], []
-            for text in batch.column(1):
-                n, runs, found = _scan_text(text.as_py(), own)
+            for text, known_runs, known_items in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                n, runs, found = _scan_text(text.as_py(), own, known_runs.as_py(), known_items.as_py())
                 n_words.append(n)
                 n_hit.append(sum(b - a for a, b in runs))
-                items.append(sorted(found))
+                items.append(found)
                 spans.append([f"{a}:{b}" for a, b in runs])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.string()))],
@@ -195,7 +235,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, runs array<string>")
+    return rows.select("doc_id", "text", "_tf_runs", "_tf_items").mapInArrow(scan, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, runs array<string>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_covered: float = 0.5) -> DataFrame:
@@ -203,25 +243,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     Untouched documents stay as they are. n_chars, where there is such a column, follows the text.
     """
-    models = automata(benchmark, window)
     names = docs.columns
+    rows, model = _found(docs, benchmark, window)
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [m.value for m in models]
+        automaton = model.value if model is not None else None
         for batch in batches:
-            texts, keep = batch.column(at).to_pylist(), []
-            for k, text in enumerate(texts):
-                n, runs, _ = _scan_text(text, own)
+            texts, keep_row = batch.column(at).to_pylist(), []
+            for k, (text, known_runs, known_items) in enumerate(zip(texts, batch.column(len(names)), batch.column(len(names) + 1), strict=True)):
+                n, runs, _ = _scan_text(text, automaton, known_runs.as_py(), known_items.as_py())
                 hit = sum(b - a for a, b in runs)
-                keep.append(not hit or hit <= most_covered * n)
-                if hit and keep[-1]:
+                keep_row.append(not hit or hit <= most_covered * n)
+                if hit and keep_row[-1]:
                     texts[k] = without_runs(text, runs)
             columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             if count is not None:
                 was = columns[count].to_pylist()
                 columns[count] = pa.array([len(t) if t is not None and t != o else c for t, o, c in zip(texts, batch.column(at).to_pylist(), was, strict=True)], batch.schema.field(count).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep_row, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return rows.select(*[F.col(f"`{c}`") for c in names], "_tf_runs", "_tf_items").mapInArrow(clean, docs.schema)

@@ -1,7 +1,15 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the
-columns of documents (the last adds shard). Empty tables give empty results at every stage.
+columns of documents (the last adds shard). Empty tables give empty results at every stage; extra
+columns stay, whatever their names (a column named shard is replaced by the last stage).
+
+| case | quality | near duplicates | decontamination | mixing | sharding |
+|-|-|-|-|-|-|
+| null or empty text | goes (no words) | stays, a class of its own | stays, clean | stays once | stays |
+| null doc_id | judged by its text | stays unless another row of its class has an id | by its text | all share one draw | the empty key's shard |
+| repeated rows | each alike | one stays | each alike | each the same copies | the same shard |
+| ties | - | the least text hash of the least doc_id | - | - | - |
 """
 
 from __future__ import annotations
@@ -9,11 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from termforge.llm import decontaminate, mixing, near_dup, quality_rules, sharding
-from termforge.llm._store import documents, keep
-
-
-#: Target token shares after the filters: low, good, low and toxic, good and toxic.
-TARGETS = [0.01, 0.87, 0.005, 0.115]
+from termforge.llm._store import documents, drop, keep, made, sweep
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out by rates that bring domain token shares to their targets."""
-    return mixing.mix(docs, mixing.domains(documents(spark, sf_dir, "labels")), TARGETS)
+    return mixing.mix(docs, mixing.domains(documents(spark, sf_dir, "labels")))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +53,17 @@ STAGES = [
     ("sharding", shards),
 ]
 
-#: Signatures, automata and fitted rates have no SQL; the stages are tested one by one.
+#: Signatures, automata and fitted rates have no SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
+        before, tables = docs, made()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = keep(docs)
+            sweep(spark, tables, docs)
+            drop(spark, before)
     return docs

@@ -8,8 +8,12 @@ steps is a fold over the t gradients, computed in the row, so no rates are store
 
 The classifier is fitted on at most about `most_rows` labelled rows by a hash of doc_id
 (documented bound). Null and empty texts have no tokens and keep rate 1. Labelled rows of other
-documents or without label aren't used; domains without labelled rows get no posterior and must
-have target 0. Repeated rows count as often as they stand there. Extra columns stay.
+documents or without label aren't used; domains without labelled rows get no posterior and can't be
+reached. Rates have no upper bound unless `most` names one; a small pull towards 1 (`ridge`, a hundredth
+of the targets' weight) picks the rates that change least and keeps them from running away where
+targets can't be met. The fit stops where it is least. Repeated rows count as often as they
+stand there, each with its own rate; rows without doc_id share one draw. Very long texts are one row
+of nine numbers. Extra columns stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +28,6 @@ FEATURES = ("log_tokens", "mean_length", "symbols", "capitals", "shouting", "dig
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-#: Rates are projected to 0..MOST: no document is repeated more often.
-MOST = 2.0
-
-
 def features(docs: DataFrame, *carry: str) -> DataFrame:
     """carry columns, tokens (long) and the array x of FEATURES, all native expressions."""
     base = docs.select(*carry, F.coalesce("text", F.lit("")).alias("body")).withColumn("words", F.array_remove(F.split("body", SPACE), ""))
@@ -73,24 +73,31 @@ def posterior(x: Column, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Co
     return F.get(F.transform(shifted, lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))), F.lit(0))
 
 
-def _fold(moves: list[list[float]], p: Column) -> Column:
+def _fold(moves: list[list[float]], p: Column, most: float | None, ridge: float) -> Column:
     """The rate after those projected steps."""
     rate = F.lit(1.0)
     if not moves:
         return rate
     steps = F.array(*[F.array(*[F.lit(v) for v in m]) for m in moves])
     slope = lambda m: F.aggregate(F.zip_with(m, p, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(steps, rate, lambda r, m: F.least(F.lit(MOST), F.greatest(F.lit(0.0), r - slope(m))))
+    above = (lambda r: r) if most is None else (lambda r: F.least(F.lit(float(most)), r))
+    return F.aggregate(steps, rate, lambda r, m: above(F.greatest(F.lit(0.0), (r - slope(m) + ridge) / (1 + ridge))))
+
+
+def whitening(gram: np.ndarray) -> np.ndarray:
+    """The inverse of a Gram matrix, damped by a hundredth of its largest eigenvalue: mixtures of domains that
+    the posteriors hardly tell apart aren't chased."""
+    return np.linalg.inv(gram + 0.01 * np.linalg.eigvalsh(gram)[-1] * np.eye(len(gram)))
 
 
-def fit_rates(known: DataFrame, targets: list[float], steps: int = 12, tolerance: float = 2e-3) -> Column:
+def fit_rates(known: DataFrame, targets: list[float], steps: int = 30, tolerance: float = 1e-4, most: float | None = None, ridge: float = 0.01) -> Column:
     """The rate of a row as an expression over p; known holds tokens and p of all documents.
 
-    Projected gradient on the squared gap between sum(rate * tokens * p) and targets * sum(tokens),
-    from rate 1, rates kept in 0..MOST. The gap is whitened by the domains' damped Gram matrix and
-    rates are measured in tokens, so the objective's curvature is below 1 and a full step can't
-    diverge, also where a domain has next to no documents. Ends when the gap is within tolerance
-    or a step no longer shrinks it by a twentieth; the best step's rates are returned.
+    Projected gradient from rate 1 on the squared gap between sum(rate * tokens * p) and
+    targets * sum(tokens), plus ridge * sum(tokens * (rate - 1)^2), rates kept at 0 or more. With
+    rates measured in tokens and the gap whitened (see whitening) the curvature is 1 + ridge at
+    most, so full steps can't diverge. Ends when the gap is within tolerance of all
+    tokens, or a step lowers the objective by less than a thousandth.
     """
     k = len(targets)
     e = [F.get("p", F.lit(i)) for i in range(k)]
@@ -100,21 +107,20 @@ def fit_rates(known: DataFrame, targets: list[float], steps: int = 12, tolerance
     if not total:
         return F.lit(1.0)
     g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    whiten = np.linalg.inv(g + 0.02 * np.trace(g) / k * np.eye(k))
+    whiten = whitening(g)
     goal = np.array(targets) / sum(targets) * total
     moves: list[list[float]] = []
-    best, kept = np.inf, 0
+    before = np.inf
     for _ in range(steps):
-        got = known.select("p", (_fold(moves, F.col("p")) * n).alias("m")).agg(*[F.sum(F.col("m") * e[i]).alias(f"d{i}") for i in range(k)]).first()
+        rated = known.select("p", n.alias("n"), _fold(moves, F.col("p"), most, ridge).alias("rate"))
+        got = rated.agg(F.sum(F.col("n") * (F.col("rate") - 1) * (F.col("rate") - 1)).alias("moved"), *[F.sum(F.col("n") * F.col("rate") * e[i]).alias(f"d{i}") for i in range(k)]).first()
         gap = np.array([got[f"d{i}"] for i in range(k)]) - goal
-        size = float(np.abs(gap).max() / total)
-        stalled = size > 0.95 * best
-        if size < best:
-            best, kept = size, len(moves)
-        if stalled or size <= tolerance:
+        loss = float(gap @ whiten @ gap) + ridge * got["moved"]
+        if float(np.abs(gap).max()) <= tolerance * total or loss > 0.999 * before:
             break
+        before = loss
         moves.append([float(v) for v in whiten @ gap])
-    return _fold(moves[:kept], F.col("p"))
+    return _fold(moves, F.col("p"), most, ridge)
 
 
 def domains(labels: DataFrame) -> DataFrame:
@@ -122,7 +128,7 @@ def domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", (F.col("quality") + 2 * F.col("toxic")).cast("int").alias("domain")).dropna().distinct()
 
 
-def rates(docs: DataFrame, labelled: DataFrame, targets: list[float], *carry: str, most_rows: int = 20_000) -> DataFrame:
+def rates(docs: DataFrame, labelled: DataFrame, targets: list[float], *carry: str, most_rows: int = 20_000, most: float | None = None) -> DataFrame:
     """carry columns, tokens, p (posteriors) and rate; labelled: doc_id, domain in range(len(targets))."""
     n = labelled.count()
     share = min(1.0, most_rows / max(1, n))
@@ -134,12 +140,13 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: list[float], *carry: st
     else:
         model = (np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros((len(targets), len(FEATURES) + 1)))
     known = keep(features(docs, *carry).select(*carry, "tokens", posterior(F.col("x"), model).alias("p")))
-    rate = fit_rates(known, targets)
+    rate = fit_rates(known, targets, most=most)
     return known.select(*carry, "tokens", "p", F.when(F.col("tokens") > 0, rate).otherwise(F.lit(1.0)).alias("rate"))
 
 
-#: Target token shares of the domains low, good, low and toxic, good and toxic (raw corpus).
-TARGETS = [0.06, 0.80, 0.02, 0.12]
+#: Target token shares of the domains low, good, low and toxic, good and toxic: a policy, not a
+#: description of a corpus.
+TARGETS = [0.02, 0.86, 0.01, 0.11]
 
 
 def times(rate: Column, doc_id: Column) -> Column:
@@ -148,10 +155,10 @@ def times(rate: Column, doc_id: Column) -> Column:
     return F.floor(rate + u).cast("int")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: list[float] = TARGETS) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: list[float] = TARGETS, most: float | None = None) -> DataFrame:
     """docs repeated or left out by their fitted rates; all columns stay."""
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text")
-    found = rates(rows, labelled, targets, "row", "doc_id")
+    found = rates(rows, labelled, targets, "row", "doc_id", most=most)
     copies = found.select("row", F.explode(F.array_repeat(F.lit(1), times(F.col("rate"), F.col("doc_id")))).alias("copy"))
     return copies.select("row.*")

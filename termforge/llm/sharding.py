@@ -11,6 +11,7 @@ row is dropped; columns of the input stay, `shard` is added (a clashing one is r
 from __future__ import annotations
 
 import hashlib
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ def table(shards: list[str], slots: int = SLOTS) -> list[int]:
     """Of each slot the index of its shard. slots must be prime and no fewer than the shards."""
     if not shards or len(shards) > slots or len(set(shards)) != len(shards):
         raise ValueError("shards must be distinct, at least one, and no more than slots")
+    if slots < 2 or any(slots % k == 0 for k in range(2, math.isqrt(slots) + 1)):
+        raise ValueError(f"slots must be prime, or a shard's steps don't reach every slot: {slots}")
     digests = [hashlib.md5(s.encode()).digest() for s in shards]
     place = [int.from_bytes(d[:8], "big") % slots for d in digests]
     step = [1 + int.from_bytes(d[8:], "big") % (slots - 1) for d in digests]

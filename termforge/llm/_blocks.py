@@ -3,7 +3,10 @@
 A block is a bounded run of documents. It sends each range of the hash space one row with its
 sorted distinct hashes and what belongs to them; a range's answers come back in the same order.
 Packing keeps millions of tiny shuffle rows out of the JVM; sorted hashes are stored as
-differences, byte planes apart, compressed.
+differences, byte planes apart, compressed. There are at least as many ranges as shuffle partitions,
+and one for every RANGE_BYTES of text, so a range's rows fit a worker at any size of the input; a
+block sends at most one row a range and never more rows than it has hashes, so rows grow with the
+input at most.
 """
 
 from __future__ import annotations
@@ -14,10 +17,13 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from termforge.llm import _bytes as B
 
 BLOCK_BYTES = 4 << 20
+RANGE_BYTES = 64 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -72,9 +78,20 @@ def thaw(data: bytes) -> pa.Table:
 
 
 def frozen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: (block, body), the rows of each block with the text in column 1."""
+    """For mapInArrow: (block, body, size), the rows of each block with the text in column 1, and its bytes of text."""
     for number, table in blocks(batches, 1):
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([freeze(table)], pa.binary())], ["block", "body"])
+        size = sum(int(B.raw(c)[1][-1]) for c in table.column(1).chunks)
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([freeze(table)], pa.binary()), pa.array([size], pa.int64())], FROZEN_NAMES)
+
+
+FROZEN = "block bigint, body binary, size bigint"
+FROZEN_NAMES = ["block", "body", "size"]
+
+
+def ranges(texts: DataFrame) -> int:
+    """Number of ranges for a written table of frozen blocks; only its sizes are read."""
+    total = texts.agg(F.sum("size").alias("n")).first()["n"] or 0
+    return max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
 
 
 def thawed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:

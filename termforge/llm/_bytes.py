@@ -30,19 +30,21 @@ def _byte_codes() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * U(_BASE))
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _made(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n + 1, _BASE, np.uint64)
     down = np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
 
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    return _made(AT_ONCE * 2)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = AT_ONCE * 2
-    while size < n:
-        size *= 2
-    return _powers(size)
+    """Rising powers of the base and of its inverse, n at least; those of one long text aren't held on to."""
+    return _powers() if n <= AT_ONCE * 2 else _made(n)
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:

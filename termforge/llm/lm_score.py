@@ -17,7 +17,9 @@ gives an empty result; with no training row every word is unknown. Extra columns
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -97,34 +99,125 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array([r[j] for r in out], t) for j, (k, t) in enumerate((("block", pa.int64()), ("part", pa.int32()), ("gram", pa.int32()), ("counts", pa.binary()), ("tokens", pa.int64()), ("known", pa.int64())))})
 
 
-def traverse(sequence: np.ndarray, at: np.ndarray, counts: list[np.ndarray], tokens: int, known: int, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(score, base score, known tokens) of each document; counts[n - 1]: corpus counts of the block's sorted n-grams.
+@dataclass
+class Automaton:
+    """States are histories that the corpus has; 0 is the empty one, 1 the start mark.
 
-    At each position the automaton's probability is built from the shortest history to the
-    longest; a history that the corpus lacks has count 0 and its failure arc weighs 1.
+    arcs: state * words + word of every arc, sorted; score, target: of each arc its log10
+    probability and where it leads; weight, fail: of each state its failure arc's log10 weight and
+    where it leads, to the history without its first word.
     """
-    documents = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    n_docs = len(at) - 1
-    probability = np.ones(len(sequence))
-    base, seen = np.zeros(n_docs), np.zeros(n_docs, np.int64)
-    history = np.zeros(len(sequence))
+
+    words: int
+    arcs: np.ndarray
+    score: np.ndarray
+    target: np.ndarray
+    weight: np.ndarray
+    fail: np.ndarray
+
+    def walk(self, sequence: np.ndarray, start: np.ndarray, size: np.ndarray, few: int = 64) -> np.ndarray:
+        """log10 probability of each document's words, sequence[start : start + size] (indices).
+
+        One traversal from left to right: the states of all documents move a word at a time; what is
+        left of the longest `few` is walked one document after another.
+        """
+        order = np.argsort(-size, kind="stable")
+        start, size = start[order], size[order]
+        state, total = np.ones(len(size), np.int64), np.zeros(len(size))
+        step, upto = 0, len(size)
+        while upto > few:
+            word = sequence[start[:upto] + step]
+            here, sums = state[:upto], total[:upto]
+            key = here * self.words + word
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            left = np.flatnonzero(self.arcs[arc] != key)
+            while len(left):
+                sums[left] += self.weight[here[left]]
+                here[left] = self.fail[here[left]]
+                key = here[left] * self.words + word[left]
+                arc[left] = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+                left = left[self.arcs[arc[left]] != key]
+            sums += self.score[arc]
+            here[:] = self.target[arc]
+            step += 1
+            upto = int(np.searchsorted(-size, -step, "left"))  # documents longer than what is read
+        if upto:
+            self._walk_each(sequence, start[:upto], size[:upto], step, state, total)
+        out = np.empty(len(size))
+        out[order] = total
+        return out
+
+    def _walk_each(self, sequence: np.ndarray, start: np.ndarray, size: np.ndarray, step: int, state: np.ndarray, total: np.ndarray) -> None:
+        arcs, score, target, weight, fail = (x.tolist() for x in (self.arcs, self.score, self.target, self.weight, self.fail))
+        n = len(arcs)
+        for d in range(len(start)):
+            s, t = int(state[d]), 0.0
+            for word in sequence[start[d] + step : start[d] + size[d]].tolist():
+                key = s * self.words + word
+                arc = bisect_left(arcs, key)
+                while arc == n or arcs[arc] != key:
+                    t += weight[s]
+                    s = fail[s]
+                    key = s * self.words + word
+                    arc = bisect_left(arcs, key)
+                t += score[arc]
+                s = target[arc]
+            state[d] = s
+            total[d] += t
+
+
+def build(sequence: np.ndarray, at: np.ndarray, counts: list[np.ndarray], tokens: int, known: int, prior: float) -> tuple[Automaton, np.ndarray, np.ndarray]:
+    """(the automaton's part that the block can reach, word index at each position, count of each word).
+
+    counts[n - 1]: corpus counts of the block's sorted distinct n-grams. An n-gram that the corpus
+    has is an arc from its history's state; the empty history has an arc for every word.
+    """
+    order, arcs, scores, targets, n_states = len(counts), [], [], [], 2
+    fails, weights = [np.zeros(2, np.int64)], []
     for n, own in enumerate(counts, 1):
         hashes, ends = grams(sequence, at, n)
-        _, index = np.unique(hashes, return_inverse=True)
-        count = own[index].astype(float)
+        _, first, index = np.unique(hashes, return_index=True, return_inverse=True)
+        gram = np.full(len(sequence), -1)  # the n-gram that ends at a position
+        gram[ends] = index
+        place, count = ends[first], own.astype(float)
         if n == 1:
-            probability[ends] = (count + 1) / (tokens + known + 1)
-            base = np.bincount(documents[ends], np.log10(probability[ends]), n_docs)
-            seen = np.bincount(documents[ends], count > 0, n_docs).astype(np.int64)
-        else:
-            probability[ends] = (count + prior * probability[ends]) / (history[ends - 1] + prior)
-        history[:] = 0
-        history[ends] = count
-        if n == 1:  # START is followed as often as END ends
+            word_at, of_word, n_words = gram, count, max(1, len(own))
             last = at[1:] - 1
-            history[at[:-1]] = history[last]
-    ends = grams(sequence, at, 1)[1]
-    return np.bincount(documents[ends], np.log10(probability[ends]), n_docs), base, seen
+            starts = count[gram[last[0]]] if len(last) else 0.0  # START is followed as often as END ends
+            weights.append(np.log10([1.0, prior / (starts + prior)]))
+            shorter, source = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            p, seen = (count + 1) / (tokens + known + 1), np.ones(len(own), bool)
+        else:
+            history, suffix = before[place - 1], before[place]
+            follows = np.where(history >= 0, before_count[history], starts)
+            source, shorter = np.where(history >= 0, before_state[history], 1), before_state[suffix]
+            p, seen = (count + prior * before_p[suffix]) / (follows + prior), count > 0
+        state = np.zeros(len(own), np.int64)
+        if n < order:  # histories of n words
+            is_state = count > 0
+            state[is_state] = n_states + np.arange(int(is_state.sum()))
+            n_states += int(is_state.sum())
+            fails.append(shorter[is_state])
+            weights.append(np.log10(prior / (count[is_state] + prior)))
+        arcs.append((source * n_words + word_at[place])[seen])
+        scores.append(np.log10(p)[seen])
+        targets.append((state if n < order else shorter)[seen])
+        before, before_count, before_state, before_p = gram, count, state, p
+    keys, score, target, weight, fail = (np.concatenate(x) for x in (arcs, scores, targets, weights, fails))
+    by_key = np.argsort(keys, kind="stable")
+    return Automaton(n_words, keys[by_key], score[by_key], target[by_key], weight, fail), word_at, of_word
+
+
+def traverse(sequence: np.ndarray, at: np.ndarray, counts: list[np.ndarray], tokens: int, known: int, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, base score, known tokens) of each document of a block."""
+    machine, word_at, of_word = build(sequence, at, counts, tokens, known, prior)
+    n_docs = len(at) - 1
+    documents = np.repeat(np.arange(n_docs), np.diff(at))
+    spoken = word_at >= 0
+    count = of_word[word_at[spoken]]
+    base = np.bincount(documents[spoken], np.log10((count + 1) / (tokens + known + 1)), n_docs)
+    seen = np.bincount(documents[spoken], count > 0, n_docs).astype(np.int64)
+    return machine.walk(word_at, at[:-1] + 1, np.diff(at) - 1), base, seen
 
 
 def _scorer(order: int, tokens: int, known: int, prior: float, kind: pa.DataType):
@@ -144,10 +237,10 @@ def _scorer(order: int, tokens: int, known: int, prior: float, kind: pa.DataType
 
 def score(docs: DataFrame, training: Column, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; the model learns from rows where `training` is true."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    texts = keep(rows.mapInArrow(K.frozen, "block bigint, body binary"))
+    texts = keep(rows.mapInArrow(K.frozen, K.FROZEN))
+    parts = K.ranges(texts)
     questions = texts.mapInArrow(_ask(order, parts), "part int, block bigint, gram int, hashes binary, counts binary")
     answers = keep(questions.groupBy("part").applyInArrow(_answer, "block bigint, part int, gram int, counts binary, tokens bigint, known bigint"))
     n = answers.agg(F.sum("tokens").alias("tokens"), F.sum("known").alias("known")).first()

@@ -1,27 +1,40 @@
 """Personal data: fixed patterns, and terms that give protected entities away.
 
-Patterns find emails, IPv4 addresses, card numbers (Luhn) and phone numbers. Around each of these
-entities the words of a window are gathered over the whole corpus. A term reveals an entity if it
-was seen in `support` different contexts with it and P(entity | term), joint texts over the texts
-that hold the term, exceeds `posterior`, at an information gain of `bits` over the entity's own
-share of texts. Texts are distinct ones for all four counts, so copies of a document count once;
-contexts are told apart by their words. Such terms are spans of kind `term` in documents that hold the entity, and are
-generalised like the entities.
-
-Null and empty texts have no spans. Repeated rows give repeated results. Extra columns are ignored.
+Patterns find emails, IPv4 addresses, card numbers (Luhn) and phone numbers; each value is a
+protected entity. Corpus co-occurrence estimates what a term t of a text tells about an entity e,
+all four counts in distinct texts (copies count once): own (texts with e), n (with t), joint (with
+both), N (all).
+
+    PMI(e; t) = log2(joint N / (own n)),    P(e | t) = joint / n
+
+t reveals e if PMI(e; t) reaches the information of e's generalisation, log2(N / texts with any
+entity of its kind), so that t says at least as much as the kind that would replace e, and P(e | t)
+reaches `posterior`. Whole texts are counted, not windows. Only entities of `support` distinct texts
+or more can be estimated; near copies aren't independent: a min-hash sketch of word pairs gives each
+entity's texts an effective number (inverse Simpson index of the registers, averaged), which must
+reach `effective`. A revealing term is a span of kind `term` in every text that holds it, with or
+without the entity printed, and is generalised like the entities.
+
+Null and empty texts have no spans. Repeated rows give repeated results, in any order, as do rows
+without doc_id. Very long texts are scanned whole, in time linear in their length. Extra columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termforge.llm._store import keep
+from termforge.llm import _bytes as B
+from termforge.llm._store import drop, keep
 
 # Fixed patterns of the kinds, in the order of the output.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -31,10 +44,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 DIGIT, NOT_DIGIT, TERM = re.compile("[0-9]"), re.compile("[^0-9]"), re.compile(r"[^\W\d_]{3,}")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-#: Characters on either side of an entity that make its context.
-CONTEXT = 60
-#: Revealing (term, entity) pairs in one broadcast; more of them are applied in blocks.
-PAIRS_AT_ONCE = 500_000
+#: IP in linear time: its matches are each four parts in a row of a maximal chain of digit runs.
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+#: Revealing terms in one broadcast; more of them are applied one block after another.
+TERMS_AT_ONCE = 500_000
+REGISTERS = 16
 
 
 def luhn(digits: str) -> bool:
@@ -59,6 +73,18 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, pos))
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """As IP.finditer, without those that have a part above 255."""
+    for m in DOTTED.finditer(text):
+        parts = m.group().split(".")
+        at = m.start()
+        for k in range(0, len(parts) - 3, 4):
+            size = sum(map(len, parts[k : k + 4])) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts[k : k + 4]):
+                yield at, at + size
+            at += size + 1
+
+
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind, then start."""
     if not text:
@@ -67,7 +93,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     if not DIGIT.search(text):
         return out
     if "." in text:
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+        out += [("ip", a, b) for a, b in _addresses(text)]
     for m in CARD.finditer(text):
         digits = NOT_DIGIT.sub("", m.group()) if m.end() - m.start() >= 13 else ""
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -83,89 +109,120 @@ def entity(kind: str, value: str) -> str:
     return hashlib.blake2b(f"{kind}:{own}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
-def _inside(a: int, b: int, spans: list[tuple[str, int, int]]) -> bool:
-    return any(s < b and a < e for _, s, e in spans)
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """Matches of TERM outside the spans, from left to right."""
+    taken = sorted((a, b) for _, a, b in spans)
+    starts, reach = [a for a, _ in taken], np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
+    for m in TERM.finditer(text):
+        k = bisect_left(starts, m.end())  # spans that begin before the term ends
+        if not k or reach[k - 1] <= m.start():
+            yield m
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[tuple[str, str, str, int]] = []
-        for text in batch.column(0):
-            own: dict[tuple[str, str], set[str]] = {}
-            text = text.as_py()
-            spans = base_spans(text)
-            for kind, a, b in spans:
-                key, left = entity(kind, text[a:b]), max(0, a - CONTEXT)
-                terms = {m.group().lower() for m in TERM.finditer(text, left, min(len(text), b + CONTEXT)) if not _inside(*m.span(), spans)}
-                mark = hashlib.blake2b(" ".join(sorted(terms)).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-                for t in ("", *terms):  # "" counts the texts of the entity itself
-                    own.setdefault((t, key), set()).add(mark if t else "")
-            rows += [(t, key, mark, int(k == 0)) for (t, key), marks in own.items() for k, mark in enumerate(marks)]
-        yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], pa.string()) for k in range(3)], pa.array([r[3] for r in rows], pa.int64())], ["term", "entity", "context", "texts"])
+def words_of(text: str) -> set[str]:
+    """The terms of a text, as those of TERM: whole words of letters are taken as they are, others cut."""
+    tokens = set(text.split())
+    out = {t.lower() for t in tokens if len(t) > 2 and t.isalpha()}
+    out.update(m.lower() for t in tokens if not t.isalpha() for m in TERM.findall(t))
+    return out
 
 
-def _distinct_texts(docs: DataFrame) -> DataFrame:
-    """text and its hash fp, each text once; only texts that have copies are shuffled."""
-    marked = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
-    copied = keep(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp"))
-    return marked.join(copied, "fp", "left_anti").unionByName(marked.join(copied, "fp", "left_semi").dropDuplicates(["fp"]))
+def sketch(text: str) -> list[int]:
+    """Min-hash registers of a text's word pairs."""
+    words, first = B.word_hashes(pa.array([text]))
+    pairs, _ = B.ngrams(words, first, 2 if len(words) > 1 else 1)
+    return [int(B.mix(pairs + B.U(k + 1)).min(initial=B.U(2**64 - 1)).view(np.int64)) for k in range(REGISTERS)]
 
 
-def revealing_terms(docs: DataFrame, support: int = 3, posterior: float = 0.2, bits: float = 6.0) -> DataFrame:
-    """(term, entity): what the whole corpus says gives an entity away."""
-    texts = _distinct_texts(docs)
-    seen = texts.select("text").mapInArrow(_contexts, "term string, entity string, context string, texts long")
-    contexts = seen.groupBy("term", "entity", "context").agg(F.sum("texts").alias("texts"))
-    counted = contexts.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("contexts"), F.sum("texts").alias("joint"))
-    counted = keep(counted.filter((F.col("term") == "") | (F.col("contexts") >= support)))
-    joint = counted.filter("term <> ''").select("term", "entity", "joint")
-    if joint.isEmpty():
-        return joint.select("term", "entity")
-    n_terms = joint.select("term").distinct().count()
-    parts = max(1, -(-n_terms // PAIRS_AT_ONCE))
-    counts = None
-    for k in range(parts):
-        own = [r[0] for r in joint.select("term").distinct().filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).collect()]
-        found = texts.select("text").mapInArrow(_counter(docs.sparkSession.sparkContext.broadcast(frozenset(own))), "term string, n long")
-        counts = found if counts is None else counts.unionAll(found)
-    holding = counts.groupBy("term").agg(F.sum("n").alias("n"))
-    total = docs.select(F.xxhash64(F.coalesce("text", F.lit("")))).distinct().count()
-    holders = counted.filter("term = ''").select("entity", F.col("joint").alias("own"))
-    gain = F.log2((F.col("joint") / F.col("n")) / (F.col("own") / F.lit(float(max(1, total)))))
-    return joint.join(holding, "term").join(holders, "entity").filter((F.col("joint") / F.col("n") >= posterior) & (gain >= bits)).select("term", "entity")
-
-
-def _counter(wanted):
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, kind, entity, sketch) of each entity of a text."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for fp, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            spans = base_spans(text := text.as_py())
+            if spans:
+                own = sketch(text)
+                rows += [(fp, kind, key, own) for kind, key in sorted({(k, entity(k, text[a:b])) for k, a, b in spans})]
+        types = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["fp", "kind", "entity", "sketch"])
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, terms): the distinct terms of a text outside its entities."""
+    for batch in batches:
+        found = [sorted({m.group().lower() for m in free_terms(t.as_py(), base_spans(t.as_py()))}) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["fp", "terms"])
+
+
+def _counts(wanted):
+    """For mapInArrow over fp, text: (term, n), the texts of a batch that hold each term; of `wanted` only, if given."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = wanted.value, {}
+        only = wanted.value if wanted else None
         for batch in batches:
-            for text in batch.column(0):
-                for t in own.intersection(m.lower() for m in TERM.findall(text.as_py())):
-                    total[t] = total.get(t, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+            total: Counter = Counter()
+            for text in batch.column(1):
+                own = words_of(text.as_py())
+                total.update(own if only is None else own & only)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
     return count
 
 
-def find(docs: DataFrame, sanitised: bool = False) -> DataFrame:
-    """One row a document: doc_id, kinds, starts, ends (arrays, ordered), and clean (text with spans generalised) if sanitised."""
-    pairs = keep(revealing_terms(docs))
-    n_pairs = pairs.count()
-    blocks = max(1, -(-n_pairs // PAIRS_AT_ONCE)) if n_pairs else 0
-    context = docs.sparkSession.sparkContext
-    tables = [context.broadcast(_by_entity(pairs.filter(F.pmod(F.xxhash64("entity"), F.lit(blocks)) == k).collect())) for k in range(blocks)]
+def _distinct_texts(docs: DataFrame) -> DataFrame:
+    """fp, text: each text once; only texts that have copies are shuffled."""
+    marked = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("text").alias("fp"), "text")
+    copied = keep(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp"))
+    return marked.join(copied, "fp", "left_anti").unionByName(marked.join(copied, "fp", "left_semi").dropDuplicates(["fp"]))
+
+
+def revealing_terms(docs: DataFrame, support: int = 3, posterior: float = 0.2, effective: float = 1.5) -> DataFrame:
+    """(term, entity): what the whole corpus says gives an entity away."""
+    spark = docs.sparkSession
+    every = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("text").alias("fp"), "text")
+    seen = keep(every.mapInArrow(_entities, "fp bigint, kind string, entity string, sketch array<bigint>").dropDuplicates(["fp", "entity"]))
+    registers = seen.select("entity", F.posexplode("sketch").alias("register", "value")).groupBy("entity", "register", "value").agg(F.count(F.lit(1)).alias("c"))
+    each = registers.groupBy("entity", "register").agg(F.sum("c").alias("own"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+    weighed = each.groupBy("entity").agg(F.max("own").alias("own"), F.avg(F.col("squares") / (F.col("own") * F.col("own"))).alias("share"))
+    strong = keep(weighed.filter((F.col("own") >= support) & (F.col("share") * effective <= 1)).select("entity", "own"))
+    if strong.isEmpty():
+        drop(spark, seen)
+        return spark.createDataFrame([], "term string, entity string")
+    pairs = keep(seen.join(strong, "entity").select("fp", "kind", "entity", "own"))
+    texts = _distinct_texts(docs)
+    held = texts.join(pairs.select("fp").distinct(), "fp", "left_semi").mapInArrow(_holders, "fp bigint, terms array<string>")
+    joint = pairs.join(held, "fp").select("kind", "entity", "own", F.explode("terms").alias("term")).groupBy("kind", "entity", "own", "term").agg(F.count(F.lit(1)).alias("joint"))
+    joint = keep(joint.filter(F.col("joint") >= support))
+    terms = keep(joint.select("term").distinct())
+    total = every.select("fp").distinct().count()
+    # few candidates are looked for; more than a broadcast may hold are counted with all other terms
+    few = terms.count() <= TERMS_AT_ONCE
+    wanted = spark.sparkContext.broadcast(frozenset(r[0] for r in terms.collect())) if few else None
+    counted = texts.mapInArrow(_counts(wanted), "term string, n long")
+    holding = keep((counted if few else counted.join(terms, "term", "left_semi")).groupBy("term").agg(F.sum("n").alias("n")))
+    if few:
+        wanted.unpersist()
+    kinds = seen.groupBy("kind").agg(F.countDistinct("fp").alias("of_kind"))
+    pmi = F.log2(F.col("joint") * F.lit(float(total)) / (F.col("own") * F.col("n")))
+    told = joint.join(holding, "term").join(F.broadcast(kinds), "kind")  # kinds: four rows
+    found = keep(told.filter((F.col("joint") >= posterior * F.col("n")) & (pmi >= F.log2(F.lit(float(total)) / F.col("of_kind")))).select("term", "entity"))
+    for used in (seen, strong, pairs, joint, terms, holding):
+        drop(spark, used)
+    return found
+
+
+def _scan(wanted, sanitised: bool):
+    """For mapInArrow over doc_id, text and, after the first block, spans found so far."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = wanted.value if wanted else frozenset()
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text in batch.column(1):
                 text = text.as_py()
                 spans = base_spans(text)
-                if spans and tables:
-                    keys = {entity(k, text[a:b]) for k, a, b in spans}
-                    terms = set().union(*(t.value.get(e, ()) for t in tables for e in keys))
-                    if terms:
-                        spans += [("term", *m.span()) for m in TERM.finditer(text) if m.group().lower() in terms and not _inside(*m.span(), spans)]
+                if terms and text and not terms.isdisjoint(words_of(text)):
+                    spans += [("term", *m.span()) for m in free_terms(text, spans) if m.group().lower() in terms]
                 for k in range(3):
                     out[k].append([s[k] for s in spans])
                 out[3].append(replaced(text, spans) if sanitised else None)
@@ -174,16 +231,57 @@ def find(docs: DataFrame, sanitised: bool = False) -> DataFrame:
                 ["doc_id", "kinds", "starts", "ends", "clean"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, kinds array<string>, starts array<int>, ends array<int>, clean string")
-    return found if sanitised else found.drop("clean")
+    return scan
+
+
+def _marker(wanted):
+    """For mapInArrow over text and terms: adds those of the block's terms that the text holds."""
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(words_of(t.as_py()) & wanted.value) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["fp", "terms"])
+
+    return mark
+
+
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _scan's output for rows doc_id, text, terms, where terms are those to look for in the text."""
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            spans, own = base_spans(text), frozenset(own or ())
+            spans += [("term", *m.span()) for m in free_terms(text or "", spans) if m.group().lower() in own]
+            for k in range(3):
+                out[k].append([s[k] for s in spans])
+            out[3].append(replaced(text, spans))
+        types = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], ["doc_id", "kinds", "starts", "ends", "clean"])
 
-def _by_entity(rows: list) -> dict[str, frozenset[str]]:
-    out: dict[str, set[str]] = {}
-    for term, key in rows:
-        out.setdefault(key, set()).add(term)
-    return {k: frozenset(v) for k, v in out.items()}
+
+def find(docs: DataFrame, sanitised: bool = False) -> DataFrame:
+    """One row a document: doc_id, kinds, starts, ends (arrays, ordered), and clean (text with spans generalised) if sanitised."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    out = f"doc_id {kind}, kinds array<string>, starts array<int>, ends array<int>, clean string"
+    pairs = revealing_terms(docs)
+    terms = keep(pairs.select("term").distinct())
+    n = terms.count()
+    if n <= TERMS_AT_ONCE:
+        wanted = spark.sparkContext.broadcast(frozenset(r[0] for r in terms.collect())) if n else None
+        found = docs.select("doc_id", "text").mapInArrow(_scan(wanted, sanitised), out)
+    else:  # the terms of each text block by block, one broadcast at a time; then each text with its own
+        blocks, texts, marked = -(-n // TERMS_AT_ONCE), _distinct_texts(docs), []
+        for k in range(blocks):
+            own = spark.sparkContext.broadcast(frozenset(r[0] for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).collect()))
+            marked.append(keep(texts.mapInArrow(_marker(own), "fp bigint, terms array<string>").filter(F.size("terms") > 0)))
+            own.unpersist()
+        all_terms = marked[0]
+        for more in marked[1:]:
+            all_terms = all_terms.unionByName(more)
+        held = all_terms.groupBy("fp").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+        rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp")).join(held, "fp", "left")
+        found = rows.select("doc_id", "text", "terms").mapInArrow(_known, out)
+    return found if sanitised else found.drop("clean")
 
 
 def replaced(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:

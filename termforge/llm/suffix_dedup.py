@@ -440,11 +440,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed byte ranges 'from:to') and kept_sha256 of every row."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     field = docs.schema["doc_id"].dataType
     rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     packed = "part int, block bigint, a binary, b binary, c binary, d binary"
-    texts = keep(rows.mapInArrow(K.frozen, "block bigint, body binary"))
+    texts = keep(rows.mapInArrow(K.frozen, K.FROZEN))
+    parts = K.ranges(texts)
     codes = keep(texts.mapInArrow(_ask(parts, length, gram), packed).groupBy("part").applyInArrow(_judge, "block bigint, part int, codes binary"))
     segments = texts.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_rest(parts, length, gram), packed + ", e binary, f binary")
     later = segments.groupBy("part").applyInArrow(_sort(length, gram), "block bigint, part int, codes binary, step int")

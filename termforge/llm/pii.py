@@ -127,6 +127,31 @@ def words_of(text: str) -> set[str]:
     return out
 
 
+#: ASCII letters in lower case, all other ASCII characters as spaces, bytes of other characters as they are.
+_LETTERS = bytes(c | 32 if chr(c).isascii() and chr(c).isalpha() else c if c > 127 else 32 for c in range(256))
+
+
+class Wanted:
+    """A set of terms to look for in texts: words are cut from bytes, which takes a third of the pattern's time."""
+
+    def __init__(self, terms: frozenset[str]) -> None:
+        self.terms = terms
+        self.encoded = {t.encode("utf-8", "surrogatepass") for t in terms}
+
+    def held(self, text: str) -> set[str]:
+        """words_of(text) that are wanted."""
+        if "İ" in text or "Σ" in text:  # whose lower case depends on what stands around
+            return words_of(text) & self.terms
+        ascii_only = text.isascii()
+        words = (text if ascii_only else text.lower()).encode("utf-8", "surrogatepass").translate(_LETTERS).split()
+        found = {w.decode("utf-8", "surrogatepass") for w in self.encoded.intersection(words)}
+        if not ascii_only:  # words that hold other than letters are cut by the pattern
+            for w in {w for w in words if not w.isascii()}:
+                if not (word := w.decode("utf-8", "surrogatepass")).isalpha():
+                    found.update(self.terms.intersection(TERM.findall(word)))
+        return found
+
+
 def sketch(text: str) -> list[int]:
     """Min-hash registers of a text's word pairs."""
     words, first = B.word_hashes(pa.array([text]))
@@ -162,8 +187,8 @@ def _counts(wanted):
         for batch in batches:
             total: Counter = Counter()
             for text in batch.column(1):
-                own = words_of(text.as_py())
-                total.update(own if only is None else own & only)
+                text = text.as_py()
+                total.update(words_of(text) if only is None else only.held(text))
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
     return count
@@ -190,14 +215,14 @@ def revealing_terms(docs: DataFrame, support: int = 3, posterior: float = 0.2, e
         return spark.createDataFrame([], "term string, entity string")
     pairs = keep(seen.join(strong, "entity").select("fp", "kind", "entity", "own"))
     texts = _distinct_texts(docs)
-    held = texts.join(pairs.select("fp").distinct(), "fp", "left_semi").mapInArrow(_holders, "fp bigint, terms array<string>")
+    held = every.join(pairs.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]).mapInArrow(_holders, "fp bigint, terms array<string>")
     joint = pairs.join(held, "fp").select("kind", "entity", "own", F.explode("terms").alias("term")).groupBy("kind", "entity", "own", "term").agg(F.count(F.lit(1)).alias("joint"))
     joint = keep(joint.filter(F.col("joint") >= support))
     terms = keep(joint.select("term").distinct())
     total = every.select("fp").distinct().count()
     # few candidates are looked for; more than a broadcast may hold are counted with all other terms
     few = terms.count() <= TERMS_AT_ONCE
-    wanted = spark.sparkContext.broadcast(frozenset(r[0] for r in terms.collect())) if few else None
+    wanted = spark.sparkContext.broadcast(Wanted(frozenset(r[0] for r in terms.collect()))) if few else None
     counted = texts.mapInArrow(_counts(wanted), "term string, n long")
     holding = keep((counted if few else counted.join(terms, "term", "left_semi")).groupBy("term").agg(F.sum("n").alias("n")))
     if few:
@@ -215,13 +240,13 @@ def _scan(wanted, sanitised: bool):
     """For mapInArrow over doc_id, text and, after the first block, spans found so far."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = wanted.value if wanted else frozenset()
+        own = wanted.value if wanted else None
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text in batch.column(1):
                 text = text.as_py()
                 spans = base_spans(text)
-                if terms and text and not terms.isdisjoint(words_of(text)):
+                if own and text and (terms := own.held(text)):
                     spans += [("term", *m.span()) for m in free_terms(text, spans) if m.group().lower() in terms]
                 for k in range(3):
                     out[k].append([s[k] for s in spans])
@@ -239,7 +264,7 @@ def _marker(wanted):
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(words_of(t.as_py()) & wanted.value) for t in batch.column(1)]
+            found = [sorted(wanted.value.held(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["fp", "terms"])
 
     return mark
@@ -267,12 +292,12 @@ def find(docs: DataFrame, sanitised: bool = False) -> DataFrame:
     terms = keep(pairs.select("term").distinct())
     n = terms.count()
     if n <= TERMS_AT_ONCE:
-        wanted = spark.sparkContext.broadcast(frozenset(r[0] for r in terms.collect())) if n else None
+        wanted = spark.sparkContext.broadcast(Wanted(frozenset(r[0] for r in terms.collect()))) if n else None
         found = docs.select("doc_id", "text").mapInArrow(_scan(wanted, sanitised), out)
     else:  # the terms of each text block by block, one broadcast at a time; then each text with its own
         blocks, texts, marked = -(-n // TERMS_AT_ONCE), _distinct_texts(docs), []
         for k in range(blocks):
-            own = spark.sparkContext.broadcast(frozenset(r[0] for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).collect()))
+            own = spark.sparkContext.broadcast(Wanted(frozenset(r[0] for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).collect())))
             marked.append(keep(texts.mapInArrow(_marker(own), "fp bigint, terms array<string>").filter(F.size("terms") > 0)))
             own.unpersist()
         all_terms = marked[0]

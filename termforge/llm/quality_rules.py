@@ -14,7 +14,6 @@ repeated rows give repeated results, ties can't occur, an empty table gives an e
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -149,8 +148,7 @@ def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 500, long
     if not rows:
         return [(name, 0.0, 0.0) for name, _ in rules]
     times = max(1, 2000 // len(rows))
-    texts = F.from_json(F.lit(json.dumps([r["body"] for r in rows])), "array<string>")
-    sample = spark.range(0, times, 1, times).select((F.col("id") + 1).alias("again"), F.explode(texts).alias("body"))
+    sample = spark.createDataFrame([(r["body"],) for r in rows], "body string").withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(times))))
     n = len(rows) * times
 
     def run(rule: Callable[[Measures], Column]) -> tuple[float, int]:

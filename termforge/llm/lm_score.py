@@ -7,12 +7,15 @@ weight. Weights are Dirichlet-smoothed: p(w | h) = (c(hw) + m p(w | h')) / (c(h)
 add-one unigrams with one place for unknown words, so probabilities of all words sum to 1.
 
 No model is broadcast or collected. Documents go in blocks; a block asks the ranges of the hash
-space for the corpus counts of its own n-grams (all of them, no cut-off) and gets the automaton's
-part that its documents can reach; then all its documents are traversed left to right, the state
-carried along, log probabilities added up. Words are known by 64-bit hashes.
-
-Null and empty texts are one end mark. Repeated rows count and are scored each. An empty table
-gives an empty result; with no training row every word is unknown. Extra columns are ignored.
+space for the corpus counts of its own n-grams (all of them, no cut-off) and builds from them the
+automaton's part that its documents can reach: states, arcs, failure arcs. Then all its documents
+are traversed once from left to right, each with its state carried along, log probabilities added
+up. Words are known by 64-bit hashes.
+
+Null and empty texts are one end mark. Repeated rows count and are scored each, rows without doc_id
+too. A very long text is never cut; a block that holds it takes about 200 bytes a word of it in a
+worker. An empty table gives an empty result; with no training row every word is unknown. Extra
+columns are ignored.
 """
 
 from __future__ import annotations

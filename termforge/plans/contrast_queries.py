@@ -318,9 +318,9 @@ def _(b):
 
 
 def _lists(b):
-    first = S.top(b.scores.select("term", "abs_score"), ["abs_score DESC", "term"], 400, "rank").select("term", "rank")
-    df = M.document_frequency(b.post).select("term", "df")
-    return first, S.top(df, ["df DESC", "term"], 400, "rank").select("term", "rank")
+    first = S.ranked(b.scores.select("term", "abs_score"), ["abs_score DESC", "term"], "rank")
+    second = S.ranked(M.document_frequency(b.post).select("term", "df"), ["df DESC", "term"], "rank")
+    return tuple(x.select("term", F.col("rank").cast("int").alias("rank")) for x in (first, second))
 
 
 query("o118_combined_unique")(lambda b: S.combined_unique(*_lists(b), 40))

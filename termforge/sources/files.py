@@ -34,8 +34,9 @@ def csv_corpus(spark: SparkSession, path: str, text: str, label: str, mapping: d
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """One file with a header, for small reports."""
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One file with a header after a byte order mark, for small reports."""
+    marked = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
+    marked.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def result_tree(spark: SparkSession, path: str) -> DataFrame:

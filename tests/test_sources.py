@@ -46,3 +46,15 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r.term, r.df, r.df1, r.df0) for r in spark.table("df_now").collect()} == {("alpha", 2, 1, 1), ("beta", 1, 1, 0)}
+
+
+def test_csv_sink(spark, tmp_path):
+    rows = spark.createDataFrame([("a,b", 1), ('say "x"', 2)], "term string, n int").orderBy("n")
+    files.write_csv(rows, str(tmp_path / "out"))
+    (part,) = (tmp_path / "out").glob("part-*.csv")
+    raw = part.read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbf")
+    import csv
+
+    with part.open(encoding="utf-8-sig", newline="") as f:
+        assert list(csv.reader(f)) == [["term", "n"], ["a,b", "1"], ['say "x"', "2"]]

@@ -97,7 +97,7 @@ def fit_rates(known: DataFrame, targets: list[float], steps: int = 30, tolerance
     targets * sum(tokens), plus ridge * sum(tokens * (rate - 1)^2), rates kept at 0 or more. With
     rates measured in tokens and the gap whitened (see whitening) the curvature is 1 + ridge at
     most, so full steps can't diverge. Ends when the gap is within tolerance of all
-    tokens, or a step lowers the objective by less than a thousandth.
+    tokens, or a step lowers the objective by less than a two-hundredth.
     """
     k = len(targets)
     e = [F.get("p", F.lit(i)) for i in range(k)]
@@ -116,7 +116,7 @@ def fit_rates(known: DataFrame, targets: list[float], steps: int = 30, tolerance
         got = rated.agg(F.sum(F.col("n") * (F.col("rate") - 1) * (F.col("rate") - 1)).alias("moved"), *[F.sum(F.col("n") * F.col("rate") * e[i]).alias(f"d{i}") for i in range(k)]).first()
         gap = np.array([got[f"d{i}"] for i in range(k)]) - goal
         loss = float(gap @ whiten @ gap) + ridge * got["moved"]
-        if float(np.abs(gap).max()) <= tolerance * total or loss > 0.999 * before:
+        if float(np.abs(gap).max()) <= tolerance * total or loss > 0.995 * before:
             break
         before = loss
         moves.append([float(v) for v in whiten @ gap])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import decontaminate, lm_score, mixing, near_dup, passage_chain, pii, quality_rules, sharding, suffix_dedup, toxicity
+from termforge.llm import bpe, decontaminate, filter_audit, lm_score, mixing, near_dup, passage_chain, periodic_runs, pii, quality_rules, sharding, suffix_dedup, toxicity
 from termforge.llm._store import documents
 
 
@@ -81,6 +82,36 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    found = bpe.decode(bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, "doc_id"), ranks)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = documents(spark, sf_dir, "labels")
+    return filter_audit.audit(documents(spark, sf_dir), labels.select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = periodic_runs.detect(docs.select("doc_id", periodic_runs.planted(F.col("text"), F.col("doc_id")).alias("text")), "doc_id")
+    said = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), said.alias("said"), "collapsed")
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return rows.select(
+        "doc_id",
+        "n_runs",
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join("said", "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_lm_score": op2_lm_score,
@@ -92,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_bpe": op11_bpe,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -114,4 +148,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR word_chars < 2 * n_words OR word_chars > 40 * n_words
             OR 2 * n_dup_lines > 1 + length(body) - length(replace(body, chr(10), ''))) AS kept
 FROM b""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body FROM documents),
+w AS (SELECT doc_id, part, body, list_filter(string_split_regex(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             min(doc_id) OVER (PARTITION BY body) AS first FROM d),
+m AS (SELECT doc_id, part, [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws),
+             100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > 10 * length(body),
+             regexp_matches(body, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (l.good) AS good, count(*) FILTER (l.toxic) AS toxic
+      FROM m LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+f AS (SELECT unnest(range(1, 6)) AS f),
+o AS (SELECT [a.f, b.f, g.f, h.f, i.f] AS o FROM f a, f b, f g, f h, f i WHERE len(list_distinct([a.f, b.f, g.f, h.f, i.f])) = 5),
+s AS (SELECT o, f.f AS step, o[f.f] AS f FROM o, f),
+x AS (SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, step, f, fails, n, good, toxic,
+             fails[f] AS own, list_bool_or(list_transform(o[1:step - 1], lambda k: fails[k])) AS gone FROM s, c),
+r AS (SELECT part, filter_order, step, f, CAST(coalesce(sum(n) FILTER (NOT own AND NOT coalesce(gone, false)), 0) AS BIGINT) AS kept,
+             CAST(coalesce(sum(n) FILTER (own AND NOT coalesce(gone, false)), 0) AS BIGINT) AS removed,
+             CAST(coalesce(sum(n) FILTER (own AND gone), 0) AS BIGINT) AS redundant,
+             CAST(coalesce(sum(n) FILTER (own AND len(list_filter(fails, lambda y: y)) = 1), 0) AS BIGINT) AS unique_fails,
+             CAST(coalesce(sum(good) FILTER (own AND NOT coalesce(gone, false)), 0) AS BIGINT) AS good_lost,
+             CAST(coalesce(sum(toxic) FILTER (own AND NOT coalesce(gone, false)), 0) AS BIGINT) AS toxic_lost
+      FROM x GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r""",
 }

@@ -4,14 +4,14 @@ A softmax classifier over native text features, fitted on a labelled table, give
 posterior over domains. Document rates r >= 0 are then fitted by projected-gradient least squares
 so that the expected tokens of each domain, sum of r * tokens * posterior, match the targets. A
 gradient is one aggregate over all documents (a vector of one number a domain); the rate after t
-steps is a fold over the t gradients, computed in the row, so no rates are stored or collected.
+accelerated steps is a fold over the t gradients, computed in the row, so no rates are stored or collected.
 
 The classifier is fitted on at most about `most_rows` labelled rows by a hash of doc_id
 (documented bound). Null and empty texts have no tokens and keep rate 1. Labelled rows of other
 documents or without label aren't used; domains without labelled rows get no posterior and can't be
 reached. Rates have no upper bound unless `most` names one; a small pull towards 1 (`ridge`, a hundredth
 of the targets' weight) picks the rates that change least and keeps them from running away where
-targets can't be met. The fit stops where it is least. Repeated rows count as often as they
+targets can't be met. The fit ends when it is proven to be within a thousandth of the least. Repeated rows count as often as they
 stand there, each with its own rate; rows without doc_id share one draw. Very long texts are one row
 of nine numbers. Extra columns stay. An empty table gives an empty result.
 """
@@ -74,14 +74,20 @@ def posterior(x: Column, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Co
 
 
 def _fold(moves: list[list[float]], p: Column, most: float | None, ridge: float) -> Column:
-    """The rate after those projected steps."""
-    rate = F.lit(1.0)
+    """(rate, point) after those accelerated projected steps: point is where the next gradient is taken."""
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("point"))
     if not moves:
-        return rate
+        return start
     steps = F.array(*[F.array(*[F.lit(v) for v in m]) for m in moves])
     slope = lambda m: F.aggregate(F.zip_with(m, p, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     above = (lambda r: r) if most is None else (lambda r: F.least(F.lit(float(most)), r))
-    return F.aggregate(steps, rate, lambda r, m: above(F.greatest(F.lit(0.0), (r - slope(m) + ridge) / (1 + ridge))))
+    momentum = (1 - ridge**0.5) / (1 + ridge**0.5)
+
+    def step(held: Column, move: Column) -> Column:
+        rate = above(F.greatest(F.lit(0.0), (held["point"] - slope(move) + ridge) / (1 + ridge)))
+        return F.get(F.transform(F.array(rate), lambda r: F.struct(r.alias("rate"), (r + momentum * (r - held["rate"])).alias("point"))), F.lit(0))
+
+    return F.aggregate(steps, start, step)
 
 
 def whitening(gram: np.ndarray) -> np.ndarray:
@@ -90,14 +96,16 @@ def whitening(gram: np.ndarray) -> np.ndarray:
     return np.linalg.inv(gram + 0.01 * np.linalg.eigvalsh(gram)[-1] * np.eye(len(gram)))
 
 
-def fit_rates(known: DataFrame, targets: list[float], steps: int = 30, tolerance: float = 1e-4, most: float | None = None, ridge: float = 0.01) -> Column:
+def fit_rates(known: DataFrame, targets: list[float], steps: int = 1000, tolerance: float = 1e-3, most: float | None = None, ridge: float = 0.01) -> Column:
     """The rate of a row as an expression over p; known holds tokens and p of all documents.
 
-    Projected gradient from rate 1 on the squared gap between sum(rate * tokens * p) and
-    targets * sum(tokens), plus ridge * sum(tokens * (rate - 1)^2), rates kept at 0 or more. With
-    rates measured in tokens and the gap whitened (see whitening) the curvature is 1 + ridge at
-    most, so full steps can't diverge. Ends when the gap is within tolerance of all
-    tokens, or a step lowers the objective by less than a two-hundredth.
+    Accelerated projected gradient from rate 1 on the squared gap between sum(rate * tokens * p) and
+    targets * sum(tokens), whitened, plus ridge * sum(tokens * (rate - 1)^2), rates kept at 0 or
+    more. With rates measured in tokens the curvature lies between ridge and 1 + ridge (see
+    whitening), so full steps can't diverge and the momentum of that ratio brings the error down by a
+    tenth a step. Each step's aggregate also takes the dual objective at the gap of the step before,
+    which no rates can fall below: the fit ends once the best objective is proven to be within
+    `tolerance` (a share) of the least, so `steps` only guards against targets that aren't numbers.
     """
     k = len(targets)
     e = [F.get("p", F.lit(i)) for i in range(k)]
@@ -110,17 +118,27 @@ def fit_rates(known: DataFrame, targets: list[float], steps: int = 30, tolerance
     whiten = whitening(g)
     goal = np.array(targets) / sum(targets) * total
     moves: list[list[float]] = []
-    before = np.inf
+    price = np.zeros(k)
+    best, chosen, floor = np.inf, 0, 0.0
     for _ in range(steps):
-        rated = known.select("p", n.alias("n"), _fold(moves, F.col("p"), most, ridge).alias("rate"))
-        got = rated.agg(F.sum(F.col("n") * (F.col("rate") - 1) * (F.col("rate") - 1)).alias("moved"), *[F.sum(F.col("n") * F.col("rate") * e[i]).alias(f"d{i}") for i in range(k)]).first()
-        gap = np.array([got[f"d{i}"] for i in range(k)]) - goal
+        at = known.select("p", n.alias("n"), _fold(moves, F.col("p"), most, ridge).alias("at")).select("p", "n", "at.rate", "at.point")
+        cost = sum((F.lit(float(price[i])) * e[i] for i in range(k)), F.lit(0.0))
+        cheapest = F.greatest(F.lit(0.0), 1 - cost / ridge)  # the rate that is best at these prices
+        cheapest = cheapest if most is None else F.least(F.lit(float(most)), cheapest)
+        sums = {"moved": F.col("n") * (F.col("rate") - 1) * (F.col("rate") - 1), "dual": F.col("n") * (ridge * (cheapest - 1) * (cheapest - 1) + 2 * cheapest * cost)}
+        for i in range(k):
+            sums |= {f"d{i}": F.col("n") * F.col("rate") * e[i], f"e{i}": F.col("n") * F.col("point") * e[i]}
+        got = at.agg(*[F.sum(v).alias(c) for c, v in sums.items()]).first()
+        gap, ahead = (np.array([got[f"{c}{i}"] for i in range(k)]) - goal for c in "de")
         loss = float(gap @ whiten @ gap) + ridge * got["moved"]
-        if float(np.abs(gap).max()) <= tolerance * total or loss > 0.995 * before:
+        floor = max(floor, got["dual"] - float(price @ np.linalg.solve(whiten, price)) - 2 * float(price @ goal))
+        if loss < best:
+            best, chosen = loss, len(moves)
+        if not best - floor > tolerance * best:
             break
-        before = loss
-        moves.append([float(v) for v in whiten @ gap])
-    return _fold(moves, F.col("p"), most, ridge)
+        price = whiten @ gap
+        moves.append([float(v) for v in whiten @ ahead])
+    return _fold(moves[:chosen], F.col("p"), most, ridge)["rate"]
 
 
 def domains(labels: DataFrame) -> DataFrame:

@@ -458,3 +458,15 @@ def test_quality_order_is_by_rejection_per_cost(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r.doc_id for r in quality_rules.quality(docs).filter(F.col("kept")).collect()}
     assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == kept
+
+
+def test_quality_order_is_the_same_each_time(spark):
+    from termforge.llm import quality_rules
+
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    rules = quality_rules.BASE + quality_rules.default_rules()
+    quality_rules.order_rules(docs, rules)  # code is compiled by now
+    found = [quality_rules.order_rules(docs, rules) for _ in range(5)]
+    assert len({tuple(n for n, _, _ in f) for f in found}) == 1
+    assert all(0.7 < c / d < 1.4 for f in found for (_, c, _), (_, d, _) in zip(f, found[0]) if c > 5e-6)
+    assert quality_rules.order_rules(docs.limit(0), rules) == sorted((n, 0.0, 0.0) for n, _ in rules)

@@ -34,17 +34,18 @@ def features(docs: DataFrame, *carry: str) -> DataFrame:
     n = F.size("words").cast("double")
     per = lambda e: e / F.greatest(n, F.lit(1.0))
     count = lambda p: F.regexp_count("body", F.lit(p)).cast("double")
+    held = lambda c: (F.length("body") - F.length(F.replace("body", F.lit(c), F.lit("")))).cast("double")
     chars = F.length("body").cast("double")
     x = F.array(
         F.log1p(n),
         per(chars),
         per(count(r"[#*$%&|<>]+")),
         per(count(r"\p{Lu}")),
-        per(count("!")),
+        per(held("!")),
         per(count("[0-9]")),
         per(F.size(F.array_distinct("words")).cast("double")),
         per(count(r"[^\x00-\x7F]")),
-        per(count("\n")),
+        per(held("\n")),
     )
     return base.select(*carry, F.size("words").cast("long").alias("tokens"), x.alias("x"))
 

@@ -56,3 +56,15 @@ def features(posted: DataFrame, roles: DataFrame, chosen: DataFrame, k: int, bin
     rows = roles.join(packed, ["outer_fold", "inner_fold", "doc_id"], "left")
     cell = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))
     return rows.select("outer_fold", "inner_fold", "doc_id", "role", "label", F.transform(F.sequence(F.lit(1), F.lit(k)), cell).alias("features"))
+
+
+def consistent(rows: DataFrame) -> DataFrame:
+    """rows without the training rows whose features occur under both labels in their context; test rows stay.
+
+    Rows of equal features are known by a hash and counted by partial aggregates, so copies are no hot group. Features
+    whose two classes can't be told apart make every candidate fail a gate that asks for all training rows.
+    """
+    train = rows.filter("role = 'train'").withColumn("_same", F.xxhash64("features"))
+    by = ["outer_fold", "inner_fold", "_same"]
+    mixed = train.groupBy(*by).agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select(*by)
+    return rows.withColumn("_same", F.when(F.col("role") == "train", F.xxhash64("features"))).join(mixed, by, "left_anti").drop("_same")

@@ -1,7 +1,8 @@
 """Global numbering and running sums by ranges: no task sees all rows.
 
 Rows are dealt to ranges of the order; a range's totals (one row a range) give what lies before it.
-The dealt rows are persisted, as both the rows and the totals must see the same ranges.
+The dealt rows are written to the shared folder: both the rows and the totals must see the same ranges, and
+a range that was dealt anew after the loss of an executor could hold other rows.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from termforge.operators.tables import written
+
 #: monotonically_increasing_id() holds the partition above so many bits, the row below.
 ROW_BITS = 33
 
@@ -21,7 +24,7 @@ def _parts(rows: DataFrame) -> int:
 def numbered(rows: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
     """rows with their places in a total order, from `start`."""
     at = F.monotonically_increasing_id()
-    placed = rows.repartitionByRange(_parts(rows), *order).sortWithinPartitions(*order).withColumn("_at", at).persist()
+    placed = written(rows.repartitionByRange(_parts(rows), *order).sortWithinPartitions(*order).withColumn("_at", at))
     part = F.shiftright("_at", ROW_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_k"))
     before = sizes.select("_part", (F.sum("_k").over(W.orderBy("_part")) - F.col("_k")).alias("_before"))
@@ -31,7 +34,7 @@ def numbered(rows: DataFrame, order: list[Column], name: str, start: int = 1) ->
 
 def running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
     """rows with running sums over a total order: name of the sum to the column summed, the row's own included."""
-    placed = rows.repartitionByRange(_parts(rows), *order).withColumn("_part", F.spark_partition_id()).persist()
+    placed = written(rows.repartitionByRange(_parts(rows), *order).withColumn("_part", F.spark_partition_id()))
     totals = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_all_{n}") for n, c in sums.items()])
     before = totals.select("_part", *[(F.sum(f"_all_{n}").over(W.orderBy("_part")) - F.col(f"_all_{n}")).alias(f"_before_{n}") for n in sums])
     own = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)

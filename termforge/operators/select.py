@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termforge.operators import ranges
+from termforge.operators.tables import kept
 
 SCORE_ORDER = ["abs_score DESC", "selected_score DESC", "label1_doc_count DESC", "label0_doc_count DESC", "term"]
 
@@ -98,7 +99,7 @@ def combined_unique(first: DataFrame, second: DataFrame, k: int, equal_rank_to:
     if k % 2:
         raise ValueError("k must be even")
     half = k // 2
-    both = first.select("term", F.col("rank").alias("ra")).join(second.select("term", F.col("rank").alias("rb")), "term", "full_outer").persist()
+    both = kept(first.select("term", F.col("rank").alias("ra")).join(second.select("term", F.col("rank").alias("rb")), "term", "full_outer"))
     second_wins = (F.col("rb") <= F.col("ra")) if equal_rank_to == "second" else (F.col("rb") < F.col("ra"))
     loses = {"ra": F.coalesce(second_wins, F.lit(False)), "rb": F.coalesce(~second_wins, F.lit(False))}
 

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from termforge.operators.tables import written
+
 
 def stratified(docs: DataFrame, k: int, fold: str = "fold", by: list[str] = ()) -> DataFrame:
     """docs (doc_id, label) with the column fold. Rows are ids and labels only; they're numbered by
-    ranges of doc_id, so no task sees all rows of a label. The dealt rows are persisted: rows and
-    range sizes must see the same ranges."""
+    ranges of doc_id, so no task sees all rows of a label. The dealt rows are written: rows and range
+    sizes must see the same ranges, also after the loss of an executor."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     group = [*by, "label"]
-    placed = docs.repartitionByRange(parts, "doc_id").withColumn("_part", F.spark_partition_id()).persist()
+    placed = written(docs.repartitionByRange(parts, "doc_id").withColumn("_part", F.spark_partition_id()))
     own = placed.withColumn("_own", F.row_number().over(W.partitionBy("_part", *group).orderBy("doc_id")))
     sizes = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_k"))
     before = sizes.withColumn("_before", F.sum("_k").over(W.partitionBy(*group).orderBy("_part")) - F.col("_k")).drop("_k")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from termforge.operators import contrast, corpus, matrix, select
 from termforge.session import ship
+from termforge.operators.tables import kept
 
 
 class Base:
@@ -31,11 +32,8 @@ class Base:
 
     @cached_property
     def post(self) -> DataFrame:
-        """Persisted: nearly every query reads the postings more than once, and all of one folder share them."""
-        return corpus.postings(self.toks()).persist()
-
-    def release(self) -> None:
-        self.post.unpersist()
+        """Cached: nearly every query reads the postings more than once, and all of one folder share them until tables.release()."""
+        return kept(corpus.postings(self.toks()))
 
     @cached_property
     def lens(self) -> DataFrame:

@@ -13,6 +13,7 @@ from termforge.operators.corpus import r9
 from termforge.plans.base import Base
 from termforge.plans.sql import difference, sql
 from termforge.plans.sql import r9 as q9
+from termforge.operators.tables import kept
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -83,7 +84,7 @@ def _(b):
     """The scout table of each n-gram size from 1 to 5."""
     out = None
     for n in range(1, 6):
-        post = b.post if n == 1 else C.postings(b.toks(n, n)).persist()
+        post = b.post if n == 1 else kept(C.postings(b.toks(n, n)))
         own = X.scout_table(post, M.tfidf(post, M.idf(post, b.sizes)), b.sizes).withColumn("n", F.lit(n).cast("long"))
         out = own if out is None else out.unionByName(own)
     return out
@@ -163,7 +164,7 @@ def _(b):
     """Documents whose target words exceed a threshold, or the maximum of label 0, with their words; one row each."""
     grid = _target_grid(b)
     said = F.transform(F.sort_array(F.collect_list(F.when(F.col("value") > 0, F.struct("term", "value")))), lambda x: F.concat_ws(":", x["term"], x["value"].cast("string")))
-    docs = grid.groupBy("doc_id", "label").agg(F.sum("value").alias("total"), F.array_join(said, ", ").alias("words")).persist()
+    docs = kept(grid.groupBy("doc_id", "label").agg(F.sum("value").alias("total"), F.array_join(said, ", ").alias("words")))
     most = docs.filter("label = 0").agg(F.max("total").alias("most"))
     cuts = F.array_distinct(F.array_compact(F.array(*[F.lit(c).cast("long") for c in (5, 10, 20)], F.col("most"))))
     each = docs.crossJoin(F.broadcast(most)).withColumn("thr", F.explode(cuts)).filter("total > thr")
@@ -177,7 +178,7 @@ _TWICE = f"SELECT matrix, 'word' AS report, term AS name, label, {q9('avg(v)')}
 @query("o215_reports_of_both_matrices", sql(_TWICE, **_TGRID, **_SCALED))
 def _(b):
     """The word and the group report of the raw counts and of the whole set's min-max scale."""
-    raw = _target_grid(b).withColumn("value", F.col("value").cast("double")).persist()
+    raw = kept(_target_grid(b).withColumn("value", F.col("value").cast("double")))
     scaled = M.min_max(raw, M.column_range(raw, b.sizes), clip=False)
     both = raw.withColumn("matrix", F.lit("raw")).unionByName(scaled.withColumn("matrix", F.lit("min_max")))
     summary = lambda rows, v: rows.agg(r9(F.avg(v)).alias("mean"), F.count_if(F.col(v) > 0).alias("docs"), r9(F.max(v)).alias("most"))
@@ -281,7 +282,7 @@ _LISTS = " UNION ALL ".join(f"SELECT * FROM (SELECT 'label{k}' AS focus, term, '
 
 @query("o111_ranking_overlap", sql(f"SELECT focus, term, count(*) AS appearance_count, string_agg(ranking_name, ', ' ORDER BY ranking_name) AS ranking_names, min(rank) AS best_rank, round(avg(rank), 9) AS average_rank FROM ({_LISTS}) GROUP BY focus, term", scout=_scout_sql()))
 def _(b):
-    scout = _scout(b).persist()
+    scout = kept(_scout(b))
     of = lambda k, o: S.overlap(scout, _specs(k, o), 25).withColumn("focus", F.lit(f"label{k}"))
     return of(1, 0).unionByName(of(0, 1))
 
@@ -351,7 +352,7 @@ def _modes(b, modes: list[str], k: int = 40):
         "document_frequency": X.difference_table(b.post.withColumn("value", F.lit(1.0)), None, "df"),
         "tfidf": X.difference_table(b.weights, None, "tfidf"),
     }
-    tables = {n: t.select("term", "absolute_difference").persist() for n, t in tables.items()}
+    tables = {n: kept(t.select("term", "absolute_difference")) for n, t in tables.items()}
     out = None
     for m in modes:
         own = S.by_mode(tables, m, k)

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termforge.functions import text as T
-from termforge.operators import contexts
+from termforge.operators import boosting, contexts
 from termforge.operators import evaluate as E
 from termforge.operators import experiments
 from termforge.operators import matrix as M
@@ -17,6 +17,7 @@ from termforge.operators.corpus import r9
 from termforge.plans.base import Base
 from termforge.plans.sql import sql
 from termforge.plans.sql import r9 as q9
+from termforge.operators.tables import kept, written
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -61,7 +62,7 @@ def _(b):
 
 @query("o152_outlier_rows", sql("SELECT doc_id, label, term, CASE WHEN v > q3 THEN 'high' ELSE 'low' END AS direction FROM (SELECT doc_id, label, term, round(v, 9) AS v FROM grid) JOIN (SELECT label, term, quantile_cont(round(v, 9), 0.25) AS q1, quantile_cont(round(v, 9), 0.75) AS q3 FROM grid GROUP BY label, term) USING (label, term) WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)", **_GRID))
 def _(b):
-    g = _term_grid(b).withColumn("grp", F.concat_ws("/", "label", "term")).persist()
+    g = kept(_term_grid(b).withColumn("grp", F.concat_ws("/", "label", "term")))
     _, q = stats.quartiles(g.select("grp", "v"))
     width = F.col("q3") - F.col("q1")
     far = (F.col("v") < F.col("q1") - 1.5 * width) | (F.col("v") > F.col("q3") + 1.5 * width)
@@ -297,26 +298,35 @@ query("o214_display_format", "SELECT event_id, CASE WHEN value IS NULL THEN '' E
     lambda b: b.table("events").select("event_id", F.coalesce(F.regexp_replace(F.regexp_replace(F.format_string("%.3f", F.round("value", 3)), "0+$", ""), r"\.$", ""), F.lit("")).alias("shown")))
 
 
+_FOLD_TERMS = {
+    "fc": "SELECT f.fold, term, count(*) FILTER (WHERE p.label = 1) AS c1, count(*) FILTER (WHERE p.label = 0) AS c0 FROM post p JOIN folds f USING (doc_id) GROUP BY f.fold, term",
+    "fn": "SELECT fold, count(*) FILTER (WHERE label = 1) AS k1, count(*) FILTER (WHERE label = 0) AS k0 FROM folds GROUP BY fold",
+    "train": "SELECT fn.fold, d.term, round(abs((df1 - coalesce(c1, 0)) / (n1 - k1) - (df0 - coalesce(c0, 0)) / (n0 - k0)), 9) + 0.0 AS s FROM fn CROSS JOIN dfs d CROSS JOIN sizes LEFT JOIN fc ON fc.fold = fn.fold AND fc.term = d.term",
+}
+
+
 OUTER, INNER, TERMS = 5, 3, 20
 
 
-def _contexts(b, outer: int = OUTER, inner: int = INNER, k: int = TERMS):
-    """Rows of all contexts; a context's terms are chosen on its own training rows."""
-    roles = contexts.roles(b.corpus.select("doc_id", "label"), outer, inner).persist()
-    post = b.post.select("doc_id", "term", "tf").persist()
-    return contexts.features(post, roles, contexts.selected(post, roles, k), k)
+def _contexts(b, outer: int = OUTER, inner: int = INNER, k: int = TERMS, consistent: bool = False):
+    """Rows of all contexts; a context's terms are chosen on its own training rows. consistent: without documents
+    whose features stand in their context's training rows under both labels, which no gate can pass."""
+    roles = kept(contexts.roles(b.corpus.select("doc_id", "label"), outer, inner))
+    post = kept(b.post.select("doc_id", "term", "tf"))
+    rows = contexts.features(post, roles, contexts.selected(post, roles, k), k)
+    return contexts.consistent(written(rows)) if consistent else rows
 
 
 #: Enough terms for candidates that separate every training row.
 MANY = 400
 
 
-def _outer(b, k: int = TERMS):
-    return _contexts(b, k=k).filter("inner_fold = -1")
+def _outer(b, k: int = TERMS, consistent: bool = False):
+    return _contexts(b, k=k, consistent=consistent).filter("inner_fold = -1")
 
 
-def _fits(b, kernel: str, values: dict, margin=None, accuracy: bool = False, k: int = TERMS):
-    return models.evaluate(_outer(b, k), models.grid(b.spark, values, kernel), margin, accuracy, 1e-6)
+def _fits(b, kernel: str, values: dict, margin=None, accuracy: bool = False, k: int = TERMS, consistent: bool = False):
+    return models.evaluate(_outer(b, k, consistent), models.grid(b.spark, values, kernel), margin, accuracy, 1e-6)
 
 
 _LINEAR, _RBF = {"c": [0.01, 1.0]}, {"c": [1.0, 100.0], "gamma": [0.1, 1.0]}
@@ -324,15 +334,22 @@ _VALID = "outer_fold", "candidate_index", "param_label", "doc_id", "label", "sta
 query("o173_svc_linear")(lambda b: _fits(b, "linear", _LINEAR).select(*_VALID))
 query("o174_svc_rbf")(lambda b: _fits(b, "rbf", _RBF).select(*_VALID))
 query("o174_svc_sigmoid")(lambda b: _fits(b, "sigmoid", {"c": [1.0], "gamma": [0.01, 0.1]}).select(*_VALID))
-query("o175_margin_gate")(lambda b: _fits(b, "rbf", _RBF, models.MARGIN, k=MANY).groupBy("outer_fold", "candidate_index").agg(F.first("status").alias("status")))
+query("o175_margin_gate")(lambda b: _fits(b, "rbf", _RBF, models.MARGIN, k=MANY, consistent=True).groupBy("outer_fold", "candidate_index").agg(F.first("status").alias("status")))
 query("o212_train_accuracy_gate")(lambda b: _fits(b, "rbf", _RBF, None, True, MANY).groupBy("outer_fold", "candidate_index").agg(F.first("status").alias("status")))
 
 
-# The gate drops every candidate where labels of near copies differ, as in these tables (o175, o189 show it); the
-# records and the choice of the ungated candidates follow.
 query("o180_candidate_evaluation")(lambda b: models.candidate_records(_contexts(b), models.grid(b.spark, {"c": [0.01, 0.1, 1.0]}), None, tol=1e-6)[0])
 query("o182_nested_cv")(lambda b: models.nested_cv(_contexts(b), models.grid(b.spark, {"c": [0.01, 0.1, 1.0]}), None, tol=1e-6))
-query("o189_candidate_status")(lambda b: models.candidate_records(_contexts(b, k=MANY), models.grid(b.spark, _RBF, "rbf"), models.MARGIN, tol=1e-6)[1])
+
+
+def _gated(b):
+    """Records and statuses with the gate on, of rows that some candidates separate by the margin and some don't."""
+    return models.candidate_records(_contexts(b, k=MANY, consistent=True), models.grid(b.spark, _RBF, "rbf"), models.MARGIN, tol=1e-6)
+
+
+query("o180_gated_records")(lambda b: _gated(b)[0])
+query("o182_gated_nested_cv")(lambda b: models.select_best(_gated(b)[0]))
+query("o189_candidate_status")(lambda b: _gated(b)[1])
 query("o183_pooled_grid_search")(lambda b: E.with_metrics(E.confusion(models.pooled_grid_search(_contexts(b), models.grid(b.spark, {"kernel": ["linear", "rbf"], "c": [0.1, 1, 5], "gamma": [0.01, 0.001]})), [])))
 query("o200_fit_one_split")(lambda b: E.with_metrics(E.confusion(_fits(b, "linear", {"c": [1.0]}).filter("outer_fold = 0"), ["status"])))
 query("o204_unnested_search")(lambda b: _unnested(b))
@@ -340,15 +357,15 @@ query("o204_unnested_search")(lambda b: _unnested(b))
 
 def _unnested(b):
     """Combinations that reproduce every training label, with the mean accuracy of fixed folds; the first strictly better one wins."""
-    found = _fits(b, "rbf", _RBF, None, True, MANY)
-    kept = found.groupBy("candidate_index", "param_label").agg(F.bool_and(F.col("status") != "invalid_accuracy").alias("kept")).filter("kept").drop("kept")
+    found = kept(_fits(b, "rbf", _RBF, None, True, MANY, True))
+    whole = found.groupBy("candidate_index", "param_label").agg(F.bool_and(F.col("status") != "invalid_accuracy").alias("whole")).filter("whole").drop("whole")
     scores = E.with_metrics(E.confusion(found, ["outer_fold", "candidate_index"])).groupBy("candidate_index").agg(r9(F.avg("accuracy")).alias("accuracy"))
-    return S.top(scores.join(kept, "candidate_index"), ["accuracy DESC", "candidate_index"], 1, "nth").drop("nth")
+    return S.top(scores.join(whole, "candidate_index"), ["accuracy DESC", "candidate_index"], 1, "nth").drop("nth")
 
 
 def _thresholds(b, seconds=None):
     cuts = [0.2, 0.3]
-    roles = contexts.roles(b.corpus.select("doc_id", "label"), 3, 2).persist()
+    roles = kept(contexts.roles(b.corpus.select("doc_id", "label"), 3, 2))
     records, statuses = experiments.threshold_records(b.post, roles, cuts, models.grid(b.spark, _LINEAR), 60, None, 1e-6, seconds)
     return records, statuses, b.spark.createDataFrame([(c,) for c in cuts], "score_threshold double")
 
@@ -382,7 +399,7 @@ def _native(b, kind: str):
     """Predictions for every labelled document, each by the model of its outer fold's training rows."""
     from termforge.operators import native_models
 
-    rows = _outer(b).persist()
+    rows = kept(_outer(b))
     out = None
     for k in range(OUTER):
         own = native_models.predict(rows.filter(F.col("outer_fold") == k), kind).withColumn("outer_fold", F.lit(k))
@@ -390,10 +407,44 @@ def _native(b, kind: str):
     return out
 
 
-for _k, _n in (("gbt", "o177_gradient_boosting"), ("xgb", "o178_weighted_boosting"), ("forest", "o179_random_forest"), ("logistic", "o179_logistic_regression")):
+for _k, _n in (("forest", "o179_random_forest"), ("logistic", "o179_logistic_regression")):
     query(_n)(lambda b, k=_k: _native(b, k))
 
 
+#: Short grids of the two boosters; the full ones are boosting.LEAF_GRID and boosting.DEPTH_GRID.
+_LEAF = {"n_estimators": [4, 8], "num_leaves": [5], "max_depth": [-1], "learning_rate": [0.3]}
+_DEPTH = {"n_estimators": [4, 8], "max_depth": [3], "learning_rate": [0.3], "min_child_weight": [0, 3]}
+query("o177_gradient_boosting")(lambda b: boosting.evaluate(_outer(b), boosting.grid(b.spark, _LEAF, "leaf"), None).select(*_VALID))
+query("o178_weighted_boosting")(lambda b: boosting.evaluate(_outer(b), boosting.grid(b.spark, _DEPTH, "depth"), None).select(*_VALID))
+
+
+@query("o177_boosting_grid")
+def _(b):
+    """Gate of raw scores and choice by inner folds; conflicting copies are left out, so that a training set can be separated."""
+    rows = _contexts(b, 3, 2, 100, consistent=True)
+    records, statuses = models.candidate_records(rows, boosting.grid(b.spark, {"n_estimators": [1, 3], "num_leaves": [127], "max_depth": [-1], "learning_rate": [0.4]}, "leaf"), models.MARGIN, run=boosting.evaluate)
+    best = models.select_best(records).select("outer_fold", "candidate_index", "accuracy")
+    return statuses.join(best, "candidate_index", "left").select("candidate_index", "param_label", "status", "outer_fold", "accuracy")
+
+
+_ROOT = """SELECT fold, term, c1, c0, m1, m0, w, selection_rank, pow(0.5 * (m0 - c0) - 0.5 * w * (m1 - c1), 2) / (0.25 * (m0 - c0 + w * (m1 - c1))) + pow(0.5 * c0 - 0.5 * w * c1, 2) / (0.25 * (c0 + w * c1)) AS gain
+ FROM (SELECT r.fold, r.term, r.selection_rank, df1 - coalesce(c1, 0) AS c1, df0 - coalesce(c0, 0) AS c0, n1 - k1 AS m1, n0 - k0 AS m0, (n0 - k0) / (n1 - k1) AS w
+ FROM (SELECT fold, term, row_number() OVER (PARTITION BY fold ORDER BY s DESC, term) AS selection_rank FROM train QUALIFY selection_rank <= 20) r JOIN dfs USING (term) JOIN fn USING (fold) CROSS JOIN sizes LEFT JOIN fc ON fc.fold = r.fold AND fc.term = r.term)
+ WHERE c1 + c0 > 0 AND c1 + c0 < m1 + m0"""
+
+
+@query("o178_root_splits", sql("SELECT fold AS outer_fold, term, round(gain, 4) AS gain, round(2 * (0.3 * (w * (m1 - c1) - (m0 - c0)) / (m0 - c0 + w * (m1 - c1))), 5) + 0.0 AS absent, round(2 * (0.3 * (w * c1 - c0) / (c0 + w * c1)), 5) + 0.0 AS present FROM root QUALIFY row_number() OVER (PARTITION BY fold ORDER BY gain DESC, selection_rank) = 1", root=_ROOT, **_FOLD_TERMS))
+def _(b):
+    """The first cut of the first tree of each outer fold: gain, and the steps of rows without and with the term."""
+    roles = kept(contexts.roles(b.corpus.select("doc_id", "label"), OUTER, INNER).filter("inner_fold = -1"))
+    post = b.post.select("doc_id", "term", "tf")
+    terms = kept(contexts.selected(post, roles, TERMS))
+    found, _ = boosting.fit(contexts.features(post, roles, terms, TERMS), [boosting.Series("depth", 1, 2, 0.3, 0.0)], 1)
+    cuts = [(key[0], own[0][0].nodes[1]) for key, own in found.items() if 1 in own[0][0].nodes]
+    rows = b.spark.createDataFrame([(o, n.feature + 1, round(n.gain, 4), round(n.values[0], 5) + 0.0, round(n.values[1], 5) + 0.0) for o, n in cuts], "outer_fold int, selection_rank int, gain double, absent double, present double")
+    return terms.join(F.broadcast(rows), ["outer_fold", "selection_rank"]).select("outer_fold", "term", "gain", "absent", "present")
+
+
 @query("o179_knn", "WITH q AS (SELECT vec_id AS qid, label AS actual, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT qid, actual, label, vec_id, round(sqrt(list_sum(list_transform(list_zip(e, embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))), 6) AS dist FROM q, embeddings WHERE vec_id <> qid), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS r FROM d), v AS (SELECT qid, actual, label, count(*) AS votes FROM n WHERE r <= 5 GROUP BY ALL) SELECT qid, actual, label AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label) = 1")
 def _(b):
     near = stats.nearest(b.table("embeddings"), "vec_id % 20 = 0", 5, 0.1)
@@ -436,11 +487,6 @@ def _(b):
     return S.best_rows(_results(b), ["condition"]).join(F.broadcast(places), "condition", "left").select(F.coalesce("place", F.lit(99)).alias("place"), "condition", "feature_count", "acc")
 
 
-_FOLD_TERMS = {
-    "fc": "SELECT f.fold, term, count(*) FILTER (WHERE p.label = 1) AS c1, count(*) FILTER (WHERE p.label = 0) AS c0 FROM post p JOIN folds f USING (doc_id) GROUP BY f.fold, term",
-    "fn": "SELECT fold, count(*) FILTER (WHERE label = 1) AS k1, count(*) FILTER (WHERE label = 0) AS k0 FROM folds GROUP BY fold",
-    "train": "SELECT fn.fold, d.term, round(abs((df1 - coalesce(c1, 0)) / (n1 - k1) - (df0 - coalesce(c0, 0)) / (n0 - k0)), 9) + 0.0 AS s FROM fn CROSS JOIN dfs d CROSS JOIN sizes LEFT JOIN fc ON fc.fold = fn.fold AND fc.term = d.term",
-}
 
 
 @query("o202_selected_terms_by_fold", sql("SELECT fold, term, s, CAST(row_number() OVER (PARTITION BY fold ORDER BY s DESC, term) AS INTEGER) AS selection_rank FROM train QUALIFY selection_rank <= 25", **_FOLD_TERMS))

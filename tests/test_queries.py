@@ -37,3 +37,19 @@ def test_query(spark, db, name):
 
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
+def test_query_without_sql_has_rows(spark, name):
+    assert registry.QUERIES[name](spark, SF).head() is not None
+
+
+def test_gated_selection_keeps_some_and_drops_some(spark):
+    """The gate is on, some candidates pass it in all contexts, some don't, and each outer fold has a winner that passed."""
+    statuses = {r.candidate_index: r.status for r in registry.QUERIES["o189_candidate_status"](spark, SF).collect()}
+    assert set(statuses.values()) == {"valid", "dropped"}
+    best = registry.QUERIES["o182_gated_nested_cv"](spark, SF).collect()
+    assert sorted(r.outer_fold for r in best) == [0, 1, 2, 3, 4] and {statuses[r.candidate_index] for r in best} == {"valid"}
+    assert {r.candidate_index for r in registry.QUERIES["o180_gated_records"](spark, SF).collect()} == {k for k, s in statuses.items() if s == "valid"}
+    grid = registry.QUERIES["o177_boosting_grid"](spark, SF).collect()
+    assert {r.status for r in grid} == {"valid", "dropped"} and all((r.accuracy is None) == (r.status == "dropped") for r in grid)

@@ -1,6 +1,7 @@
 """Numbering and running sums by ranges, statistics, selection modes, reports and caches against plain Python."""
 
 import collections
+import os
 import random
 
 import numpy as np
@@ -181,3 +182,38 @@ def test_dimensions_of_a_path(spark):
     rows = spark.createDataFrame([("/out/ngram_1_2/n100/m/tf/x.csv",), ("/out/n5/m",), ("/ngram_3_3",), ("/other",)], "p string")
     got = [tuple(r) for r in rows.select(*[c.alias(n) for n, c in files.path_dimensions(F.col("p")).items()]).collect()]
     assert got == [(1, 2, 100), (None, None, 5), (3, 3, None), (None, None, None)]
+
+
+def test_ranks_survive_lost_blocks(spark):
+    """Rows are dealt to ranges once and written; what executors hold in between may go."""
+    from termforge.operators import ranges, splits, tables
+
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(50)) for k in range(400)]
+    frame = spark.createDataFrame(rows, "k int, v int").withColumn("shuffled", F.rand())  # dealt anew, it would differ
+    got = ranges.numbered(frame, [F.col("shuffled"), F.col("k")], "place")
+    sums = ranges.running(frame, [F.col("shuffled"), F.col("k")], {"upto": "v"})
+    folds = splits.stratified(frame.select(F.col("k").alias("doc_id"), (F.col("v") % 2).alias("label")), 5)
+    spark.catalog.clearCache()
+    places = [(r.place, r.shuffled, r.k) for r in got.collect()]
+    assert sorted(p for p, _, _ in places) == list(range(1, 401)) and [x[1:] for x in sorted(places)] == sorted(x[1:] for x in places)
+    total = 0
+    for r in sorted(sums.collect(), key=lambda r: (r.shuffled, r.k)):
+        total += r.v
+        assert r.upto == total
+    assert sorted(folds.groupBy("label", "fold").count().collect()) and folds.count() == 400
+    tables.release()
+
+
+def test_release_leaves_nothing_cached_or_written(spark, tmp_path):
+    from termforge.operators import tables
+    from termforge.session import shared_folder
+
+    tables.release()
+    before = spark._jsc.sc().getPersistentRDDs().size()
+    kept, written = tables.kept(spark.range(100)), tables.written(spark.range(50))
+    assert kept.count() == 100 and written.count() == 50
+    folder = os.path.join(shared_folder(spark), "termforge-tables")
+    assert spark._jsc.sc().getPersistentRDDs().size() == before + 1 and len(os.listdir(folder)) == 1
+    tables.release()
+    assert spark._jsc.sc().getPersistentRDDs().size() == before and not os.listdir(folder)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from termforge.operators import evaluate as E
 from termforge.operators import ranges
 from termforge.operators.tables import drop, written
 
@@ -242,9 +243,6 @@ def fit(rows: DataFrame, series: list[Series], trees: int, most_bins: int = 255,
     return known, table
 
 
-_OUT = ["outer_fold", "inner_fold", "candidate_index", "param_label", "doc_id", "label", "status", "decision", "predicted"]
-
-
 def evaluate(rows: DataFrame, candidates: DataFrame, margin: float | None, most_bins: int = 255) -> DataFrame:
     """rows: outer_fold, inner_fold, doc_id, role, label, features. One row a test document of a context and
     candidate, with its status, decision (raw score) and prediction, as models.evaluate gives them.
@@ -259,15 +257,6 @@ def evaluate(rows: DataFrame, candidates: DataFrame, margin: float | None, most_
     of = [Series(g["grow"], g["max_depth"], g["num_leaves"], g["learning_rate"], g["min_child_weight"]) for g in known]
     series = list(dict.fromkeys(of))
     found, table = fit(rows, series, max(g["n_estimators"] for g in known), most_bins)
-    model = [(*key[:2], g["candidate_index"], g["param_label"], [_packed(*x) for x in own[: g["n_estimators"]]]) for key, own in found.items() for g, s in zip(known, of) if series[key[2]] == s]
-    # a model a candidate and context; rows meet those of their context
-    trees = spark.createDataFrame(model, f"outer_fold int, inner_fold int, candidate_index int, param_label string, trees array<{_TREE}>")
-    names = spark.createDataFrame([(g["candidate_index"], g["param_label"]) for g in known], "candidate_index int, param_label string")
-    every = table.select(*CONTEXT).distinct().crossJoin(F.broadcast(names)).join(trees.drop("param_label"), [*CONTEXT, "candidate_index"], "left")
-    scored = table.join(F.broadcast(every), CONTEXT).withColumn("decision", F.when(F.col("trees").isNotNull(), _score(F.col("trees"), F.col("bins"), F.lit(0.0))).otherwise(F.lit(0.0)))
-    signed = F.when(F.col("label") == 1, F.col("decision")).otherwise(-F.col("decision"))
-    least = scored.filter("role = 'train'").groupBy(*CONTEXT, "candidate_index").agg(F.min(signed).alias("least"), F.min(F.col("trees").isNotNull()).alias("fitted"))
-    gate = F.lit(False) if margin is None else F.col("least") < F.lit(margin)
-    status = F.when(~F.coalesce("fitted", F.lit(False)), "one_class").when(gate, "invalid_margin").otherwise("ok")
-    test = scored.filter("role = 'test'").join(F.broadcast(least), [*CONTEXT, "candidate_index"], "left")
-    return test.withColumns({"status": status, "predicted": F.when(F.col("decision") > 0, 1).otherwise(0)}).select(*_OUT)
+    model = [(*key[:2], g["candidate_index"], [_packed(*x) for x in own[: g["n_estimators"]]]) for key, own in found.items() for g, s in zip(known, of) if series[key[2]] == s]
+    trees = spark.createDataFrame(model, f"outer_fold int, inner_fold int, candidate_index int, trees array<{_TREE}>")
+    return E.gated(table, trees, candidates.select("candidate_index", "param_label"), F.col("trees").isNotNull(), _score(F.col("trees"), F.col("bins"), F.lit(0.0)), F.lit(True), margin, False)

@@ -5,6 +5,7 @@ import glob
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 
@@ -365,8 +366,6 @@ def test_every_query_reads_an_odd_table(spark, tmp_path):
 
 def test_large_group_of_near_copies(spark):
     """Recall of classes in a group of copies with few and many edits, most of them linked by their original alone."""
-    import random
-
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
     base = [rng.choice(words) for _ in range(150)]
@@ -472,3 +471,24 @@ def test_quality_order_is_the_same_each_time(spark):
     assert len({tuple(n for n, _, _ in f) for f in found}) == 1
     assert all(0.7 < c / d < 1.4 for f in found for (_, c, _), (_, d, _) in zip(f, found[0]) if c > 5e-6)
     assert quality_rules.order_rules(docs.limit(0), rules) == sorted((n, 0.0, 0.0) for n, _ in rules)
+
+
+def test_stretching_many_is_stretching_each():
+    import numpy as np
+
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(300):
+        x = [rng.randrange(6) if rng.random() < 0.3 else 100 + k for k in range(rng.randint(0, 70))]
+        y = [v for v in x if rng.random() > 0.05]
+        for k in range(len(y)):
+            if rng.random() < 0.12:
+                y[k] = rng.randrange(1000)
+        pairs.append((np.array(x, np.uint32), np.array(y, np.uint32)))
+    for sign in (1, -1):
+        a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        room = np.array([[len(x), len(y)] for x, y in pairs])
+        begin = np.cumsum(room, axis=0) - room
+        at = begin if sign == 1 else begin + room - 1
+        got = passage_chain._ahead_many(a, b, at, room, sign)
+        assert got.tolist() == [list(passage_chain._ahead(x[::sign], y[::sign])) for x, y in pairs]

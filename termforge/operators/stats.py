@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from termforge.operators import ranges
 from termforge.operators.corpus import r9
+from termforge.operators.tables import written
 
 
 def quartiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,13 +118,14 @@ def histogram(rows: DataFrame, bins: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(edges)).groupBy("label", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def nearest(vectors: DataFrame, queries: str, k: int, gamma: float, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, queries: str | DataFrame, k: int, gamma: float, block: int = 4096) -> DataFrame:
     """The k nearest rows of each stated query row by Euclidean distance, and the RBF feature-space distance.
 
-    Query rows meet all rows in blocks: each partition of vectors meets one block of at most about
-    `block` query rows at a time, keeps its k best of each, and only those are shuffled.
+    queries: a condition, or rows qid, e. They meet all rows in blocks: each partition of vectors meets one block of at
+    most about `block` query rows at a time, keeps its k best of each, and only those are shuffled. With several
+    blocks each one's result is written before the next begins.
     """
-    q = vectors.filter(queries).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("e"))
+    q = vectors.filter(queries).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("e")) if isinstance(queries, str) else queries
     blocks = max(1, -(-q.count() // block))
     square = F.aggregate(F.zip_with("e", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, b: a + b)
     best = None
@@ -131,10 +133,33 @@ def nearest(vectors: DataFrame, queries: str, k: int, gamma: float, block: int =
         own = q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n) if blocks > 1 else q
         d = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(own)).filter("vec_id <> qid").select("qid", "vec_id", F.round(F.sqrt(square), 6).alias("dist"))
         d = d.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("dist", "vec_id"))).filter(F.col("rank") <= k)
+        d = written(d) if blocks > 1 else d
         best = d if best is None else best.unionByName(d)
     return best.select("qid", "vec_id", "dist", (F.round(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.exp(-gamma * F.col("dist") * F.col("dist")))), 6) + 0.0).alias("rbf_dist"), "rank")
 
 
+def local_outlier_factor(vectors: DataFrame, queries: str, k: int) -> DataFrame:
+    """vec_id, density, factor: the local outlier factor of each stated query row among all rows, by k neighbours.
+
+    Density: one over the mean of max(distance, the neighbour's k-th distance), with 1e-10 added; factor: the neighbours'
+    mean density over the row's own. Neighbours are searched in rings, each of the rows that the ring before has named
+    and none has searched yet: of the queries, of their neighbours (for densities), of those's (for k-th distances).
+    """
+    done = vectors.filter(queries).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("e"))
+    graph = written(nearest(vectors, done, k, 1.0).select("qid", "vec_id", "dist", "rank"))
+    rings = [graph]
+    for _ in range(2):
+        searched = rings[0].select("qid") if len(rings) == 1 else rings[0].select("qid").union(rings[1].select("qid"))
+        named = rings[-1].select(F.col("vec_id").alias("qid")).distinct().join(searched.distinct(), "qid", "left_anti")
+        rows = vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("e")).join(named, "qid", "left_semi")
+        rings.append(written(nearest(vectors, rows, k, 1.0).select("qid", "vec_id", "dist", "rank")))
+    every = rings[0].unionByName(rings[1]).unionByName(rings[2])
+    reach = every.groupBy("qid").agg(F.max("dist").alias("kth")).withColumnRenamed("qid", "vec_id")
+    dense = rings[0].unionByName(rings[1]).join(reach, "vec_id").groupBy("qid").agg((1 / (F.avg(F.greatest("dist", "kth")) + 1e-10)).alias("density"))
+    around = rings[0].join(dense.select(F.col("qid").alias("vec_id"), F.col("density").alias("other")), "vec_id").groupBy("qid").agg(F.avg("other").alias("others"))
+    return around.join(dense, "qid").select(F.col("qid").alias("vec_id"), F.round("density", 6).alias("density"), F.round(F.col("others") / F.col("density"), 6).alias("factor"))
+
+
 def nearest_centroid(vectors: DataFrame) -> DataFrame:
     """vec_id, actual, predicted (the label of the nearest class mean), dist; a class mean is one aggregate over its dimensions."""
     e = F.col("embedding").cast("array<double>")

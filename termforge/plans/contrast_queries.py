@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from termforge.functions import text as T
 from termforge.operators import contrast as X
 from termforge.operators import corpus as C
+from termforge.operators import information
 from termforge.operators import matrix as M
 from termforge.operators import select as S
 from termforge.operators.corpus import r9
+from termforge.operators.tables import kept
 from termforge.plans.base import Base
 from termforge.plans.sql import difference, sql
 from termforge.plans.sql import r9 as q9
-from termforge.operators.tables import kept
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -203,6 +204,23 @@ def _(b):
     return S.top(rows, ["mi DESC", "term"], 50, "rank")
 
 
+_KNN = {
+    "mp": "SELECT term, label, CAST(round(value * 1e9) AS BIGINT) AS v, 1 AS wt FROM weights WHERE round(value * 1e9) > 0",
+    "mz": "SELECT term, y AS label, CASE WHEN y = 1 THEN n1 ELSE n0 END - c AS z FROM (SELECT t.term, y, count(mp.term) AS c FROM (SELECT DISTINCT term FROM mp) t CROSS JOIN (VALUES (1), (0)) l(y) LEFT JOIN mp ON mp.term = t.term AND mp.label = y GROUP BY t.term, y), sizes",
+    "ma": "SELECT term, label, v, wt, count(*) OVER (PARTITION BY term, label, v) AS ties FROM mp UNION ALL SELECT term, label, 0, CASE WHEN i = 0 THEN z ELSE 0 END, z FROM (SELECT *, unnest(range(least(z, 4))) AS i FROM mz)",
+    "mr": "SELECT term, v, wt, greatest(least(a, b, c, d) - 1, 0) AS r, CASE WHEN least(a, b, c, d) = 0 THEN ties ELSE 3 END AS k FROM (SELECT *, CASE WHEN lead(v, 3) OVER w IS NOT NULL THEN lead(v, 3) OVER w - v END AS a, CASE WHEN lag(v, 1) OVER w IS NOT NULL AND lead(v, 2) OVER w IS NOT NULL THEN greatest(v - lag(v, 1) OVER w, lead(v, 2) OVER w - v) END AS b, CASE WHEN lag(v, 2) OVER w IS NOT NULL AND lead(v, 1) OVER w IS NOT NULL THEN greatest(v - lag(v, 2) OVER w, lead(v, 1) OVER w - v) END AS c, CASE WHEN lag(v, 3) OVER w IS NOT NULL THEN v - lag(v, 3) OVER w END AS d FROM ma WINDOW w AS (PARTITION BY term, label ORDER BY v, wt))",
+    "mc": "SELECT term, wt, k, sum(CASE WHEN v > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY term ORDER BY v RANGE BETWEEN r PRECEDING AND r FOLLOWING) + CASE WHEN v - r <= 0 THEN zs ELSE 0 END AS m FROM mr JOIN (SELECT term, sum(z) AS zs FROM mz GROUP BY term) USING (term)",
+    "psi": "SELECT i AS m, coalesce(sum(1.0::DOUBLE / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) - 0.5772156649015329 AS p FROM (SELECT unnest(range(1, n + 2)) AS i FROM sizes)",
+    "known": f"SELECT term, {q9('greatest(0.0, (SELECT p FROM psi WHERE m = n) - (n1 * (SELECT p FROM psi WHERE m = n1) + n0 * (SELECT p FROM psi WHERE m = n0)) / n + s / n)')} AS mi FROM (SELECT term, sum(wt * (a.p - b.p)) AS s FROM mc JOIN psi a ON a.m = mc.k JOIN psi b ON b.m = mc.m WHERE wt > 0 GROUP BY term), sizes",
+}
+
+
+@query("o91_knn_mutual_information", sql("SELECT term, mi, CAST(row_number() OVER (ORDER BY mi DESC, term) AS INTEGER) AS rank FROM known QUALIFY rank <= 143", **_KNN))
+def _(b):
+    """Continuous tf-idf weights, three neighbours; presence above is the discrete estimate."""
+    return S.top(information.mutual_information(b.weights, b.sizes, 3), ["mi DESC", "term"], 143, "rank")
+
+
 @query("o92_word_document_ranking", sql("SELECT doc_id, term, tf, CAST(row_number() OVER (ORDER BY tf DESC, term, doc_id) AS INTEGER) AS rank FROM post QUALIFY rank <= 200"))
 def _(b):
     return S.top(b.post.select("doc_id", "term", "tf"), ["tf DESC", "term", "doc_id"], 200, "rank")

@@ -445,6 +445,25 @@ def _(b):
     return terms.join(F.broadcast(rows), ["outer_fold", "selection_rank"]).select("outer_fold", "term", "gain", "absent", "present")
 
 
+_FAR = "round(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))), 6)"
+
+
+@query("o179_local_outlier_factor", f"WITH x AS (SELECT vec_id, embedding AS e FROM embeddings), d AS (SELECT a.vec_id AS qid, b.vec_id, {_FAR} AS dist FROM x a, x b WHERE a.vec_id <> b.vec_id), g AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= 5), k AS (SELECT qid AS vec_id, max(dist) AS kth FROM g GROUP BY qid), r AS (SELECT qid, 1 / (avg(greatest(dist, kth)) + 1e-10) AS density FROM g JOIN k USING (vec_id) GROUP BY qid), o AS (SELECT g.qid, avg(r.density) AS others FROM g JOIN r ON r.qid = g.vec_id GROUP BY g.qid) SELECT qid AS vec_id, round(density, 6) AS density, round(others / density, 6) AS factor FROM o JOIN r USING (qid) WHERE qid % 20 = 0")
+def _(b):
+    return stats.local_outlier_factor(b.table("embeddings"), "vec_id % 20 = 0", 5)
+
+
+query("o179_one_class_svm")(lambda b: models.one_class(_outer(b), "rbf", [0.1, 0.5]))
+
+
+@query("o171_leave_one_out_evaluated")
+def _(b):
+    """Every labelled document by a classifier of all others, on the strongest terms."""
+    terms = b.top(TERMS).select("term", "selection_rank")
+    rows = contexts.features(b.post.select("doc_id", "term", "tf"), b.corpus.select(F.lit(0).alias("outer_fold"), F.lit(-1).alias("inner_fold"), "doc_id", F.lit("train").alias("role"), "label"), terms.withColumns({"outer_fold": F.lit(0), "inner_fold": F.lit(-1)}), TERMS)
+    return models.leave_one_out(rows, "linear", 1.0)
+
+
 @query("o179_knn", "WITH q AS (SELECT vec_id AS qid, label AS actual, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT qid, actual, label, vec_id, round(sqrt(list_sum(list_transform(list_zip(e, embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))), 6) AS dist FROM q, embeddings WHERE vec_id <> qid), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS r FROM d), v AS (SELECT qid, actual, label, count(*) AS votes FROM n WHERE r <= 5 GROUP BY ALL) SELECT qid, actual, label AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label) = 1")
 def _(b):
     near = stats.nearest(b.table("embeddings"), "vec_id % 20 = 0", 5, 0.1)

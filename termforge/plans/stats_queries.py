@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termforge.functions import text as T
-from termforge.operators import boosting, contexts
+from termforge.operators import boosting, components, contexts
 from termforge.operators import evaluate as E
 from termforge.operators import experiments
 from termforge.operators import matrix as M
@@ -108,6 +108,16 @@ def _(b):
 query("o158_pca")(lambda b: stats.pca(b.table("embeddings").select("vec_id", "embedding", "label"), 5))
 query("o158_pca_scores")(lambda b: stats.pca_fit(b.table("embeddings").select("vec_id", "embedding", "label"), 5)[0])
 
+
+
+@query("o158_term_components")
+def _(b):
+    """The tf-idf matrix's first components, by terms; five passes, as its spectrum is flat beyond a few."""
+    docs = b.corpus.select("doc_id", "label")
+    scores, loadings, shares = components.principal(b.weights.select("doc_id", "term", "value"), docs, 3, passes=5)
+    return components.report(scores, loadings, shares, docs)
+
+
 query("o170_stratified_folds", sql("SELECT doc_id, label, fold FROM folds"))(lambda b: splits.stratified(b.corpus.select("doc_id", "label"), 5))
 
 

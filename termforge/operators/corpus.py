@@ -60,3 +60,18 @@ def class_sizes(corpus: DataFrame) -> DataFrame:
 def r9(x: Column) -> Column:
     """Nine decimals and no negative zero, so sums in another order compare equal."""
     return F.round(x, 9) + F.lit(0.0)
+
+
+def by_position(first: DataFrame, first_order: list[Column], second: DataFrame, second_order: list[Column]) -> DataFrame:
+    """The rows of two listings side by side, the n-th of one with the n-th of the other, each in its own order.
+
+    Both are numbered by ranges and meet by their places. Listings of different length are an error, as rows would belong to
+    other ones than they stand beside. Columns that both have must not clash.
+    """
+    from termforge.operators import ranges
+
+    sizes = [df.count() for df in (first, second)]
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"the listings differ in length: {sizes[0]} and {sizes[1]} rows")
+    a, b = ranges.numbered(first, first_order, "_place"), ranges.numbered(second, second_order, "_place")
+    return a.join(b, "_place").drop("_place")

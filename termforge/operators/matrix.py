@@ -28,9 +28,9 @@ def idf(posted: DataFrame, n_docs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n_docs.select("n"))).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def l2_rows(values: DataFrame) -> DataFrame:
+def l2_rows(values: DataFrame, row: list[str] = ("doc_id",)) -> DataFrame:
     """value divided by the row's Euclidean norm; zero rows have no postings and stay so."""
-    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(W.partitionBy("doc_id")))
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(W.partitionBy(*row)))
     return values.withColumn("norm", norm).withColumn("value", F.when(F.col("norm") > 0, F.col("value") / F.col("norm")).otherwise(F.lit(0.0))).drop("norm")
 
 

@@ -16,13 +16,14 @@ from termforge.operators.tables import written
 
 
 def quartiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(grp, v, c and grp, n, q1, q3) of rows grp, v: counted values, and interpolated quartiles.
+    """(grp, v, c and grp, n, q1, q3) of rows grp, v (and c, how often, if they have it): counted values, and
+    interpolated quartiles.
 
     Equal values are counted before the shuffle; counted values are summed up by ranges of (grp, v),
     so a large group is spread over tasks, and a quartile is read off at the two ranks around it.
     """
     own = rows.filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
-    counted = own.groupBy("grp", "v").agg(F.count(F.lit(1)).alias("c"))
+    counted = own.groupBy("grp", "v").agg((F.sum("c") if "c" in rows.columns else F.count(F.lit(1))).alias("c"))
     upto = ranges.running(counted, [F.col("grp"), F.col("v")], {"upto": "c"})
     sizes = upto.groupBy("grp").agg(F.sum("c").alias("n"), F.min(F.col("upto") - F.col("c")).alias("start"))
     at = upto.join(sizes, "grp").withColumn("past", F.col("upto") - F.col("start")).withColumn("before", F.col("past") - F.col("c"))
@@ -37,7 +38,7 @@ def quartiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def iqr(rows: DataFrame, multiplier: float = 1.5) -> DataFrame:
-    """rows: grp, v. Tukey statistics of each group's finite values."""
+    """rows: grp, v (and c). Tukey statistics of each group's finite values."""
     counted, q = quartiles(rows)
     width = F.col("q3") - F.col("q1")
     out = F.when((F.col("v") < F.col("q1") - multiplier * width) | (F.col("v") > F.col("q3") + multiplier * width), F.col("c")).otherwise(0)

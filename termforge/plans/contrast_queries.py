@@ -80,15 +80,19 @@ _NGRAMS = {
 }
 
 
-@query("o82_scout_ngrams", sql(_scout_sql("npost", "nweights", "n").replace(", sizes)", ", (SELECT n1, n0 FROM sizes))"), **_NGRAMS))
-def _(b):
-    """The scout table of each n-gram size from 1 to 5."""
-    out = None
-    for n in range(1, 6):
-        post = b.post if n == 1 else kept(C.postings(b.toks(n, n)))
-        own = X.scout_table(post, M.tfidf(post, M.idf(post, b.sizes)), b.sizes).withColumn("n", F.lit(n).cast("long"))
-        out = own if out is None else out.unionByName(own)
-    return out
+def _size(term="term"):
+    """Number of words of an n-gram."""
+    return F.size(F.split(term, " ")).cast("long")
+
+
+def _scout_ngrams(b):
+    """The scout table of the n-gram sizes from 1 to 5: the texts are cut once, a term's size is its number of words."""
+    post = kept(C.postings(b.toks(1, 5)))
+    raw = post.join(M.idf(post, b.sizes), "term").select("doc_id", "label", "term", (F.col("tf") * F.col("idf")).alias("value"), _size().alias("n"))
+    return X.scout_table(post, M.l2_rows(raw, ["n", "doc_id"]), b.sizes).withColumn("n", _size())
+
+
+query("o82_scout_ngrams", sql(_scout_sql("npost", "nweights", "n").replace(", sizes)", ", (SELECT n1, n0 FROM sizes))"), **_NGRAMS))(_scout_ngrams)
 
 _GAP = f"SELECT term, {q9('s1 / n1 - s0 / n0')} AS gap FROM (SELECT term, sum(CASE WHEN label = 1 THEN value ELSE 0.0 END) AS s1, sum(CASE WHEN label = 0 THEN value ELSE 0.0 END) AS s0 FROM weights GROUP BY term), sizes"
 
@@ -305,6 +309,22 @@ def _(b):
     return of(1, 0).unionByName(of(0, 1))
 
 
+_NLISTS = " UNION ALL ".join(f"SELECT * FROM (SELECT n, 'label{k}' AS focus, term, CAST(row_number() OVER (PARTITION BY n ORDER BY {c} DESC, term) AS INTEGER) AS rank FROM nscout) WHERE rank <= 25" for k, o in ((1, 0), (0, 1)) for c in _specs(k, o).values())
+
+
+@query("o112_overlap_of_all_ngrams", sql(f"SELECT focus, term, CAST(sum(appearances) AS BIGINT) AS total_appearance_count, count(DISTINCT n) AS ngram_count, string_agg(DISTINCT CAST(n AS VARCHAR), ', ' ORDER BY CAST(n AS VARCHAR)) AS ngrams, min(best) AS best_rank FROM (SELECT n, focus, term, count(*) AS appearances, min(rank) AS best FROM ({_NLISTS}) GROUP BY n, focus, term) GROUP BY focus, term", nscout=_scout_sql("npost", "nweights", "n").replace(", sizes)", ", (SELECT n1, n0 FROM sizes))"), **_NGRAMS))
+def _(b):
+    """The eight lists of either focus for each n-gram size from 1 to 5, then all sizes together."""
+    scout, out = kept(_scout_ngrams(b)), None
+    for k, o in ((1, 0), (0, 1)):
+        names = F.explode(F.array(*[F.struct(F.lit(name).alias("list"), F.col(c).cast("double").alias("v")) for name, c in _specs(k, o).items()]))
+        lists = S.top(scout.select("n", "term", names.alias("l")).select("n", "term", "l.*"), ["v DESC", "term"], 25, "rank", ["n", "list"])
+        each = lists.groupBy("n", "term").agg(F.count(F.lit(1)).alias("appearances"), F.min("rank").alias("best")).withColumn("focus", F.lit(f"label{k}"))
+        out = each if out is None else out.unionByName(each)
+    sizes = F.array_join(F.sort_array(F.collect_set(F.col("n").cast("string"))), ", ")
+    return out.groupBy("focus", "term").agg(F.sum("appearances").alias("total_appearance_count"), F.count_distinct("n").alias("ngram_count"), sizes.alias("ngrams"), F.min("best").alias("best_rank"))
+
+
 _BI = "SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(toks), 1)), lambda i: toks[i] || ' ' || toks[i + 1])) AS term FROM toks) GROUP BY term"
 
 
@@ -401,9 +421,11 @@ def _(b):
     return M.document_frequency(b.post).join(F.broadcast(meta), "term", "left").select("term", "df", F.coalesce("selection_rank", F.lit(-1)).alias("selection_rank"), F.coalesce("dominant_label", F.lit("")).alias("role"))
 
 
-@query("o134_names_join", sql("SELECT doc_id, doc_name, label FROM corpus"))
+@query("o134_names_join", sql("SELECT a.doc_id, b.doc_name, a.label FROM (SELECT doc_id, label, row_number() OVER (ORDER BY doc_id) AS place FROM corpus) a JOIN (SELECT doc_name, row_number() OVER (ORDER BY doc_id) AS place FROM corpus) b USING (place)"))
 def _(b):
-    return b.corpus.select("doc_id", "doc_name", "label")
+    """The listing of documents beside that of names, place by place."""
+    names = b.corpus.select("doc_name", F.col("doc_id").alias("listed"))
+    return C.by_position(b.corpus.select("doc_id", "label"), [F.col("doc_id")], names, [F.col("listed")]).select("doc_id", "doc_name", "label")
 
 
 @query("o135_horizontal_concat", sql("SELECT w.doc_id, w.words, l.len_tokens FROM wc w JOIN lens l USING (doc_id)"))

@@ -10,7 +10,7 @@ from termforge.operators import boosting, components, contexts
 from termforge.operators import evaluate as E
 from termforge.operators import experiments
 from termforge.operators import matrix as M
-from termforge.operators import models
+from termforge.operators import models, ranges
 from termforge.operators import select as S
 from termforge.operators import splits, stats
 from termforge.operators.corpus import r9
@@ -53,17 +53,27 @@ def _term_grid(b):
     return M.dense(M.relative(b.post, b.lens), b.corpus, b.top(30)).withColumn("v", F.round("value", 9))
 
 
+def _term_counts(b):
+    """label, term, v, c: how often a selected term has a share in documents of a label; documents without it are counted as zeros, not listed."""
+    terms = b.top(30).select("term")
+    some = M.relative(b.post.join(F.broadcast(terms), "term", "left_semi"), b.lens).groupBy("label", "term", F.round("value", 9).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    some = kept(some)
+    every = terms.crossJoin(F.broadcast(b.sizes.select(F.explode(F.array(*[F.struct(F.lit(y).alias("label"), F.col(f"n{y}").alias("n")) for y in (1, 0)])).alias("x")).select("x.*")))  # two rows
+    zeros = every.join(some.groupBy("label", "term").agg(F.sum("c").alias("there")), ["label", "term"], "left").select("label", "term", F.lit(0.0).alias("v"), (F.col("n") - F.coalesce("there", F.lit(0))).alias("c"))
+    return some.unionByName(zeros.filter("c > 0"))
+
+
 @query("o151_term_iqr", _iqr_sql("tg", **_TERMS))
 def _(b):
-    g = _term_grid(b)
-    all_docs = g.select(F.concat("term", F.lit("/all")).alias("grp"), "v")
-    return stats.iqr(all_docs.unionByName(g.select(F.concat("term", F.lit("/label"), F.col("label").cast("string")).alias("grp"), "v")))
+    g = _term_counts(b)
+    all_docs = g.select(F.concat("term", F.lit("/all")).alias("grp"), "v", "c")
+    return stats.iqr(all_docs.unionByName(g.select(F.concat("term", F.lit("/label"), F.col("label").cast("string")).alias("grp"), "v", "c")))
 
 
 @query("o152_outlier_rows", sql("SELECT doc_id, label, term, CASE WHEN v > q3 THEN 'high' ELSE 'low' END AS direction FROM (SELECT doc_id, label, term, round(v, 9) AS v FROM grid) JOIN (SELECT label, term, quantile_cont(round(v, 9), 0.25) AS q1, quantile_cont(round(v, 9), 0.75) AS q3 FROM grid GROUP BY label, term) USING (label, term) WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)", **_GRID))
 def _(b):
-    g = kept(_term_grid(b).withColumn("grp", F.concat_ws("/", "label", "term")))
-    _, q = stats.quartiles(g.select("grp", "v"))
+    g = _term_grid(b).withColumn("grp", F.concat_ws("/", "label", "term"))
+    _, q = stats.quartiles(_term_counts(b).select(F.concat_ws("/", "label", "term").alias("grp"), "v", "c"))
     width = F.col("q3") - F.col("q1")
     far = (F.col("v") < F.col("q1") - 1.5 * width) | (F.col("v") > F.col("q3") + 1.5 * width)
     return g.join(F.broadcast(q), "grp").filter(far).select("doc_id", "label", "term", F.when(F.col("v") > F.col("q3"), "high").otherwise("low").alias("direction"))
@@ -72,7 +82,7 @@ def _(b):
 @query("o153_iqr_audit", sql(f"SELECT k, CAST(sum(outliers) AS BIGINT) AS outliers, count(*) FILTER (WHERE outliers > 0) AS terms_with_outliers, {q9('sum(outliers) / sum(n)')} AS rate, count(*) FILTER (WHERE abs(q3 - q1) <= 1e-8) AS flat FROM (SELECT selection_rank, x.* FROM ({_IQR.format(t='tg')}) x JOIN top30 ON grp = term || '/all'), (VALUES (10), (20), (30)) y(k) WHERE selection_rank <= k GROUP BY k", **_TERMS))
 def _(b):
     ranked = b.top(30).select(F.concat("term", F.lit("/all")).alias("grp"), "selection_rank")
-    g = stats.iqr(_term_grid(b).select(F.concat("term", F.lit("/all")).alias("grp"), "v")).join(F.broadcast(ranked), "grp")
+    g = stats.iqr(_term_counts(b).select(F.concat("term", F.lit("/all")).alias("grp"), "v", "c")).join(F.broadcast(ranked), "grp")
     each = g.withColumn("k", F.explode(F.array(*map(F.lit, (10, 20, 30))))).filter("selection_rank <= k")
     return each.groupBy("k").agg(F.sum("outliers").alias("outliers"), F.count_if(F.col("outliers") > 0).alias("terms_with_outliers"), r9(F.sum("outliers") / F.sum("n")).alias("rate"), F.count_if(F.abs("iqr") <= 1e-8).alias("flat"))
 
@@ -139,6 +149,18 @@ def _(b):
     return splits.leave_one_out(b.corpus.select("doc_id", "label")).select("test_id", "test_label", (n - 1).alias("train_rows"), (F.col("n1") - F.col("test_label")).alias("train_label1"), (n - 1).alias("inner_splits"), ((n - 1) * (n - 2)).alias("inner_train_rows"))
 
 
+def _once(build):
+    """The rows of build(b), cached and the same object for one query, however often it asks."""
+
+    def get(b):
+        if build.__name__ not in b.__dict__:
+            b.__dict__[build.__name__] = kept(build(b))
+        return b.__dict__[build.__name__]
+
+    return get
+
+
+@_once
 def _decisions(b):
     best = b.top(30).select("term", "label1_score")
     sums = b.post.join(F.broadcast(best), "term").groupBy("doc_id").agg(F.sum("label1_score").alias("w"))
@@ -267,6 +289,7 @@ def _tried(b):
     return rows.select("doc_id", "label", each.alias("c")).select("doc_id", "label", "c.*").join(folds, "doc_id")
 
 
+@_once
 def _results(b):
     wrong = F.count_if((F.col("decision") > 0) != (F.col("label") == 1))
     folds = _tried(b).groupBy("condition", "k", "fold").agg(F.count(F.lit(1)).alias("docs"), wrong.alias("wrong"))
@@ -289,8 +312,36 @@ query("o197_counts_by_fold", sql("SELECT condition, round(avg(n), 3) AS mean_cou
     lambda b: _results(b).groupBy("condition").agg(F.round(F.avg("n"), 3).alias("mean_count"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("feature_count", "n"))), lambda x: x["n"].cast("string")), ",").alias("counts")))
 query("o198_report_with_average", sql("SELECT condition, feature_count, round(acc, 3) AS accuracy FROM res UNION ALL SELECT condition, 'average', round(avg(acc), 3) FROM res GROUP BY condition", **_RESULTS))(
     lambda b: _results(b).select("condition", "feature_count", F.round("acc", 3).alias("accuracy")).unionByName(_results(b).groupBy("condition").agg(F.round(F.avg("acc"), 3).alias("accuracy")).withColumn("feature_count", F.lit("average"))))
-query("o203_condition_summary", sql(f"SELECT condition, count(*) AS candidates, {q9('max(acc)')} AS best, {q9('avg(acc)')} AS mean FROM res GROUP BY condition", **_RESULTS))(
-    lambda b: _results(b).groupBy("condition").agg(F.count(F.lit(1)).alias("candidates"), r9(F.max("acc")).alias("best"), r9(F.avg("acc")).alias("mean")))
+#: All conditions of an experiment, tried or not.
+_CONDITIONS = [*_WAYS, "binary_log"]
+
+
+@query("o203_condition_summary", sql(f"SELECT c.condition, count(r.condition) AS candidates, count(*) FILTER (WHERE mean_accuracy <> 'n/a') AS valid, count(*) FILTER (WHERE mean_accuracy = 'n/a') AS dropped, {q9('max(acc) FILTER (WHERE mean_accuracy <> ' + chr(39) + 'n/a' + chr(39) + ')')} AS best, {q9('avg(acc) FILTER (WHERE mean_accuracy <> ' + chr(39) + 'n/a' + chr(39) + ')')} AS mean, coalesce(string_agg(feature_count, ',' ORDER BY feature_count) FILTER (WHERE mean_accuracy <> 'n/a'), '') AS feature_counts FROM (VALUES {', '.join(f"('{c}')" for c in _CONDITIONS)}) c(condition) LEFT JOIN res r ON r.condition = c.condition GROUP BY c.condition", **_RESULTS))
+def _(b):
+    """A condition without a valid candidate, or without any, stays with blanks."""
+    known = b.spark.createDataFrame([(c,) for c in _CONDITIONS], "condition string")
+    good = lambda x: F.when(F.col("mean_accuracy") != "n/a", x)
+    found = known.join(_results(b), "condition", "left").groupBy("condition")
+    counts = F.array_join(F.sort_array(F.collect_list(good(F.col("feature_count")))), ",")
+    return found.agg(F.count("acc").alias("candidates"), F.count_if(F.col("mean_accuracy") != "n/a").alias("valid"), F.count_if(F.col("mean_accuracy") == "n/a").alias("dropped"), r9(F.max(good(F.col("acc")))).alias("best"), r9(F.avg(good(F.col("acc")))).alias("mean"), counts.alias("feature_counts"))
+
+
+@query("o196_lift_over_prior", sql(f"SELECT 'candidate' AS phase, r.condition, feature_count, CASE WHEN mean_accuracy <> 'n/a' THEN round(r.acc - p.prior, 9) + 0.0 END AS lift FROM res r, (SELECT {q9('greatest(n1, n0) / n')} AS prior FROM sizes) p UNION ALL SELECT 'total', '', CAST(count(*) AS VARCHAR), NULL FROM res", **_RESULTS))
+def _(b):
+    """Lift over the accuracy of always predicting the larger class; null where a candidate has no accuracy. The last row is the total's."""
+    prior = b.sizes.select(r9(F.greatest("n1", "n0") / F.col("n")).alias("prior"))
+    lift = F.when(F.col("mean_accuracy") != "n/a", r9(F.col("acc") - F.col("prior")))
+    rows = _results(b).crossJoin(F.broadcast(prior)).select(F.lit("candidate").alias("phase"), "condition", "feature_count", lift.alias("lift"))
+    return rows.unionByName(_results(b).agg(F.lit("total").alias("phase"), F.lit("").alias("condition"), F.count(F.lit(1)).cast("string").alias("feature_count"), F.lit(None).cast("double").alias("lift")).select("phase", "condition", "feature_count", "lift"))
+
+
+@query("o196_threshold_accuracy_map", sql(f"SELECT condition AS kernel, CAST(feature_count AS INTEGER) AS threshold, CASE WHEN mean_accuracy = 'n/a' THEN '' ELSE mean_accuracy END AS accuracy, CAST(row_number() OVER (ORDER BY condition, CAST(feature_count AS INTEGER)) AS INTEGER) AS place FROM res WHERE feature_count <> '10'", **_RESULTS))
+def _(b):
+    """The fixed candidates alone (the first is the baseline), by kernel and threshold."""
+    rows = _results(b).filter("feature_count <> '10'").select(F.col("condition").alias("kernel"), F.col("feature_count").cast("int").alias("threshold"), F.when(F.col("mean_accuracy") == "n/a", "").otherwise(F.col("mean_accuracy")).alias("accuracy"))
+    return ranges.numbered(rows, [F.col("kernel"), F.col("threshold")], "place").withColumn("place", F.col("place").cast("int"))
+
+
 query("o207_kernel_summary", sql(f"SELECT condition, {q9('avg(acc)')} AS mean, {q9('stddev_pop(acc)')} AS std, string_agg(feature_count, ';' ORDER BY feature_count) AS params FROM res GROUP BY condition", **_RESULTS))(
     lambda b: _results(b).groupBy("condition").agg(r9(F.avg("acc")).alias("mean"), r9(F.stddev_pop("acc")).alias("std"), F.array_join(F.sort_array(F.collect_list("feature_count")), ";").alias("params")))
 
@@ -361,7 +412,8 @@ query("o180_gated_records")(lambda b: _gated(b)[0])
 query("o182_gated_nested_cv")(lambda b: models.select_best(_gated(b)[0]))
 query("o189_candidate_status")(lambda b: _gated(b)[1])
 query("o183_pooled_grid_search")(lambda b: E.with_metrics(E.confusion(models.pooled_grid_search(_contexts(b), models.grid(b.spark, {"kernel": ["linear", "rbf"], "c": [0.1, 1, 5], "gamma": [0.01, 0.001]})), [])))
-query("o200_fit_one_split")(lambda b: E.with_metrics(E.confusion(_fits(b, "linear", {"c": [1.0]}).filter("outer_fold = 0"), ["status"])))
+query("o183_pooled_whole_grid")(lambda b: E.with_metrics(E.confusion(models.pooled_grid_search(_contexts(b, OUTER, 10), models.grid(b.spark, models.POOLED_GRID)), [])))
+query("o200_fit_one_split")(lambda b: E.with_metrics(E.confusion(models.evaluate(_outer(b).filter("outer_fold = 0"), models.grid(b.spark, {"c": [1.0]}), None, tol=1e-6), ["status"])))
 query("o204_unnested_search")(lambda b: _unnested(b))
 
 
@@ -388,6 +440,7 @@ def _(b):
 
 query("o210_fit_statuses")(lambda b: _thresholds(b, 7200.0)[1])
 query("o190_attributions")(lambda b: models.attributions(_outer(b), "linear", 1.0))
+query("o190_attributions_rbf")(lambda b: models.attributions(_outer(b), "rbf", 1.0, 0.1))
 
 
 @query("o211_error_statuses")
@@ -401,8 +454,12 @@ def _(b):
     from termforge.operators import native_models
 
     # label 0 is the rarer one here and the one that forests miss
-    flipped = _outer(b).filter("outer_fold = 0").withColumn("label", 1 - F.col("label"))
-    return native_models.leaf_neighbourhood(flipped)
+    flipped = kept(_outer(b).withColumn("label", 1 - F.col("label")))
+    out = None
+    for k in range(OUTER):
+        own = native_models.leaf_neighbourhood(flipped.filter(F.col("outer_fold") == k)).withColumn("outer_fold", F.lit(k))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def _native(b, kind: str):

@@ -217,3 +217,24 @@ def test_release_leaves_nothing_cached_or_written(spark, tmp_path):
     assert spark._jsc.sc().getPersistentRDDs().size() == before + 1 and len(os.listdir(folder)) == 1
     tables.release()
     assert spark._jsc.sc().getPersistentRDDs().size() == before and not os.listdir(folder)
+
+
+def test_listings_side_by_side(spark):
+    from termforge.operators import corpus
+
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(60)], "doc_id long, text string").repartition(5)
+    names = spark.createDataFrame([(f"{k:03d}.txt",) for k in range(60)], "name string").repartition(7)
+    got = corpus.by_position(docs, [F.col("doc_id")], names, [F.col("name")]).collect()
+    assert sorted((r.doc_id, r.name) for r in got) == [(k, f"{k:03d}.txt") for k in range(60)]
+    with pytest.raises(ValueError, match="60 and 59 rows"):
+        corpus.by_position(docs, [F.col("doc_id")], names.filter("name <> '007.txt'"), [F.col("name")])
+    assert corpus.by_position(docs.limit(0), [F.col("doc_id")], names.limit(0), [F.col("name")]).count() == 0
+
+
+def test_quartiles_of_counted_values(spark):
+    rng = random.Random(9)
+    rows = [(g, float(rng.choice([0, 0, 0, 1, 2, 5]))) for g in "ab" for _ in range(60)]
+    counts = [(g, v, c) for (g, v), c in collections.Counter(rows).items()]
+    plain = stats.iqr(spark.createDataFrame(rows, "grp string, v double")).collect()
+    counted = stats.iqr(spark.createDataFrame(counts, "grp string, v double, c long")).collect()
+    assert sorted(map(repr, plain)) == sorted(map(repr, counted)) and len(plain) == 2

@@ -14,7 +14,7 @@ import pyarrow.dataset as ds
 import pytest
 from pyspark.sql import functions as F
 
-from termforge.llm import mixing, near_dup, passage_chain, pii, queries, sharding
+from termforge.llm import mixing, near_dup, passage_chain, pii, queries, sharding, toxicity
 
 SF = "/root/testdata/sf0.001"
 MIDDLE = "/root/testdata/sf0.01"
@@ -275,6 +275,44 @@ def test_op9_toxicity(spark):
     assert caught >= 0.6 and false <= 0.05
 
 
+def plain_toxicity(grammar, text):
+    """Clause by clause over word positions, without transducers: what each insult and threat has around it."""
+    import re as plain
+
+    total = []
+    for clause in plain.split(r"[.!?;:\n]+", text.lower()):
+        words = plain.findall(r"[^\W\d_]+", clause)
+        insult = [max([grammar.words.get(w, 0.0), *(v for stem, v in grammar.stems.items() if w.startswith(stem))]) for w in words]
+        within = lambda k, lists: any(not insult[j] and words[j] in lists for j in range(max(0, k - toxicity.REACH), k))
+        anywhere = lambda lists: any(not x and w in lists for w, x in zip(words, insult))
+        target, reported = anywhere(toxicity.TARGETS), anywhere(toxicity.REPORTED)
+        found, weights = 0.0, grammar.weights
+        some = False
+        for k, (w, x) in enumerate(zip(words, insult)):
+            if x or w in toxicity.THREATS:
+                some = True
+                x += weights["threat"] * (w in toxicity.THREATS and target and within(k, toxicity.INTENT))
+                found += x * (weights["n"] if within(k, toxicity.NEGATIONS) else 1) * (weights["r"] if reported else 1) * (weights["t"] if target else 1)
+        if some:
+            total.append(found)
+    total.sort(reverse=True)
+    evidence = total[0] + 0.25 * sum(total[1:]) if total else 0.0
+    return 1 / (1 + math.exp(-(grammar.slope * min(evidence, 50.0) + grammar.offset)))
+
+
+def test_op9_equals_a_plain_clause_scorer(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in table("documents", MIDDLE)}
+    docs, labels = spark.read.parquet(f"{MIDDLE}/documents.parquet"), spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    grammar = toxicity.fit(docs, labels.filter(toxicity.remainder(F.col("doc_id"), 4) != 2))
+    got, _ = result(spark, "op9_toxicity", MIDDLE)
+    assert len(grammar.words) + len(grammar.stems) > 3
+    assert all(got[i].score == pytest.approx(plain_toxicity(grammar, t), abs=1e-12) for i, t in texts.items())
+    assert len({round(r.score, 6) for r in got.values()}) > 10
+    g = toxicity.Grammar({"idiot": 2.0, "moron": 1.0}, {"stup": 3.0})
+    odd = ["You are not an idiot, said he. I will kill you; they will never hurt", "kill will you stupid idiot not a b c d moron", "idiot", "", "will you not beat them\nsaid who: stupidity", "İDIOT idiot's kill1 you"]
+    assert all(g.score(t) == pytest.approx(plain_toxicity(g, t), abs=1e-12) for t in odd)
+
+
 def plain_spans(text):
     """The contract's patterns by re.finditer."""
     digits = lambda s: re.sub("[^0-9]", "", s)

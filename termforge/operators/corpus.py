@@ -29,9 +29,9 @@ def map_labels(rows: DataFrame, label: str, mapping: dict[str, int]) -> DataFram
     return rows.filter(F.col(label).isNotNull()).withColumn("label", F.when(out.isNull(), F.raise_error(F.concat(F.lit("unknown label: "), key)).cast("int")).otherwise(out))
 
 
-def tokens(corpus: DataFrame, low: int = 1, high: int = 1, min_len: int = 2, stop_words: list[str] | None = None, tokenizer=T.tokenize) -> DataFrame:
+def tokens(corpus: DataFrame, low: int = 1, high: int = 1, min_len: int = 2, stop_words: list[str] | None = None, tokenizer=None) -> DataFrame:
     """doc_id, label, toks: n-grams of the tokens left after stop words."""
-    toks = tokenizer(F.col("text"), min_len)
+    toks = (tokenizer or T.tokenize)(F.col("text"), min_len)
     toks = T.remove_stop_words(toks, T.STOP_WORDS if stop_words is None else stop_words)
     unigrams = corpus.select("doc_id", "label", toks.alias("toks"))
     return unigrams if (low, high) == (1, 1) else unigrams.withColumn("toks", T.ngrams(F.col("toks"), low, high))

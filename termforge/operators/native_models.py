@@ -38,3 +38,17 @@ def leaf_neighbourhood(rows: DataFrame, trees: int = 50, depth: int = 5) -> Data
     missed = at.filter("role = 'test' AND label = 1 AND prediction = 0").select("doc_id", "tree", F.col("leaf").cast("int").alias("leaf"))
     found = missed.join(leaves.withColumn("leaf", F.col("leaf").cast("int")), ["tree", "leaf"], "left").na.fill(0, ["label1", "label0"])
     return found.select("doc_id", "tree", "leaf", "label1", "label0", F.when(F.col("label1") > F.col("label0"), 1).otherwise(0).alias("leaf_label"))
+
+
+def document_vectors(toks: DataFrame, size: int = 100, window: int = 5, least: int = 2, rounds: int = 1, parts: int = 1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, label, embedding: the mean of a document's word vectors; word, vector) of toks: doc_id, label, toks.
+
+    Word vectors are skip-grams learned over all documents by Spark ML, in `parts` partitions that are averaged; words
+    of fewer than `least` places have none. A document without such words has the zero vector.
+    """
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    learned = Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=rounds, numPartitions=parts, seed=seed, inputCol="toks", outputCol="v").fit(toks)
+    found = learned.transform(toks).select(F.col("doc_id").alias("vec_id"), "label", vector_to_array("v").alias("embedding"))
+    return found, learned.getVectors().select("word", vector_to_array("vector").alias("vector"))

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termforge.operators import contrast, corpus, matrix, select
+from termforge.operators import contrast, corpus, extensions, matrix, select
 from termforge.session import ship
 from termforge.operators.tables import kept
 
@@ -15,6 +15,7 @@ class Base:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         ship(spark)
         self.spark, self.dir = spark, sf_dir
+        self.tokenizer, self.cache = extensions.TOKENIZERS[extensions.current("tokenizer")], extensions.current("cache")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -28,7 +29,7 @@ class Base:
         return corpus.labelled_corpus(self.table("documents"), self.table("labels"), normalise=False)
 
     def toks(self, low: int = 1, high: int = 1) -> DataFrame:
-        return corpus.tokens(self.corpus, low, high)
+        return corpus.tokens(self.corpus, low, high, tokenizer=self.tokenizer)
 
     @cached_property
     def post(self) -> DataFrame:

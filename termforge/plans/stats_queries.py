@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from termforge.functions import text as T
 from termforge.operators import boosting, components, contexts
 from termforge.operators import evaluate as E
-from termforge.operators import experiments
+from termforge.operators import experiments, extensions
 from termforge.operators import matrix as M
 from termforge.operators import models, ranges
 from termforge.operators import select as S
@@ -17,6 +17,7 @@ from termforge.operators.corpus import r9
 from termforge.plans.base import Base
 from termforge.plans.sql import sql
 from termforge.plans.sql import r9 as q9
+from termforge.sources import files
 from termforge.operators.tables import kept, written
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -372,10 +373,16 @@ OUTER, INNER, TERMS = 5, 3, 20
 def _contexts(b, outer: int = OUTER, inner: int = INNER, k: int = TERMS, consistent: bool = False):
     """Rows of all contexts; a context's terms are chosen on its own training rows. consistent: without documents
     whose features stand in their context's training rows under both labels, which no gate can pass."""
-    roles = kept(contexts.roles(b.corpus.select("doc_id", "label"), outer, inner))
     post = kept(b.post.select("doc_id", "term", "tf"))
-    rows = contexts.features(post, roles, contexts.selected(post, roles, k), k)
-    return contexts.consistent(written(rows)) if consistent else rows
+
+    def build():
+        roles = kept(contexts.roles(b.corpus.select("doc_id", "label"), outer, inner))
+        return contexts.features(post, roles, contexts.selected(post, roles, k), k)
+
+    if b.cache:  # by content: other settings, documents, labels or terms are another table
+        rows = files.cached(b.spark, b.cache, files.content_key({"outer": outer, "inner": inner, "terms": k}, b.post), build)
+        return contexts.consistent(rows) if consistent else rows
+    return contexts.consistent(written(build())) if consistent else build()
 
 
 #: Enough terms for candidates that separate every training row.

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,9 +94,27 @@ def cached_texts(spark: SparkSession, folder: str, cache: str, version: int) ->
 
 
 def cached(spark: SparkSession, folder: str, key: str, build) -> DataFrame:
-    """The Parquet table folder/key, built and written once; another key is another table."""
+    """The Parquet table folder/key, built and written once; another key is another table.
+
+    It is written beside its place and renamed once whole, so a write that was killed half-way is never read. Of two that
+    build at once one is kept; both would hold the same rows.
+    """
     path = f"{folder.rstrip('/')}/{key}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        build().write.mode("overwrite").parquet(path)
+    at, beside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{folder.rstrip('/')}/_writing-{uuid.uuid4().hex}"))
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        try:
+            build().write.parquet(beside.toString())
+            if not files.exists(at) and not files.rename(beside, at) and not files.exists(at):
+                raise OSError(f"{path} can't be published")
+        finally:
+            files.delete(beside, True)
     return spark.read.parquet(path)
+
+
+def content_key(settings: dict, rows: DataFrame) -> str:
+    """SHA-256 of settings (in any order) and of the rows whatever their order and partitions: their hashes' sums and number."""
+    names = sorted(rows.columns)
+    sums = rows.agg(*[F.sum(F.xxhash64(F.lit(salt), *[F.col(f"`{c}`") for c in names]).cast("decimal(38,0)")).alias(f"s{salt}") for salt in (1, 2)], F.count(F.lit(1)).alias("n")).first()
+    said = json.dumps({"settings": settings, "columns": [(c, rows.schema[c].dataType.simpleString()) for c in names], "rows": [str(v) for v in sums]}, sort_keys=True)
+    return hashlib.sha256(said.encode()).hexdigest()

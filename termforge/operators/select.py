@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termforge.operators import ranges
-from termforge.operators.tables import kept
+from termforge.operators.tables import written
 
 SCORE_ORDER = ["abs_score DESC", "selected_score DESC", "label1_doc_count DESC", "label0_doc_count DESC", "term"]
 
@@ -94,12 +94,13 @@ def combined_unique(first: DataFrame, second: DataFrame, k: int, equal_rank_to:
     """k/2 terms of each ranked list (term, rank); a shared term goes to its better rank, the other list refills.
 
     Scan depths grow until stable: a list holds its terms that the other one, within its depth,
-    doesn't win; its depth is the rank of its (k/2)-th held term. Few rounds, each two small top-k jobs.
+    doesn't win; its depth is the rank of its (k/2)-th held term. Few rounds, each two small top-k jobs over a written
+    table of terms and their two ranks.
     """
     if k % 2:
         raise ValueError("k must be even")
     half = k // 2
-    both = kept(first.select("term", F.col("rank").alias("ra")).join(second.select("term", F.col("rank").alias("rb")), "term", "full_outer"))
+    both = written(first.select("term", F.col("rank").alias("ra")).join(second.select("term", F.col("rank").alias("rb")), "term", "full_outer"))
     second_wins = (F.col("rb") <= F.col("ra")) if equal_rank_to == "second" else (F.col("rb") < F.col("ra"))
     loses = {"ra": F.coalesce(second_wins, F.lit(False)), "rb": F.coalesce(~second_wins, F.lit(False))}
 

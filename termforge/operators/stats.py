@@ -15,12 +15,12 @@ from termforge.operators.corpus import r9
 from termforge.operators.tables import written
 
 
-def quartiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(grp, v, c and grp, n, q1, q3) of rows grp, v (and c, how often, if they have it): counted values, and
-    interpolated quartiles.
+def quantiles(rows: DataFrame, shares: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """(grp, v, c and grp, n and a column a share) of rows grp, v (and c, how often, if they have it): counted values, and
+    interpolated quantiles.
 
     Equal values are counted before the shuffle; counted values are summed up by ranges of (grp, v),
-    so a large group is spread over tasks, and a quartile is read off at the two ranks around it.
+    so a large group is spread over tasks, and a quantile is read off at the two ranks around it.
     """
     own = rows.filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
     counted = own.groupBy("grp", "v").agg((F.sum("c") if "c" in rows.columns else F.count(F.lit(1))).alias("c"))
@@ -31,10 +31,14 @@ def quartiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     def value(rank: Column) -> Column:
         return F.max(F.when((F.col("before") <= rank) & (rank < F.col("past")), F.col("v")))
 
-    places = {q: (F.col("n") - 1) * share for q, share in (("q1", 0.25), ("q3", 0.75))}
+    places = {q: (F.col("n") - 1) * share for q, share in shares.items()}
     found = at.groupBy("grp", "n").agg(*[value(f(p)).alias(f"{q}{side}") for q, p in places.items() for side, f in (("a", F.floor), ("b", F.ceil))])
     between = lambda q: F.col(f"{q}a") + (F.col(f"{q}b") - F.col(f"{q}a")) * (places[q] - F.floor(places[q]))
-    return counted, found.select("grp", "n", between("q1").alias("q1"), between("q3").alias("q3"))
+    return upto.select("grp", "v", "c"), found.select("grp", "n", *[between(q).alias(q) for q in shares])
+
+
+def quartiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return quantiles(rows, {"q1": 0.25, "q3": 0.75})
 
 
 def iqr(rows: DataFrame, multiplier: float = 1.5) -> DataFrame:

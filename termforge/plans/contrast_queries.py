@@ -10,6 +10,7 @@ from termforge.operators import corpus as C
 from termforge.operators import information
 from termforge.operators import matrix as M
 from termforge.operators import select as S
+from termforge.operators import stats
 from termforge.operators.corpus import r9
 from termforge.operators.tables import kept
 from termforge.plans.base import Base
@@ -150,7 +151,7 @@ def _(b):
 @query("o88_percentile_exceedance", sql(f"SELECT term, {q9('thr')} AS threshold, {q9('avg(CASE WHEN tf > thr THEN 1.0 ELSE 0.0 END) FILTER (WHERE label = 0) - avg(CASE WHEN tf > thr THEN 1.0 ELSE 0.0 END) FILTER (WHERE label = 1)')} AS score FROM tgrid JOIN (SELECT term, quantile_cont(CAST(tf AS DOUBLE), 0.9) AS thr FROM tgrid WHERE label = 1 GROUP BY term) USING (term) GROUP BY term, thr", **_TGRID))
 def _(b):
     grid = _target_grid(b)
-    thr = grid.filter("label = 1").groupBy("term").agg(F.percentile("value", F.lit(0.9)).alias("thr"))
+    thr = stats.quantiles(grid.filter("label = 1").select(F.col("term").alias("grp"), F.col("value").cast("double").alias("v")), {"thr": 0.9})[1].select(F.col("grp").alias("term"), "thr")
     over = lambda k: F.avg(F.when(F.col("label") == k, F.when(F.col("value") > F.col("thr"), 1.0).otherwise(0.0)))
     return grid.join(F.broadcast(thr), "term").groupBy("term").agg(r9(F.max("thr")).alias("threshold"), r9(over(0) - over(1)).alias("score"))
 
@@ -238,7 +239,9 @@ def _(b):
 @query("o94_word_count_summary", sql(f"SELECT coalesce(CAST(label AS VARCHAR), 'all') AS grp, {q9('avg(words)')} AS mean, {q9('stddev_pop(words)')} AS std, min(words) AS low, {q9('quantile_cont(CAST(words AS DOUBLE), 0.5)')} AS median, max(words) AS high FROM wc GROUP BY GROUPING SETS ((label), ())"))
 def _(b):
     own = b.corpus.select("label", T.word_count(F.col("text")).alias("words"))
-    return own.groupingSets([["label"], []], "label").agg(r9(F.avg("words")).alias("mean"), r9(F.stddev_pop("words")).alias("std"), F.min("words").alias("low"), r9(F.percentile("words", F.lit(0.5))).alias("median"), F.max("words").alias("high")).select(F.coalesce(F.col("label").cast("string"), F.lit("all")).alias("grp"), "mean", "std", "low", "median", "high")
+    both = kept(own.select(F.explode(F.array(F.lit("all"), F.col("label").cast("string"))).alias("grp"), F.col("words").cast("double").alias("v"), "words"))
+    summary = both.groupBy("grp").agg(r9(F.avg("words")).alias("mean"), r9(F.stddev_pop("words")).alias("std"), F.min("words").alias("low"), F.max("words").alias("high"))
+    return summary.join(stats.quantiles(both.select("grp", "v"), {"median": 0.5})[1], "grp").select("grp", "mean", "std", "low", r9("median").alias("median"), "high")
 
 
 query("o100_top_terms", sql("SELECT * FROM ranked WHERE selection_rank <= 100"))(lambda b: b.top(100))
@@ -443,11 +446,13 @@ def _(b):
     return b.table("documents").groupBy("source").agg(F.min("doc_id").alias("first_place"))
 
 
-@query("o140_parameter_grid", "SELECT c, g FROM (VALUES (0.01), (1.0), (100.0)) a(c), (VALUES (0.1), (1.0)) b(g)".replace("c, g FROM", "CAST(c AS DOUBLE) AS c, CAST(g AS DOUBLE) AS g FROM"))
+@query("o140_parameter_grid", sql("SELECT source, CAST(c AS DOUBLE) AS c, CAST(g AS DOUBLE) AS g, rows_of_source FROM (SELECT d.source, count(*) AS rows_of_source FROM documents d JOIN corpus USING (doc_id) GROUP BY d.source), (VALUES (0.01), (1.0), (100.0)) a(c), (VALUES (0.1), (1.0)) b(g)"))
 def _(b):
+    """Every parameter combination for each data set of labelled documents, as an experiment over data sets starts from."""
     from termforge.operators.models import grid
 
-    return grid(b.spark, {"c": [0.01, 1.0, 100.0], "gamma": [0.1, 1.0]}, "rbf").select("c", F.col("gamma").alias("g"))
+    sets = b.table("documents").select("doc_id", "source").join(b.corpus.select("doc_id"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("rows_of_source"))
+    return sets.crossJoin(F.broadcast(grid(b.spark, {"c": [0.01, 1.0, 100.0], "gamma": [0.1, 1.0]}, "rbf"))).select("source", "c", F.col("gamma").alias("g"), "rows_of_source")
 
 
 query("o141_label_split", sql("SELECT doc_id, term, tf FROM post WHERE label = 0"))(lambda b: b.post.filter("label = 0").select("doc_id", "term", "tf"))

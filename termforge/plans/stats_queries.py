@@ -567,6 +567,21 @@ def _(b):
     return stats.json_leaves(rows, "props")
 
 
+@query("o08_json_leaf_rows", "SELECT event_id, '$.kind' AS path, 0 AS nth, event_type AS leaf FROM events UNION ALL SELECT event_id, '$.inner.again[0]', 1, event_type FROM events UNION ALL SELECT event_id, '$.inner.again[1].user', 2, concat('u', user_id) FROM events")
+def _(b):
+    """A row a leaf with its path, by a table function."""
+    return extensions.json_leaf_rows(b.table("events").select("event_id", F.expr(_NESTED).alias("props")), "props")
+
+
+@query("o179_document_embeddings")
+def _(b):
+    """Documents as means of word vectors learned on all of them, each with the class whose mean is nearest."""
+    from termforge.operators import native_models
+
+    found = stats.nearest_centroid(native_models.document_vectors(b.toks(), 20)[0])
+    return found.withColumnRenamed("vec_id", "doc_id")
+
+
 query("o136_vertical_concat", sql("SELECT 'post' AS part, term, tf AS n FROM post WHERE tf > 5 UNION ALL SELECT 'df' AS part, term, df AS n FROM dfs WHERE df > 20"))(
     lambda b: b.post.filter("tf > 5").select(F.lit("post").alias("part"), "term", F.col("tf").alias("n")).unionByName(M.document_frequency(b.post).filter("df > 20").select(F.lit("df").alias("part"), "term", F.col("df").alias("n"))))
 

@@ -83,11 +83,15 @@ def _(b):
 _OTHER = ["the", "of", "and", "ones", "whose", "upon"]
 
 
-@query("o24_stop_word_lists", "SELECT word, side FROM (" + " UNION ALL ".join([f"SELECT '{w}' AS word, 'first' AS side" for w in sorted(set(T.STOP_WORDS) - set(_OTHER))] + [f"SELECT '{w}' AS word, 'second' AS side" for w in sorted(set(_OTHER) - set(T.STOP_WORDS))]) + ")")
+_SIDES = " UNION ALL ".join([f"SELECT '{w}' AS word, 'first' AS side" for w in sorted(set(T.STOP_WORDS) - set(_OTHER))] + [f"SELECT '{w}' AS word, 'second' AS side" for w in sorted(set(_OTHER) - set(T.STOP_WORDS))])
+
+
+@query("o24_stop_word_lists", sql(f"SELECT s.word, side, count(r.doc_id) AS documents, CAST(coalesce(sum(r.n), 0) AS BIGINT) AS places FROM ({_SIDES}) s LEFT JOIN (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM corpus) GROUP BY doc_id, word) r ON r.word = s.word GROUP BY s.word, side"))
 def _(b):
-    a = b.spark.createDataFrame([(w,) for w in T.STOP_WORDS], "word string")
-    c = b.spark.createDataFrame([(w,) for w in _OTHER], "word string")
-    return a.exceptAll(c).withColumn("side", F.lit("first")).unionByName(c.exceptAll(a).withColumn("side", F.lit("second")))
+    """The words that only one of two stop lists holds, and how often the corpus has them: what exchanging the lists would do."""
+    own = b.spark.createDataFrame([(w, side) for side, words, other in (("first", T.STOP_WORDS, _OTHER), ("second", _OTHER, T.STOP_WORDS)) for w in sorted(set(words) - set(other))], "word string, side string")
+    found = b.corpus.select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("word")).join(F.broadcast(own.select("word")), "word", "left_semi").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    return own.join(found, "word", "left").groupBy("word", "side").agg(F.count("doc_id").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("places"))
 
 
 @query("o25_stem")

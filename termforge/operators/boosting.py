@@ -183,7 +183,8 @@ def _best(state: DataFrame, model: DataFrame, least_rows: int, reg_lambda: float
     counted = sums.select(*by, "mcw", "rate", "g", "h", F.explode(cells).alias("x")).groupBy(*by, "mcw", "rate", "x.feature", "x.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
     total = lambda c: F.max(F.when(F.col("feature") == -1, F.col(c))).over(W.partitionBy(*by))
     above = W.partitionBy(*by, "feature").orderBy(F.col("bin").desc())
-    both = counted.select("*", *[total(c).alias(f"all_{c}") for c in "ghn"], *[F.sum(c).over(above).alias(f"r{c}") for c in "ghn"])
+    both = counted.withColumns({f"all_{c}": total(c) for c in "ghn"})  # one exchange by node serves both windows and the choice
+    both = both.withColumns({f"r{c}": F.sum(c).over(above) for c in "ghn"})
     real = lambda c: F.col(c) / F.lit(float(UNIT))
     gt, ht = real("all_g"), real("all_h")
     gr, hr = real("rg"), real("rh")

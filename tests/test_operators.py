@@ -124,3 +124,18 @@ def test_margin_gate():
 def test_metrics_guard_zero(spark):
     got = evaluate.with_metrics(evaluate.confusion(spark.createDataFrame([(0, 0)], "label int, predicted int"), [])).first()
     assert (got.accuracy, got.recall, got.precision, got.f1) == (1.0, 0.0, 0.0, 0.0)
+
+
+def test_context_scores_as_columns_equal_those_by_rows(spark, monkeypatch):
+    """o180_candidate_evaluation, o182_nested_cv: a term's text was shuffled once a context (2.3 GB of disk on 0.5 GB)."""
+    from termforge.operators import contexts
+
+    docs = spark.createDataFrame([(i, i % 3 % 2) for i in range(40)], "doc_id long, label int")
+    posted = spark.createDataFrame([(i, f"t{k}", 1) for i in range(40) for k in range(12) if (i * 7 + k * k) % 5 < 2], "doc_id long, term string, tf long")
+    roles = contexts.roles(docs, 8, 7).localCheckpoint()  # 64 contexts, two marks
+    found = contexts.scored(posted, roles)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("bit_or") == 2
+    got = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(contexts, "MOST_COLUMNS", 0)
+    assert len({r[:2] for r in got}) == 64 and got == sorted(map(tuple, contexts.scored(posted, roles).collect()))
+    assert contexts.scored(posted, roles.limit(0)).count() == 0

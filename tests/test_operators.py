@@ -139,3 +139,15 @@ def test_context_scores_as_columns_equal_those_by_rows(spark, monkeypatch):
     monkeypatch.setattr(contexts, "MOST_COLUMNS", 0)
     assert len({r[:2] for r in got}) == 64 and got == sorted(map(tuple, contexts.scored(posted, roles).collect()))
     assert contexts.scored(posted, roles.limit(0)).count() == 0
+
+
+def test_postings_cut_a_text_once(spark):
+    from termforge.operators import corpus
+
+    docs = spark.createDataFrame([(1, 1, "thunder thunder ring"), (2, 0, ""), (3, 1, "of the")], CORPUS)
+    found = corpus.postings(corpus.tokens(docs))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "ring", 1), (1, 1, "thunder", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # a size asked for before the rows are made would cut the texts again
+    gaps = spark.createDataFrame([(1, 1, ["a", None, "a"]), (2, 0, [])], "doc_id long, label int, toks array<string>")
+    assert sorted(map(tuple, corpus.postings(gaps).collect()), key=str) == [(1, 1, "a", 2), (1, 1, None, 1)]
